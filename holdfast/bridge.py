@@ -2,149 +2,133 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.functions import fees as fee
 from holdfast.functions import scoring
 
+# Declared so a read never starts a schema-inference job over the file footers.
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+    "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+    "l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
-def cents(amount: Column) -> Column:
+def cents(amount: str) -> str:
     """Money to whole cents, so sums are exact in any order."""
-    return F.round(amount * 100).cast("long")
-
-
-def ticker_of(partkey: Column) -> Column:
-    return F.concat(F.lit("P"), partkey.cast("string"))
+    return f"bigint(round({amount} * 100))"
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holdings per customer and part: shares, average cost and the listed price."""
-    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
+    lines = table(spark, sf_dir, "lineitem")
     owners = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     held = (
         lines.join(owners, lines.l_orderkey == owners.o_orderkey)
         .groupBy("o_custkey", "l_partkey")
-        .agg(F.sum("l_quantity").alias("shares"), F.sum(cents(F.col("l_extendedprice"))).alias("_paid"))
+        .agg(F.expr("sum(l_quantity) AS shares"), F.expr(f"sum({cents('l_extendedprice')}) AS paid"))
     )
-    parts = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
-    return held.join(parts, held.l_partkey == parts.p_partkey).select(
-        F.col("o_custkey").alias("portfolio_id"),
-        ticker_of(F.col("l_partkey")).alias("ticker"),
-        F.col("p_name").alias("name"),
-        F.col("p_brand").alias("theme"),
-        (F.col("p_type") == "PROMO").alias("is_financial"),
+    parts = table(spark, sf_dir, "part")
+    return held.join(parts, held.l_partkey == parts.p_partkey).selectExpr(
+        "o_custkey AS portfolio_id",
+        "concat('P', l_partkey) AS ticker",
+        "p_name AS name",
+        "p_brand AS theme",
+        "p_type = 'PROMO' AS is_financial",
         "shares",
-        (F.round(F.col("_paid") * 100 / F.col("shares")) / 10000).alias("cost"),
-        F.col("p_retailprice").alias("price"),
+        "round(paid * 100 / shares) / 10000 AS cost",
+        "p_retailprice AS price",
     )
 
 
 def portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("portfolio_id"),
-        F.col("c_name").alias("portfolio_name"),
-        F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("currency"),
-        F.col("c_acctbal").alias("cash"),
-    )
-
-
-def yearly_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per part and year: revenue, discounted revenue, units, line count and mean tax."""
-    lines = table(
-        spark, sf_dir, "lineitem",
-        "l_partkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-    )
-    return lines.groupBy("l_partkey", F.year("l_shipdate").alias("fiscal_year")).agg(
-        F.sum("l_extendedprice").alias("rev"),
-        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("disc"),
-        F.sum("l_quantity").alias("qty"),
-        F.count(F.lit(1)).alias("n"),
-        F.avg("l_tax").alias("tax"),
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS portfolio_id", "c_name AS portfolio_name",
+        "concat('N', c_nationkey) AS currency", "c_acctbal AS cash",
     )
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yearly statement rows per ticker."""
-    c = F.col
-    rebate = c("rev") - c("disc")
-    return yearly_lines(spark, sf_dir).select(
-        "l_partkey",
-        "fiscal_year",
-        c("n").alias("line_count"),
-        c("rev").alias("revenue"),
-        (c("rev") * 0.30 - rebate * 2).alias("ebit"),
-        (c("rev") * 0.25 - rebate).alias("operating_income"),
-        (c("disc") / c("qty")).alias("eps"),
-        (c("rev") * 0.12 - rebate).alias("fcf"),
-        c("qty").alias("diluted_shares"),
-        (c("rev") - c("n") * 30000.0).alias("invested_capital"),
-        F.when(c("n") >= 2, c("tax")).alias("tax_rate"),
+    yearly = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy("l_partkey", F.expr("year(l_shipdate) AS fiscal_year"))
+        .agg(
+            F.expr("sum(l_extendedprice) AS rev"),
+            F.expr("sum(l_extendedprice * (1 - l_discount)) AS disc"),
+            F.expr("sum(l_quantity) AS qty"),
+            F.expr("count(*) AS n"),
+            F.expr("avg(l_tax) AS tax"),
+        )
+    )
+    return yearly.selectExpr(
+        "l_partkey", "fiscal_year", "n AS line_count", "rev AS revenue",
+        "rev * 0.30D - (rev - disc) * 2 AS ebit",
+        "rev * 0.25D - (rev - disc) AS operating_income",
+        "disc / qty AS eps",
+        "rev * 0.12D - (rev - disc) AS fcf",
+        "qty AS diluted_shares",
+        "rev - n * 30000D AS invested_capital",
+        "if(n >= 2, tax, NULL) AS tax_rate",
     )
 
 
 def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per ticker: scalars from the part, oldest-first series from its years."""
-    c = F.col
-    rows = F.sort_array(
-        F.collect_list(
-            F.struct(
-                "fiscal_year", "revenue", "ebit", "operating_income", "eps", "fcf",
-                "diluted_shares", "invested_capital", "tax_rate",
-            )
-        )
-    )
-    series = (
-        statements(spark, sf_dir)
-        .groupBy("l_partkey")
-        .agg(rows.alias("y"), F.sum("diluted_shares").alias("units"), F.sum("fcf").alias("fcf_total"))
+    """One row per ticker: scalars from the part, oldest-first series from its years.
+
+    The collected rows are yearly aggregates, so a list grows with calendar years only.
+    """
+    series = statements(spark, sf_dir).groupBy("l_partkey").agg(
+        F.expr(
+            "sort_array(collect_list(struct(fiscal_year, revenue, ebit, operating_income, eps, fcf, "
+            "diluted_shares, invested_capital, tax_rate))) AS y"
+        ),
+        F.expr("sum(diluted_shares) AS units"),
+        F.expr("sum(fcf) AS fcf_total"),
     )
     parts = table(spark, sf_dir, "part")
-    size = c("p_size")
-    live = c("p_retailprice") * (size + 80) / 100
-    reporting = F.when(size % 17 != 0, F.concat(F.lit("N"), (size % 25).cast("string")))
-    return series.join(parts, series.l_partkey == parts.p_partkey).select(
-        ticker_of(c("p_partkey")).alias("ticker"),
-        c("p_name").alias("name"),
-        c("p_brand").alias("theme"),
-        c("p_type").alias("segment"),
-        (c("p_type") == "PROMO").alias("is_financial"),
-        c("p_retailprice").alias("broker_price"),
-        live.alias("live_price"),
-        (live * c("units") * 20).alias("market_cap"),
-        F.when(size % 9 != 0, size / 100).alias("return_on_equity"),
-        F.when(size % 5 == 0, F.lit(0.0)).otherwise(size / 60).alias("gross_margin"),
-        F.when(size % 7 != 0, size / 120).alias("operating_margin"),
-        F.when(size % 6 == 0, F.lit(0.0)).when(size % 11 != 0, size + 8.0).alias("forward_pe"),
-        F.when(size % 13 == 0, F.lit(0.0)).otherwise(c("fcf_total")).alias("free_cash_flow"),
-        reporting.alias("financial_currency"),
-        F.when(size % 4 == 0, reporting).otherwise(F.lit("N0")).alias("trading_currency"),
-        c("y.revenue").alias("revenue_series"),
-        c("y.ebit").alias("ebit_series"),
-        F.filter(c("y.tax_rate"), lambda t: t.isNotNull()).alias("tax_rate_series"),
-        c("y.operating_income").alias("operating_income_series"),
-        c("y.eps").alias("eps_series"),
-        c("y.fcf").alias("fcf_series"),
-        c("y.diluted_shares").alias("diluted_shares_series"),
-        c("y.invested_capital").alias("invested_capital_series"),
+    reporting = "if(p_size % 17 <> 0, concat('N', p_size % 25), NULL)"
+    return series.join(parts, series.l_partkey == parts.p_partkey).selectExpr(
+        "concat('P', p_partkey) AS ticker", "p_name AS name", "p_brand AS theme", "p_type AS segment",
+        "p_type = 'PROMO' AS is_financial",
+        "p_retailprice AS broker_price",
+        "p_retailprice * (p_size + 80) / 100 AS live_price",
+        "p_retailprice * (p_size + 80) / 100 * units * 20 AS market_cap",
+        "if(p_size % 9 <> 0, p_size / 100D, NULL) AS return_on_equity",
+        "if(p_size % 5 = 0, 0D, p_size / 60D) AS gross_margin",
+        "if(p_size % 7 <> 0, p_size / 120D, NULL) AS operating_margin",
+        "CASE WHEN p_size % 6 = 0 THEN 0D WHEN p_size % 11 <> 0 THEN p_size + 8D END AS forward_pe",
+        "if(p_size % 13 = 0, 0D, fcf_total) AS free_cash_flow",
+        f"{reporting} AS financial_currency",
+        f"if(p_size % 4 = 0, {reporting}, 'N0') AS trading_currency",
+        "y.revenue AS revenue_series", "y.ebit AS ebit_series",
+        "filter(y.tax_rate, t -> t IS NOT NULL) AS tax_rate_series",
+        "y.operating_income AS operating_income_series", "y.eps AS eps_series", "y.fcf AS fcf_series",
+        "y.diluted_shares AS diluted_shares_series", "y.invested_capital AS invested_capital_series",
     )
 
 
 def fx_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates into the house currency, one per nation (a 25-row dimension)."""
-    return (
-        table(spark, sf_dir, "nation", "n_nationkey")
-        .filter("n_nationkey > 0")
-        .select(
-            F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("base"),
-            F.lit("N0").alias("quote"),
-            (F.col("n_nationkey") / 50 + 1).alias("rate"),
-        )
+    """Rates into the house currency, one per foreign nation (a 25-row dimension)."""
+    return table(spark, sf_dir, "nation").filter("n_nationkey > 0").selectExpr(
+        "concat('N', n_nationkey) AS base", "'N0' AS quote", "n_nationkey / 50D + 1 AS rate"
     )
 
 
@@ -158,109 +142,77 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trade per lineitem, with the schedule's fee on its gross amount."""
     lines = table(spark, sf_dir, "lineitem")
     owners = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
-    gross = F.col("l_extendedprice")
-    return lines.join(owners, lines.l_orderkey == owners.o_orderkey).select(
-        F.col("o_custkey").alias("portfolio_id"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("trade_ref"),
-        ticker_of(F.col("l_partkey")).alias("ticker"),
-        F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("transaction_type"),
-        F.col("l_quantity").alias("shares"),
-        (gross / F.col("l_quantity")).alias("price_per_share"),
-        gross.alias("total_amount"),
-        fee.order_fee(gross).alias("fees"),
-        F.col("l_shipdate").alias("executed_at"),
+    return lines.join(owners, lines.l_orderkey == owners.o_orderkey).selectExpr(
+        "o_custkey AS portfolio_id",
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS trade_ref",
+        "concat('P', l_partkey) AS ticker",
+        "if(l_returnflag = 'R', 'SELL', 'BUY') AS transaction_type",
+        "l_quantity AS shares",
+        "l_extendedprice / l_quantity AS price_per_share",
+        "l_extendedprice AS total_amount",
+        f"{fee.order_fee('l_extendedprice')} AS fees",
+        "l_shipdate AS executed_at",
     )
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quote history: one row per event, keyed by a ticker per user."""
-    return table(spark, sf_dir, "events").select(
-        F.concat(F.lit("Q"), F.col("user_id").cast("string")).alias("ticker"),
-        F.col("value").alias("price"),
-        F.when(F.col("event_type") != "error", F.col("value") / 100).alias("change_percent"),
-        F.col("event_type").alias("feed"),
-        F.col("ts").alias("recorded_at"),
-        F.col("event_id").alias("quote_id"),
+    return table(spark, sf_dir, "events").selectExpr(
+        "concat('Q', user_id) AS ticker", "value AS price",
+        "if(event_type <> 'error', value / 100, NULL) AS change_percent",
+        "event_type AS feed", "ts AS recorded_at", "event_id AS quote_id",
     )
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filed values per supplier: ordered on ``period_end``, public from ``filed``."""
-    lines = table(
-        spark, sf_dir, "lineitem",
-        "l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_shipdate", "l_extendedprice",
-    )
+    lines = table(spark, sf_dir, "lineitem")
     owners = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
-    form = (
-        F.when(F.col("l_returnflag") == "A", "10-K")
-        .when(F.col("l_returnflag") == "N", "10-Q")
-        .otherwise("20-f")
-    )
     return (
         lines.join(owners, lines.l_orderkey == owners.o_orderkey)
-        .filter(F.col("l_shipdate") >= F.col("o_orderdate"))
-        .select(
-            F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("entity"),
-            F.concat(F.lit("Tag"), F.col("l_linenumber").cast("string")).alias("tag"),
-            F.col("l_extendedprice").alias("value"),
-            F.to_date("o_orderdate").alias("period_end"),
-            F.to_date("l_shipdate").alias("filed"),
-            form.alias("form"),
-            F.year("o_orderdate").alias("fiscal_year"),
-            F.col("l_orderkey").alias("accession"),
+        .filter("l_shipdate >= o_orderdate")
+        .selectExpr(
+            "concat('S', l_suppkey) AS entity", "concat('Tag', l_linenumber) AS tag",
+            "l_extendedprice AS value", "date(o_orderdate) AS period_end", "date(l_shipdate) AS filed",
+            "CASE l_returnflag WHEN 'A' THEN '10-K' WHEN 'N' THEN '10-Q' ELSE '20-f' END AS form",
+            "year(o_orderdate) AS fiscal_year", "l_orderkey AS accession",
         )
     )
 
 
-def brand_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly mean unit price per supplier region (study) and brand (ticker)."""
-    lines = table(
-        spark, sf_dir, "lineitem", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"
-    )
+def _brand_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
     parts = table(spark, sf_dir, "part", "p_partkey", "p_brand")
     places = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey").join(
         F.broadcast(table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey")),
-        F.col("s_nationkey") == F.col("n_nationkey"),
-    )
-    return (
-        lines.join(parts, lines.l_partkey == parts.p_partkey)
-        .join(places, lines.l_suppkey == places.s_suppkey)
-        .groupBy(
-            F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("study"),
-            F.col("p_brand").alias("ticker"),
-            F.to_date(F.date_trunc("month", "l_shipdate")).alias("date"),
-        )
-        .agg((F.sum(cents(F.col("l_extendedprice"))) / 100 / F.sum("l_quantity")).alias("price"))
+        F.expr("s_nationkey = n_nationkey"),
     )
+    return lines.join(parts, lines.l_partkey == parts.p_partkey).join(
+        places, lines.l_suppkey == places.s_suppkey
+    ).withColumnsRenamed({"p_brand": "ticker"}).withColumn("study", F.expr("concat('R', n_regionkey)"))
+
+
+def brand_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly mean unit price per supplier region (study) and brand (ticker)."""
+    month = F.expr("date(date_trunc('month', l_shipdate)) AS date")
+    price = F.expr(f"sum({cents('l_extendedprice')}) / 100D / sum(l_quantity) AS price")
+    return _brand_lines(spark, sf_dir).groupBy("study", "ticker", month).agg(price)
 
 
 def brand_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spend share per study and brand: the 'current' weights of a study."""
-    lines = table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey", "l_extendedprice")
-    parts = table(spark, sf_dir, "part", "p_partkey", "p_brand")
-    places = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey").join(
-        F.broadcast(table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey")),
-        F.col("s_nationkey") == F.col("n_nationkey"),
-    )
-    return (
-        lines.join(parts, lines.l_partkey == parts.p_partkey)
-        .join(places, lines.l_suppkey == places.s_suppkey)
-        .groupBy(
-            F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("study"),
-            F.col("p_brand").alias("ticker"),
-        )
-        .agg((F.sum(cents(F.col("l_extendedprice"))) / 100).alias("weight"))
-    )
+    """Spend per study and brand: the 'current' weights of a study."""
+    spend = F.expr(f"sum({cents('l_extendedprice')}) / 100D AS weight")
+    return _brand_lines(spark, sf_dir).groupBy("study", "ticker").agg(spend)
 
 
 def brand_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line amounts per customer, order, line slot and brand (hundredths of the price)."""
-    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice")
+    """Cents spent per order, line slot and brand."""
+    lines = table(spark, sf_dir, "lineitem")
     parts = table(spark, sf_dir, "part", "p_partkey", "p_brand")
     return (
         lines.join(parts, lines.l_partkey == parts.p_partkey)
-        .groupBy("l_orderkey", "l_linenumber", F.regexp_replace("p_brand", "#", "").alias("ticker"))
-        .agg((F.sum(cents(F.col("l_extendedprice"))) / 10000).alias("raw_amount"))
+        .groupBy("l_orderkey", "l_linenumber", F.expr("replace(p_brand, '#', '') AS ticker"))
+        .agg(F.expr(f"sum({cents('l_extendedprice')}) AS spent"))
     )
 
 
@@ -269,42 +221,31 @@ def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Brands number 25, so the collected lists are bounded by that dimension.
     """
-    c = F.col
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice")
     spend = (
         brand_orders(spark, sf_dir)
-        .join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("o_custkey", "ticker")
-        .agg(F.sum(F.round(c("raw_amount") * 10000).cast("long")).alias("spent"))
+        .join(orders, F.expr("l_orderkey = o_orderkey"))
+        .groupBy("o_custkey", "ticker").agg(F.expr("sum(spent) AS spent"))
         .groupBy("o_custkey")
-        .agg(F.sort_array(F.collect_list(F.struct((-c("spent")).alias("k"), "ticker"))).alias("r"))
-        .select("o_custkey", c("r.ticker").alias("ranked"))
+        .agg(F.expr("sort_array(collect_list(struct(-spent AS k, ticker))).ticker AS ranked"))
+        .withColumnRenamed("o_custkey", "_spender")
     )
     cash = orders.groupBy("o_custkey").agg(
-        F.round(F.sum(cents(c("o_totalprice"))) / F.count(F.lit(1)) / 10000, 2).alias("cash")
+        F.expr(f"round(sum({cents('o_totalprice')}) / count(*) / 10000D, 2) AS cash")
     )
-    people = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
     return (
-        people.join(cash, people.c_custkey == cash.o_custkey).drop("o_custkey")
-        .join(spend, people.c_custkey == spend.o_custkey)
-        .select(
-            F.concat(F.lit("scn_"), c("c_custkey").cast("string")).alias("scenario"),
-            c("c_mktsegment").alias("category"),
-            "cash",
-            F.slice("ranked", 1, 10).alias("allowed_tickers"),
-            F.slice("ranked", 4, 2).alias("owned_tickers"),
-            F.slice("ranked", 1, 3).alias("policy_tickers"),
-            F.slice("ranked", 9, 1).alias("restricted_tickers"),
-            F.slice("ranked", 10, 1).alias("concentration_blocked_tickers"),
-            F.array(
-                F.concat(F.lit("segment_"), c("c_mktsegment")),
-                F.concat(F.lit("nation_"), c("c_nationkey").cast("string")),
-            ).alias("available_fact_ids"),
-            F.lit(3).alias("max_recommendations"),
-            (c("c_nationkey") % 2 == 0).alias("add_only"),
-            (c("c_mktsegment") != "BUILDING").alias("amounts_required"),
-            F.lit(250.0).alias("min_order_amount"),
-            F.when(c("c_nationkey") % 3 == 0, F.lit(0.9)).alias("min_cash_deployment_fraction"),
+        table(spark, sf_dir, "customer")
+        .join(cash, F.expr("c_custkey = o_custkey"))
+        .join(spend, F.expr("c_custkey = _spender"))
+        .selectExpr(
+            "concat('scn_', c_custkey) AS scenario", "c_mktsegment AS category", "cash",
+            "slice(ranked, 1, 10) AS allowed_tickers", "slice(ranked, 4, 2) AS owned_tickers",
+            "slice(ranked, 1, 3) AS policy_tickers", "slice(ranked, 9, 1) AS restricted_tickers",
+            "slice(ranked, 10, 1) AS concentration_blocked_tickers",
+            "array(concat('segment_', c_mktsegment), concat('nation_', c_nationkey)) AS available_fact_ids",
+            "3 AS max_recommendations", "c_nationkey % 2 = 0 AS add_only",
+            "c_mktsegment <> 'BUILDING' AS amounts_required", "250D AS min_order_amount",
+            "if(c_nationkey % 3 = 0, 0.9D, NULL) AS min_cash_deployment_fraction",
         )
     )
 
@@ -314,36 +255,24 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Legs are merged per (slot, brand) first, so an order carries at most 7 x 25 of them.
     """
-    c = F.col
-    legs = (
-        brand_orders(spark, sf_dir)
-        .groupBy("l_orderkey")
-        .agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "ticker", "raw_amount"))).alias("g"))
-    )
-    heads = table(
-        spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"
+    legs = brand_orders(spark, sf_dir).groupBy("l_orderkey").agg(
+        F.expr("sort_array(collect_list(struct(l_linenumber, ticker, spent))) AS g")
     )
+    heads = table(spark, sf_dir, "orders")
     people = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
-    own_fact = F.concat(F.lit("segment_"), c("c_mktsegment"))
-    odd_fact = F.concat(F.lit("status_"), c("o_orderstatus"))
-    amounts = F.transform(c("g.raw_amount"), lambda a: F.round(a, 2))
     return (
         heads.join(legs, heads.o_orderkey == legs.l_orderkey)
         .join(people, heads.o_custkey == people.c_custkey)
-        .select(
-            F.concat(F.lit("scn_"), c("o_custkey").cast("string")).alias("scenario"),
-            F.when(F.substring("o_orderpriority", 1, 1).isin("1", "2"), "advisor_fast")
-            .otherwise("advisor_slow").alias("advisor"),
-            F.element_at(
-                F.array(F.lit("bare"), F.lit("policy"), F.lit("scaffold")),
-                (c("o_orderkey") % 3 + 1).cast("int"),
-            ).alias("arm"),
-            c("o_orderkey").alias("run_id"),
-            c("g.ticker").alias("tickers"),
-            F.when(c("o_orderstatus") == "P", F.array().cast("array<double>"))
-            .otherwise(amounts).alias("amounts"),
-            F.when(c("o_orderstatus") == "O", F.array(own_fact))
-            .when(c("o_orderstatus") == "F", F.array(own_fact, odd_fact, odd_fact))
-            .otherwise(F.array().cast("array<string>")).alias("cited_fact_ids"),
+        .selectExpr(
+            "concat('scn_', o_custkey) AS scenario",
+            "if(left(o_orderpriority, 1) IN ('1', '2'), 'advisor_fast', 'advisor_slow') AS advisor",
+            "array('bare', 'policy', 'scaffold')[int(o_orderkey % 3)] AS arm",
+            "o_orderkey AS run_id",
+            "g.ticker AS tickers",
+            "if(o_orderstatus = 'P', cast(array() AS array<double>), "
+            "transform(g.spent, a -> round(a / 100) / 100)) AS amounts",
+            "CASE o_orderstatus WHEN 'O' THEN array(concat('segment_', c_mktsegment)) "
+            "WHEN 'F' THEN array(concat('segment_', c_mktsegment), concat('status_', o_orderstatus), "
+            "concat('status_', o_orderstatus)) ELSE cast(array() AS array<string>) END AS cited_fact_ids",
         )
     )

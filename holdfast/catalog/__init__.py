@@ -2,6 +2,8 @@
 
 from holdfast.catalog import views  # noqa: F401
 from holdfast.catalog import core  # noqa: F401
+from holdfast.catalog import audit  # noqa: F401
+from holdfast.catalog import markets  # noqa: F401
 from holdfast.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -15,11 +15,11 @@ from holdfast.plans import deployment as d
 
 
 def rnd(name, places=6):
-    return F.round(F.col(name).cast("double"), places).alias(name)
+    return F.expr(f"round(double({name}), {places}) AS {name}")
 
 
 def big(name):
-    return F.col(name).cast("long").alias(name)
+    return F.expr(f"bigint({name}) AS {name}")
 
 
 def analyses(spark, sf):
@@ -77,15 +77,14 @@ FROM lineitem""")
 def pf11(spark, sf):
     li = b.table(spark, sf, "lineitem")
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                     fee.order_fee(F.col("l_extendedprice") - 20000).alias("fee"))
+                     F.expr(fee.order_fee("(l_extendedprice - 20000)")).alias("fee"))
 
 
 @query("PF12_economic_floor", """
 SELECT c_custkey, round(2.5e0 / ((1 + c_nationkey % 4) / 100e0), 6) AS floor,
        c_acctbal >= round(2.5e0 / ((1 + c_nationkey % 4) / 100e0), 6) AS can_order FROM customer""")
 def pf12(spark, sf):
-    tolerance = (F.col("c_nationkey") % 4 + 1) / 100
-    floor = F.round(fee.economic_floor(F.lit(2.5), tolerance), 6)
+    floor = F.round(F.expr(fee.economic_floor("2.5D", "((c_nationkey % 4 + 1) / 100D)")), 6)
     return b.table(spark, sf, "customer").select(
         "c_custkey", floor.alias("floor"), (F.col("c_acctbal") >= floor).alias("can_order"))
 
@@ -99,8 +98,8 @@ def pf13(spark, sf):
     ccy = b.fundamentals(spark, sf).select("ticker", F.coalesce("trading_currency", F.lit("N0")).alias("currency"))
     rows = v.value_positions(b.positions(spark, sf)).join(ccy, "ticker")
     return rows.groupBy("portfolio_id").agg(
-        money.one_currency("currency").alias("single_currency"),
-        money.guarded_sum("market_value", "currency").alias("guarded_total"),
+        F.expr(money.one_currency("currency")).alias("single_currency"),
+        F.expr(money.guarded_sum("market_value", "currency")).alias("guarded_total"),
     ).select("portfolio_id", "single_currency", rnd("guarded_total", 2))
 
 
@@ -121,7 +120,7 @@ def pf14(spark, sf):
     fx = b.fx_rates(spark, sf).select(F.col("base").alias("currency"), "rate")
     rows = b.portfolios(spark, sf).join(F.broadcast(fx), "currency", "left")
     return rows.select("portfolio_id", "currency",
-                       money.convert(F.col("cash"), F.coalesce("rate", F.lit(1.0))).cast("double").alias("converted"))
+                       F.expr(money.convert("cash", "coalesce(rate, 1D)")).cast("double").alias("converted"))
 
 
 @query("PF15_money_display", """
@@ -129,8 +128,8 @@ SELECT portfolio_id, CASE WHEN portfolio_id % 3 = 0 THEN 'USD' WHEN portfolio_id
        CASE WHEN portfolio_id % 3 = 0 THEN '$' WHEN portfolio_id % 3 = 1 THEN 'R$' ELSE '€' END || ' ' || format('{:,.2f}', cash) AS shown
 FROM portfolios""", ("portfolios",))
 def pf15(spark, sf):
-    ccy = F.element_at(F.array(F.lit("USD"), F.lit("BRL"), F.lit("EUR")), (F.col("portfolio_id") % 3 + 1).cast("int"))
-    return b.portfolios(spark, sf).select("portfolio_id", ccy.alias("currency"), money.display(F.col("cash"), ccy).alias("shown"))
+    rows = b.portfolios(spark, sf).selectExpr("portfolio_id", "cash", "array('USD', 'BRL', 'EUR')[int(portfolio_id % 3)] AS currency")
+    return rows.selectExpr("portfolio_id", "currency", f"{money.display('cash', 'currency')} AS shown")
 
 
 @query("PF16_purchase_eligibility", """
@@ -197,14 +196,14 @@ def sj3b(spark, sf):
 
 
 @query("AG1_portfolio_totals", """
-SELECT p.portfolio_id, round(coalesce(t.mv, 0), 2) AS market_value, round(coalesce(t.cb, 0), 2) AS cost_basis,
-       round(coalesce(t.mv - t.cb, 0), 2) + 0e0 AS gain, round(CASE WHEN t.cb > 0 THEN (t.mv - t.cb) / t.cb * 100 ELSE 0 END, 6) + 0e0 AS gain_pct,
+SELECT p.portfolio_id, round(coalesce(t.mv, 0), 2) AS market_value, round(coalesce(t.cb, 0), 4) AS cost_basis,
+       round(coalesce(t.mv - t.cb, 0), 4) + 0e0 AS gain, round(CASE WHEN t.cb > 0 THEN (t.mv - t.cb) / t.cb * 100 ELSE 0 END, 6) + 0e0 AS gain_pct,
        round(coalesce(t.mv, 0) + p.cash, 2) AS total_value, coalesce(t.n, 0) AS position_count
 FROM portfolios p LEFT JOIN (SELECT portfolio_id, sum(market_value) AS mv, sum(cost_basis) AS cb, count(*) AS n FROM valued GROUP BY 1) t
 USING (portfolio_id)""", ("portfolios", "valued"))
 def ag1(spark, sf):
     t = v.portfolio_totals(v.value_positions(b.positions(spark, sf)), b.portfolios(spark, sf))
-    return t.select("portfolio_id", rnd("market_value", 2), rnd("cost_basis", 2), rnd("gain", 2), rnd("gain_pct"),
+    return t.select("portfolio_id", rnd("market_value", 2), rnd("cost_basis", 4), rnd("gain", 4), rnd("gain_pct"),
                     rnd("total_value", 2), big("position_count"))
 
 
@@ -250,14 +249,14 @@ _scored("SC14_valuation_points", ["valuation_points"])
 
 @query("SC1_clamp", "SELECT l_partkey, fiscal_year, round(least(100, greatest(0, (revenue - 100000) / 1000)), 6) AS clamped FROM statements", ("statements",))
 def sc1(spark, sf):
-    return b.statements(spark, sf).select("l_partkey", "fiscal_year", F.round(s.clamp((F.col("revenue") - 100000) / 1000), 6).alias("clamped"))
+    return b.statements(spark, sf).select("l_partkey", "fiscal_year", F.round(F.expr(s.clamp("(revenue - 100000) / 1000")), 6).alias("clamped"))
 
 
 @query("SC5_margin_series", """
 SELECT 'P' || l_partkey AS ticker, age::BIGINT AS age, round(operating_income / revenue, 6) AS margin FROM aligned_years""", ("aligned_years",))
 def sc5(spark, sf):
     f = b.fundamentals(spark, sf)
-    rows = f.select("ticker", F.posexplode(s.margin_history(F.col("revenue_series"), F.col("operating_income_series"))).alias("i", "margin"))
+    rows = f.select("ticker", F.posexplode(F.expr(s.margin_history("revenue_series", "operating_income_series"))).alias("i", "margin"))
     return rows.select("ticker", (F.col("i") + 1).cast("long").alias("age"), rnd("margin"))
 
 
@@ -275,21 +274,18 @@ SELECT ticker, step::BIGINT AS step, round(live_price / pow(1 + coalesce(revenue
        round(100 - step * 0.4, 6)::DOUBLE AS steady_shares
 FROM scored, range(6) r(step) WHERE live_price > 0 AND coalesce(revenue_cagr, 0) > -0.95""", ("scored",))
 def sc16(spark, sf):
-    implied = s.implied_series(F.col("revenue_cagr"), F.col("live_price"))
-    rows = b.scored_tickers(spark, sf).select("ticker", F.posexplode(F.arrays_zip(implied.alias("v"), s.steady_share_series().alias("h"))).alias("step", "z"))
-    z = F.col("z")
-    return rows.filter(z["v"].isNotNull()).select(
-        "ticker", F.col("step").cast("long").alias("step"), F.round(z["v"], 6).alias("value"),
-        F.round(z["h"], 6).alias("steady_shares"))
+    rows = b.scored_tickers(spark, sf).selectExpr(
+        "ticker", f"{s.implied_series('revenue_cagr', 'live_price')} AS v", f"{s.steady_share_series()} AS h")
+    return rows.selectExpr("ticker", "h", "posexplode(v) AS (step, value)").selectExpr(
+        "ticker", "bigint(step) AS step", "round(value, 6) AS value", "round(h[step], 6) AS steady_shares")
 
 
 @query("SC17_percent_metric", """
 SELECT p_partkey, round(coalesce(CASE WHEN p_size % 9 <> 0 THEN p_size END, CASE WHEN p_size % 2 = 0 THEN p_retailprice END) / 100e0, 6) AS metric
 FROM part""")
 def sc17(spark, sf):
-    size = F.col("p_size")
-    return b.table(spark, sf, "part").select(
-        "p_partkey", F.round(s.first_percent(F.when(size % 9 != 0, size), F.when(size % 2 == 0, F.col("p_retailprice"))), 6).alias("metric"))
+    metric = s.first_percent("if(p_size % 9 <> 0, p_size, NULL)", "if(p_size % 2 = 0, p_retailprice, NULL)")
+    return b.table(spark, sf, "part").selectExpr("p_partkey", f"round({metric}, 6) AS metric")
 
 
 @query("PF10_numeric_coercion", """
@@ -297,12 +293,10 @@ SELECT doc_id, CASE WHEN isfinite(n) THEN n END AS number, n IS NULL OR NOT isfi
 FROM (SELECT doc_id, try_cast(CASE doc_id % 5 WHEN 0 THEN n_chars::VARCHAR WHEN 1 THEN 'NaN' WHEN 2 THEN 'Infinity' WHEN 3 THEN lang
       ELSE ' ' || n_chars || '.5 ' END AS DOUBLE) AS n FROM documents)""")
 def pf10(spark, sf):
-    c = F.col
-    k = c("doc_id") % 5
-    text = (F.when(k == 0, c("n_chars").cast("string")).when(k == 1, "NaN").when(k == 2, "Infinity").when(k == 3, c("lang"))
-            .otherwise(F.concat(F.lit(" "), c("n_chars").cast("string"), F.lit(".5 "))))
-    rows = b.table(spark, sf, "documents", "doc_id", "lang", "n_chars").select("doc_id", s.finite(text).alias("number"))
-    return rows.withColumn("rejected", c("number").isNull())
+    text = ("CASE doc_id % 5 WHEN 0 THEN string(n_chars) WHEN 1 THEN 'NaN' WHEN 2 THEN 'Infinity' WHEN 3 THEN lang "
+            "ELSE concat(' ', n_chars, '.5 ') END AS raw")
+    rows = b.table(spark, sf, "documents", "doc_id", "lang", "n_chars").selectExpr("doc_id", text)
+    return rows.selectExpr("doc_id", f"{s.finite('raw')} AS number", f"{s.finite('raw')} IS NULL AS rejected")
 
 
 @query("WN14_ranked_positions", """
@@ -417,12 +411,12 @@ def sc24x(spark, sf):
 SELECT portfolio_id, leg AS pick, ticker, theme FROM picks""", ("picks",))
 def wn8(spark, sf):
     rows = d.purchase_candidates(analyses(spark, sf)).join(b.portfolios(spark, sf).select("portfolio_id", "cash"), "portfolio_id")
-    return rows.filter(F.col("pick") <= fee.max_orders(F.col("cash"))).select("portfolio_id", big("pick"), "ticker", "theme")
+    return rows.filter(f"pick <= {fee.max_orders('cash')}").select("portfolio_id", big("pick"), "ticker", "theme")
 
 
 @query("SC19_max_orders", "SELECT portfolio_id, max_picks::BIGINT AS max_orders FROM cash_rules", ("cash_rules",))
 def sc19(spark, sf):
-    return b.portfolios(spark, sf).select("portfolio_id", fee.max_orders(F.col("cash")).cast("long").alias("max_orders"))
+    return b.portfolios(spark, sf).select("portfolio_id", F.expr(fee.max_orders("cash")).cast("long").alias("max_orders"))
 
 
 @query("SC20_score_split", """
@@ -432,7 +426,7 @@ def sc20(spark, sf):
     two = d.purchase_candidates(analyses(spark, sf)).filter("pick <= 2").groupBy("portfolio_id").agg(
         F.max(F.when(c("pick") == 1, c("score"))).alias("a"), F.max(F.when(c("pick") == 2, c("score"))).alias("b"))
     rows = two.join(b.portfolios(spark, sf), "portfolio_id").filter(c("b").isNotNull() & (c("cash") >= 500))
-    first = fee.score_split(c("a"), c("b"), c("cash"))
+    first = F.expr(fee.score_split("a", "b", "cash"))
     return rows.select("portfolio_id", F.round(first, 4).alias("first_amount"), F.round(c("cash") - first, 4).alias("second_amount"))
 
 
@@ -443,9 +437,9 @@ def sc21(spark, sf):
     c = F.col
     picks = d.purchase_candidates(analyses(spark, sf)).groupBy("portfolio_id").agg(
         F.sort_array(F.collect_list(F.struct("pick", "score"))).alias("p"))
-    rows = picks.join(b.portfolios(spark, sf), "portfolio_id").withColumn("p", F.slice("p", 1, fee.max_orders(c("cash"))))
+    rows = picks.join(b.portfolios(spark, sf), "portfolio_id").withColumn("p", F.slice("p", 1, F.expr(fee.max_orders("cash"))))
     rows = rows.filter((F.size("p") >= 3) & (c("cash") >= 3000))
-    legs = rows.select("portfolio_id", F.posexplode(fee.tranche_amounts(c("p.score"), c("cash"))).alias("i", "amount"))
+    legs = rows.select("portfolio_id", F.posexplode(F.expr(fee.tranche_amounts("p.score", "cash"))).alias("i", "amount"))
     return legs.select("portfolio_id", (c("i") + 1).cast("long").alias("leg"), rnd("amount", 4))
 
 
@@ -453,10 +447,9 @@ def sc21(spark, sf):
 SELECT portfolio_id, coalesce(ceil(first_amount / 1000) * 2.5 + ceil((cash - first_amount) / 1000) * 2.5 <= single_fee, FALSE) AS fee_neutral
 FROM pair_split""", ("pair_split",))
 def sc22(spark, sf):
-    c = F.col
     rows = sc20(spark, sf).join(b.portfolios(spark, sf), "portfolio_id")
-    split = fee.total_order_fee(F.array("first_amount", "second_amount"))
-    return rows.select("portfolio_id", F.coalesce(split <= fee.order_fee(c("cash")), F.lit(False)).alias("fee_neutral"))
+    split = fee.total_order_fee("array(first_amount, second_amount)")
+    return rows.selectExpr("portfolio_id", f"coalesce({split} <= {fee.order_fee('cash')}, false) AS fee_neutral")
 
 
 @query("SC23_order_count", "SELECT status, orders, count(*) AS portfolios, round(sum(deployed), 2) AS deployed FROM deploy_plans GROUP BY 1, 2", ("deploy_plans",))
@@ -468,7 +461,7 @@ def sc23(spark, sf):
 @query("SC25_deployment_bound", """
 SELECT portfolio_id, CASE WHEN cash >= 250 AND candidates >= 1 THEN cash ELSE 0 END::DOUBLE AS bound FROM deploy_plans""", ("deploy_plans",))
 def sc25(spark, sf):
-    return plans(spark, sf).select("portfolio_id", fee.deployable_bound(F.col("cash"), F.col("candidates")).alias("bound"))
+    return plans(spark, sf).select("portfolio_id", F.expr(fee.deployable_bound("cash", "candidates")).alias("bound"))
 
 
 @query("SC26_planner_gap", """
@@ -485,12 +478,12 @@ def sc26(spark, sf):
 
 @query("SC33_rebalance_suggestions", """
 SELECT portfolio_id, ticker, round(weight_pct, 6) AS current_weight, round(t, 6) AS target_weight,
-       CASE WHEN weight_pct - t < 0 THEN 'BUY' ELSE 'SELL' END AS action, round(abs(t / 100 * portfolio_value - market_value), 4) AS amount,
+       CASE WHEN weight_pct - t < 0 THEN 'BUY' ELSE 'SELL' END AS action, round(abs(t / 100 * portfolio_value - market_value) + 1e-6, 4) AS amount,
        'Weight deviation: ' || printf('%+.1f', round(weight_pct - t, 1)) || '% from target' AS reason
 FROM (SELECT *, 100e0 / count(*) OVER (PARTITION BY portfolio_id) AS t FROM weighted) WHERE abs(weight_pct - t) > 5""", ("weighted",))
 def sc33(spark, sf):
     return v.rebalance_suggestions(weighted(spark, sf)).select(
-        "portfolio_id", "ticker", rnd("current_weight"), rnd("target_weight"), "action", rnd("amount", 4), "reason")
+        "portfolio_id", "ticker", rnd("current_weight"), rnd("target_weight"), "action", F.round(F.col("amount") + 1e-6, 4).alias("amount"), "reason")
 
 
 @query("TK9_positions_by_value", """

@@ -159,7 +159,7 @@ SELECT study, ticker, sum(cents)::DOUBLE / 100 AS weight FROM brand_lines GROUP
 
 view("legs", """
 SELECT l_orderkey AS run_id, l_linenumber AS slot, replace(p_brand, '#', '') AS ticker,
-       round(sum(CAST(round(l_extendedprice * 100) AS BIGINT))::DOUBLE / 10000, 2) AS amount,
+       round(sum(CAST(round(l_extendedprice * 100) AS BIGINT))::DOUBLE / 100) / 100 AS amount,
        sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS spent
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3""")
 

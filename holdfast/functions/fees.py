@@ -1,11 +1,10 @@
-"""Broker fee arithmetic and cash sizing as column expressions."""
+"""Broker fee arithmetic and cash sizing."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from holdfast.functions import let
 
 
 @dataclass(frozen=True)
@@ -24,47 +23,42 @@ class FeeSchedule:
 
 
 DEFAULT_FEES = FeeSchedule()
+NO_AMOUNTS = "cast(array() AS array<double>)"
 
 
-def order_fee(amount: Column, fees: FeeSchedule = DEFAULT_FEES) -> Column:
-    tranches = F.ceil(amount / F.lit(fees.tranche))
-    return F.when(amount <= 0, F.lit(0.0)).otherwise(tranches * F.lit(fees.cost))
+def order_fee(amount: str, fees: FeeSchedule = DEFAULT_FEES) -> str:
+    return f"(CASE WHEN {amount} <= 0 THEN 0D ELSE ceil({amount} / {fees.tranche}D) * {fees.cost}D END)"
 
 
-def total_order_fee(amounts: Column, fees: FeeSchedule = DEFAULT_FEES) -> Column:
-    return F.aggregate(amounts, F.lit(0.0), lambda acc, a: acc + order_fee(a, fees))
+def total_order_fee(amounts: str, fees: FeeSchedule = DEFAULT_FEES) -> str:
+    return f"aggregate({amounts}, 0D, (acc, paid) -> acc + {order_fee('paid', fees)})"
 
 
-def max_orders(cash: Column, fees: FeeSchedule = DEFAULT_FEES) -> Column:
+def max_orders(cash: str, fees: FeeSchedule = DEFAULT_FEES) -> str:
     """Order count a cash level supports: two when small, then one per tranche up to six."""
-    return F.when(cash < fees.tranche * 3, F.lit(2)).otherwise(
-        F.least(F.lit(fees.max_legs), F.floor(cash / fees.tranche).cast("int"))
+    return (
+        f"(CASE WHEN {cash} < {fees.tranche * 3}D THEN 2 "
+        f"ELSE least({fees.max_legs}, int(floor({cash} / {fees.tranche}D))) END)"
     )
 
 
-def score_split(first: Column, second: Column, cash: Column) -> Column:
+def score_split(first: str, second: str, cash: str) -> str:
     """First leg of a two-way split by score; null when the scores cancel out."""
-    return cash * F.try_divide(first, first + second)
+    return f"({cash} * try_divide({first}, {first} + {second}))"
 
 
-def two_way_fee(cash: Column, share: Column, fees: FeeSchedule = DEFAULT_FEES) -> Column:
+def two_way_fee(cash: str, share: str, fees: FeeSchedule = DEFAULT_FEES) -> str:
     """Fee of a plain proportional two-way split, ignoring tranche alignment."""
-    first = cash * share
-    second = cash - first
+    first, second = f"({cash} * {share})", f"({cash} - {cash} * {share})"
     single = order_fee(cash, fees)
     return (
-        F.when(cash < fees.floor, F.lit(0.0))
-        .when(cash < fees.floor * 2, single)
-        .when((first < fees.floor) | (second < fees.floor), single)
-        .otherwise(order_fee(first, fees) + order_fee(second, fees))
+        f"(CASE WHEN {cash} < {fees.floor}D THEN 0D WHEN {cash} < {fees.floor * 2}D THEN {single} "
+        f"WHEN {first} < {fees.floor}D OR {second} < {fees.floor}D THEN {single} "
+        f"ELSE {order_fee(first, fees)} + {order_fee(second, fees)} END)"
     )
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
-
-
-def tranche_amounts(scores: Column, cash: Column, fees: FeeSchedule = DEFAULT_FEES) -> Column:
+def tranche_amounts(scores: str, cash: str, fees: FeeSchedule = DEFAULT_FEES) -> str:
     """Whole-tranche legs for large cash, shared out by score (at most six legs).
 
     Each leg starts from the floor of its share, at least one tranche. Missing tranches all
@@ -72,114 +66,75 @@ def tranche_amounts(scores: Column, cash: Column, fees: FeeSchedule = DEFAULT_FE
     smallest fraction, never below one. Cash short of the last tranche comes off the
     largest leg that stays above the floor; an empty array means no such plan exists.
     """
-    tranches = F.ceil(cash / fees.tranche).cast("double")
-    legs = F.slice(scores, 1, F.least(F.size(scores), tranches.cast("int"), F.lit(fees.max_legs)))
-
-    def plan(picked: Column) -> Column:
-        total = _sum(picked)
-        count = F.size(picked)
-        share = F.transform(
-            picked,
-            lambda s: F.when(total > 0, F.try_divide(s, total) * tranches).otherwise(
-                tranches / count
-            ),
-        )
-        legs_state = F.transform(
-            share,
-            lambda target, i: F.struct(
-                (target - F.floor(target)).alias("frac"),
-                i.alias("pos"),
-                F.greatest(F.lit(1.0), F.floor(target).cast("double")).alias("units"),
-            ),
-        )
-        return _settle(legs_state, tranches, cash, fees)
-
-    empty = F.array().cast("array<double>")
-    return F.when(
-        F.size(legs) > 0, F.element_at(F.transform(F.array(legs), plan), 1)
-    ).otherwise(empty)
-
-
-def _settle(state: Column, tranches: Column, cash: Column, fees: FeeSchedule) -> Column:
-    """Balance the starting units to the tranche count, then fit them to the cash."""
-
-    def balance(legs: Column) -> Column:
-        gap = tranches - F.aggregate(legs, F.lit(0.0), lambda acc, leg: acc + leg["units"])
-        fullest = F.element_at(
-            F.array_sort(F.transform(legs, lambda g: F.struct((-g["frac"]).alias("f"), g["pos"]))), 1
-        )["pos"]
-
-        def adjusted(leg: Column) -> Column:
-            before = F.aggregate(
-                F.filter(
-                    legs,
-                    lambda o: (o["frac"] < leg["frac"])
-                    | ((o["frac"] == leg["frac"]) & (o["pos"] < leg["pos"])),
-                ),
-                F.lit(0.0),
-                lambda acc, o: acc + (o["units"] - 1),
-            )
-            drained = F.least(
-                leg["units"] - 1, F.greatest(F.lit(0.0), -gap - before)
-            )
-            return (
-                F.when(gap > 0, leg["units"] + F.when(leg["pos"] == fullest, gap).otherwise(0.0))
-                .when(gap < 0, leg["units"] - drained)
-                .otherwise(leg["units"])
-            )
-
-        return F.transform(legs, lambda leg: adjusted(leg) * F.lit(fees.tranche))
-
-    def fit(amounts: Column) -> Column:
-        over = _sum(amounts) - cash
-        able = F.filter(amounts, lambda a: a - over >= fees.floor)
-        target = F.array_position(amounts, F.array_max(able))
-        trimmed = F.transform(
-            amounts, lambda a, i: F.when(i + 1 == target, a - over).otherwise(a)
-        )
-        none = F.array().cast("array<double>")
-        fitted = (
-            F.when(over <= 0, amounts).when(F.size(able) > 0, trimmed).otherwise(none)
-        )
-        return F.when(F.exists(fitted, lambda a: a < fees.floor), none).otherwise(fitted)
-
-    amounts = F.element_at(F.transform(F.array(state), balance), 1)
-    return F.element_at(F.transform(F.array(amounts), fit), 1)
-
-
-def order_amounts(scores: Column, cash: Column, fees: FeeSchedule = DEFAULT_FEES) -> Column:
+    tranches = f"ceil({cash} / {fees.tranche}D)"
+    legs = f"slice({scores}, 1, int(least(size({scores}), {tranches}, {fees.max_legs})))"
+    share = (
+        "transform(s, v -> CASE WHEN total > 0 "
+        f"THEN v / total * double({tranches}) ELSE double({tranches}) / size(s) END)"
+    )
+    state = (
+        "transform(share, (t, i) -> struct(t - floor(t) AS frac, i AS pos, "
+        "greatest(1D, double(floor(t))) AS units))"
+    )
+    gap = f"double({tranches}) - aggregate(legs, 0D, (acc, g) -> acc + g.units)"
+    fullest = "array_sort(transform(legs, g -> struct(-g.frac AS f, g.pos AS pos)))[0].pos"
+    before = (
+        "aggregate(filter(legs, o -> o.frac < g.frac OR (o.frac = g.frac AND o.pos < g.pos)), "
+        "0D, (acc, o) -> acc + o.units - 1)"
+    )
+    balanced = (
+        f"transform(legs, g -> {fees.tranche}D * CASE "
+        "WHEN gap > 0 AND g.pos = fullest THEN g.units + gap "
+        f"WHEN gap < 0 THEN g.units - least(g.units - 1, greatest(0D, -gap - {before})) "
+        "ELSE g.units END)"
+    )
+    able = f"array_max(filter(amounts, a -> a - extra >= {fees.floor}D))"
+    trimmed = (
+        "transform(amounts, (a, i) -> CASE WHEN i + 1 = array_position(amounts, able) "
+        "THEN a - extra ELSE a END)"
+    )
+    fitted = (
+        f"CASE WHEN extra <= 0 THEN amounts WHEN able IS NULL THEN {NO_AMOUNTS} ELSE {trimmed} END"
+    )
+    checked = f"CASE WHEN exists(fitted, a -> a < {fees.floor}D) THEN {NO_AMOUNTS} ELSE fitted END"
+    total = "aggregate(s, 0D, (acc, v) -> acc + v)"
+    extra = f"aggregate(amounts, 0D, (acc, a) -> acc + a) - {cash}"
+    body = let("fitted", fitted, checked)
+    body = let("extra", extra, let("able", able, body))
+    body = let("amounts", balanced, body)
+    body = let("gap", gap, let("fullest", fullest, body))
+    body = let("share", share, let("legs", state, body))
+    body = let("total", total, body)
+    picked = let("s", legs, body)
+    return f"(CASE WHEN size({scores}) = 0 OR {cash} <= 0 THEN {NO_AMOUNTS} ELSE {picked} END)"
+
+
+def order_amounts(scores: str, cash: str, fees: FeeSchedule = DEFAULT_FEES) -> str:
     """Order sizes for ranked candidates: none, one, two or one per tranche leg."""
     floor = fees.floor
-    single_fee = order_fee(cash, fees)
-    large = tranche_amounts(scores, cash, fees)
-    first = score_split(F.get(scores, F.lit(0)), F.get(scores, F.lit(1)), cash)
-    split = F.array(first, cash - first)
-    large_ok = (
-        (F.size(scores) >= 3)
-        & (cash >= fees.tranche * 3)
-        & (F.size(large) > 0)
-        & (total_order_fee(large, fees) <= single_fee)
-    )
-    split_ok = (
-        (F.size(scores) >= 2)
-        & (cash >= floor * 2)
-        & (first >= floor)
-        & (cash - first >= floor)
-        & (total_order_fee(split, fees) <= single_fee)
+    single = order_fee(cash, fees)
+    large_ok = f"size(large) > 0 AND {total_order_fee('large', fees)} <= {single}"
+    pair = f"array(first, {cash} - first)"
+    pair_ok = (
+        f"first >= {floor}D AND {cash} - first >= {floor}D "
+        f"AND {total_order_fee(pair, fees)} <= {single}"
     )
-    return (
-        F.when((F.size(scores) == 0) | (cash < floor), F.array().cast("array<double>"))
-        .when(large_ok, large)
-        .when(F.coalesce(split_ok, F.lit(False)), split)
-        .otherwise(F.array(cash))
+    wants_large = f"size({scores}) >= 3 AND {cash} >= {fees.tranche * 3}D"
+    large = f"CASE WHEN {wants_large} THEN {tranche_amounts(scores, cash, fees)} ELSE {NO_AMOUNTS} END"
+    first = (
+        f"CASE WHEN size({scores}) >= 2 AND {cash} >= {floor * 2}D "
+        f"THEN {score_split(f'{scores}[0]', f'{scores}[1]', cash)} END"
     )
+    choice = f"CASE WHEN {large_ok} THEN large WHEN {pair_ok} THEN {pair} ELSE array({cash}) END"
+    sized = let("large", large, let("first", first, choice))
+    return f"(CASE WHEN size({scores}) = 0 OR {cash} < {floor}D THEN {NO_AMOUNTS} ELSE {sized} END)"
 
 
-def deployable_bound(cash: Column, candidates: Column, fees: FeeSchedule = DEFAULT_FEES) -> Column:
+def deployable_bound(cash: str, candidates: str, fees: FeeSchedule = DEFAULT_FEES) -> str:
     """Most cash any plan can place when every order is zero or at least the floor."""
-    return F.when((cash >= fees.floor) & (candidates >= 1), cash).otherwise(F.lit(0.0))
+    return f"(CASE WHEN {cash} >= {fees.floor}D AND {candidates} >= 1 THEN {cash} ELSE 0D END)"
 
 
-def economic_floor(cost: Column, tolerance: Column) -> Column:
+def economic_floor(cost: str, tolerance: str) -> str:
     """Floor of an arbitrary schedule; null for a negative cost or non-positive tolerance."""
-    return F.when((cost >= 0) & (tolerance > 0), F.try_divide(cost, tolerance))
+    return f"(CASE WHEN {cost} >= 0 AND {tolerance} > 0 THEN try_divide({cost}, {tolerance}) END)"

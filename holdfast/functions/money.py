@@ -2,36 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Display symbol per supported currency.
 SYMBOLS = {"USD": "$", "BRL": "R$", "EUR": "€"}
 
 
-def one_currency(currency: str) -> Column:
+def one_currency(currency: str) -> str:
     """Aggregate: true when a group holds a single currency (min equals max)."""
-    return F.min(currency) == F.max(currency)
+    return f"(min({currency}) = max({currency}))"
 
 
-def guarded_sum(amount: str, currency: str) -> Column:
+def guarded_sum(amount: str, currency: str) -> str:
     """Aggregate: the sum, or null when the group mixes currencies."""
-    return F.when(one_currency(currency), F.sum(amount))
+    return f"(CASE WHEN {one_currency(currency)} THEN sum({amount}) END)"
 
 
-def strict_sum(amount: str, currency: str) -> Column:
+def strict_sum(amount: str, currency: str) -> str:
     """Aggregate: the sum, failing the job when the group mixes currencies."""
-    clash = F.raise_error(F.concat(F.lit("cannot mix "), F.min(currency), F.lit(" with "), F.max(currency)))
-    return F.when(one_currency(currency), F.sum(amount)).otherwise(clash.cast("decimal(38,8)"))
+    clash = f"raise_error(concat('cannot mix ', min({currency}), ' with ', max({currency})))"
+    return f"(CASE WHEN {one_currency(currency)} THEN sum({amount}) ELSE {clash} END)"
 
 
-def convert(amount: Column, rate: Column) -> Column:
+def convert(amount: str, rate: str) -> str:
     """Amount at a rate, rounded half-up to eight places."""
-    return F.round(amount.cast("decimal(18,8)") * rate.cast("decimal(18,8)"), 8)
+    return f"round(cast({amount} AS decimal(18,8)) * cast({rate} AS decimal(18,8)), 8)"
 
 
-def display(amount: Column, currency: Column) -> Column:
-    symbol = F.create_map(*[F.lit(x) for pair in SYMBOLS.items() for x in pair])
-    return F.concat(
-        F.try_element_at(symbol, currency), F.lit(" "), F.format_number(F.round(amount.cast("decimal(18,8)"), 2), 2)
-    )
+def display(amount: str, currency: str) -> str:
+    symbols = ", ".join(f"'{k}', '{v}'" for k, v in SYMBOLS.items())
+    shown = f"format_number(round(cast({amount} AS decimal(18,8)), 2), 2)"
+    return f"concat(try_element_at(map({symbols}), {currency}), ' ', {shown})"

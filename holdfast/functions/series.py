@@ -1,105 +1,80 @@
-"""Array expressions over oldest-first yearly series."""
+"""Oldest-first yearly series: growth, variation, history and coercion."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 DEFAULT_TAX_RATE = 0.21
 
 
-def clamp(value: Column, low: float = 0.0, high: float = 100.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
-
-
-def zero_as_null(value: Column) -> Column:
-    return F.nullif(value, F.lit(0.0))
-
-
-def first_of(series: Column) -> Column:
-    return F.get(series, F.lit(0))
+def clamp(value: str, low: float = 0.0, high: float = 100.0) -> str:
+    return f"greatest({low}D, least({high}D, {value}))"
 
 
-def last_of(series: Column) -> Column:
-    return F.get(series, F.size(series) - 1)
-
-
-def series_cagr(series: Column) -> Column:
+def series_cagr(x: str) -> str:
     """Growth per step between the two ends; null unless both ends are positive."""
-    ends_ok = (F.size(series) >= 2) & (first_of(series) > 0) & (last_of(series) > 0)
-    steps = F.size(series) - 1
-    return F.when(
-        ends_ok,
-        F.pow(last_of(series) / F.nullif(first_of(series), F.lit(0.0)), 1 / F.nullif(steps, F.lit(0)))
-        - 1,
+    first, last = f"get({x}, 0)", f"get({x}, size({x}) - 1)"
+    return (
+        f"(CASE WHEN size({x}) >= 2 AND {first} > 0 AND {last} > 0 "
+        f"THEN pow({last} / {first}, 1D / (size({x}) - 1)) - 1 END)"
     )
 
 
-def series_mean(series: Column) -> Column:
-    total = F.aggregate(series, F.lit(0.0), lambda acc, x: acc + x)
-    return F.try_divide(total, F.size(series))
+def series_mean(x: str) -> str:
+    return f"try_divide(aggregate({x}, 0D, (acc, v) -> acc + v), size({x}))"
 
 
-def variation(series: Column) -> Column:
+def variation(x: str) -> str:
     """Population standard deviation over the absolute mean."""
-    mean = series_mean(series)
-    squares = F.aggregate(series, F.lit(0.0), lambda acc, x: acc + F.pow(x - mean, F.lit(2.0)))
-    spread = F.sqrt(F.try_divide(squares, F.size(series)))
-    return F.when((F.size(series) >= 2) & (mean != 0), F.try_divide(spread, F.abs(mean)))
+    return (
+        f"element_at(transform(array({series_mean(x)}), m -> CASE WHEN size({x}) >= 2 AND m <> 0 THEN "
+        f"sqrt(aggregate({x}, 0D, (acc, v) -> acc + (v - m) * (v - m)) / size({x})) / abs(m) END), 1)"
+    )
 
 
-def roic_history(ebit: Column, capital: Column, tax: Column) -> Column:
+def roic_history(ebit: str, capital: str, tax: str) -> str:
     """After-tax operating profit over capital, newest first, aligned at the newest end."""
-    newest = F.zip_with(F.reverse(ebit), F.reverse(capital), lambda e, c: F.struct(e.alias("e"), c.alias("c")))
-    rates = F.reverse(tax)
-    paired = F.transform(
-        newest,
-        lambda p, i: F.struct(
-            p["c"].alias("c"),
-            (p["e"] * (1 - F.coalesce(F.get(rates, i), F.lit(DEFAULT_TAX_RATE)))).alias("nopat"),
-        ),
+    return (
+        f"filter(transform(zip_with(reverse({ebit}), reverse({capital}), (e, k) -> struct(e, k)), "
+        f"(p, i) -> CASE WHEN p.k > 0 THEN "
+        f"p.e * (1 - coalesce(get(reverse({tax}), i), {DEFAULT_TAX_RATE}D)) / p.k END), r -> r IS NOT NULL)"
     )
-    kept = F.filter(paired, lambda p: (p["c"] > 0) & p["nopat"].isNotNull())
-    return F.transform(kept, lambda p: F.try_divide(p["nopat"], p["c"]))
 
 
-def margin_history(revenue: Column, income: Column) -> Column:
+def margin_history(revenue: str, income: str) -> str:
     """Operating margin newest first; periods without revenue are skipped."""
-    newest = F.zip_with(F.reverse(revenue), F.reverse(income), lambda r, i: F.try_divide(i, r))
-    return F.filter(newest, lambda m: m.isNotNull())
+    return (
+        f"filter(zip_with(reverse({revenue}), reverse({income}), (r, i) -> try_divide(i, r)), "
+        "m -> m IS NOT NULL)"
+    )
 
 
-def fraction_at_least(series: Column, threshold: float) -> Column:
-    hits = F.size(F.filter(series, lambda x: x >= threshold))
-    return F.when(F.size(series) == 0, F.lit(0.0)).otherwise(F.try_divide(hits, F.size(series)))
+def fraction_at_least(x: str, threshold: float) -> str:
+    return f"coalesce(try_divide(size(filter({x}, v -> v >= {threshold}D)), size({x})), 0D)"
 
 
-def end_to_end_change(series: Column) -> Column:
-    return F.when(
-        F.size(series) >= 2, F.try_divide(last_of(series) - first_of(series), first_of(series))
-    )
+def end_to_end_change(x: str) -> str:
+    first, last = f"get({x}, 0)", f"get({x}, size({x}) - 1)"
+    return f"(CASE WHEN size({x}) >= 2 THEN try_divide({last} - {first}, {first}) END)"
 
 
-def implied_series(growth: Column, latest: Column, periods: int = 6) -> Column:
+def implied_series(growth: str, latest: str, periods: int = 6) -> str:
     """History implied by a growth rate, oldest first; empty for unusable inputs."""
-    rate = F.coalesce(growth, F.lit(0.0))
-    steps = F.array(*[F.lit(i) for i in range(periods - 1, -1, -1)])
-    series = F.transform(steps, lambda i: latest / F.pow(1 + rate, i))
-    return F.when((latest > 0) & (rate > -0.95) & F.lit(periods >= 2), series).otherwise(
-        F.array().cast("array<double>")
+    rate = f"coalesce({growth}, 0D)"
+    return (
+        f"(CASE WHEN {latest} > 0 AND {rate} > -0.95D AND {periods} >= 2 THEN "
+        f"transform(sequence({periods} - 1, 0, -1), i -> {latest} / pow(1 + {rate}, i)) "
+        "ELSE cast(array() AS array<double>) END)"
     )
 
 
-def steady_share_series(periods: int = 6) -> Column:
-    return F.array(*[F.lit(100.0 - i * 0.4) for i in range(periods)])
+def steady_share_series(periods: int = 6) -> str:
+    return f"transform(sequence(0, {periods} - 1), i -> 100D - i * 0.4D)"
 
 
-def finite(value: Column) -> Column:
+def finite(value: str) -> str:
     """Numeric text or number to DOUBLE; anything non-finite or non-numeric is null."""
-    number = value.try_cast("double")
-    bad = F.isnan(number) | (F.abs(number) == F.lit(float("inf")))
-    return F.when(~bad, number)
+    number = f"try_cast({value} AS double)"
+    return f"(CASE WHEN NOT isnan({number}) AND abs({number}) < double('infinity') THEN {number} END)"
 
 
-def first_percent(*values: Column) -> Column:
-    return F.coalesce(*[finite(v) for v in values]) / 100
+def first_percent(*values: str) -> str:
+    return f"(coalesce({', '.join(finite(v) for v in values)}) / 100)"

@@ -9,10 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep a result that several branches of one job read; lost blocks are recomputed."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def with_group_totals(df: DataFrame, keys: Sequence[str], **totals: Column) -> DataFrame:
     """Attach per-group aggregates to every row (map-side combined, then joined)."""
     summary = df.groupBy(*keys).agg(*[expr.alias(name) for name, expr in totals.items()])

@@ -106,36 +106,26 @@ def with_theme(rows: DataFrame, dimension: DataFrame) -> DataFrame:
 
 def analyze_holdings(positions: DataFrame, scored: DataFrame) -> DataFrame:
     """Join holdings to scored tickers and weigh them at live prices."""
-    c = F.col
-    held = positions.select(
+    held = positions.selectExpr(
         "portfolio_id", "ticker", "name", "theme", "is_financial", "shares",
-        c("cost").alias("average_cost"), c("price").alias("broker_price"),
+        "cost AS average_cost", "price AS broker_price",
     )
     scores = scored.select(
         "ticker", "live_price", "roic", "roe", "margin_cv", "revenue_cagr", "eps_cagr", "fcf_cagr",
         "shares_change", "fcf_yield", "forward_pe", "peg", "moat_class", "compounding_class",
         "moat_points", "compounding_points", "valuation_points", "composite_score",
     )
-    valued = held.join(scores, "ticker").withColumns(
-        {
-            "market_value": c("shares") * c("live_price"),
-            "pnl_pct": F.coalesce(
-                F.try_divide(
-                    c("shares") * c("live_price") - c("shares") * c("average_cost"),
-                    c("shares") * c("average_cost"),
-                ) * 100,
-                F.lit(0.0),
-            ),
-            "price_gap_pct": F.try_divide(c("live_price") - c("broker_price"), c("broker_price")) * 100,
-        }
+    paid = "shares * average_cost"
+    valued = held.join(scores, "ticker").selectExpr(
+        "*",
+        "shares * live_price AS market_value",
+        f"coalesce(try_divide(shares * live_price - {paid}, {paid}) * 100, 0D) AS pnl_pct",
+        "try_divide(live_price - broker_price, broker_price) * 100 AS price_gap_pct",
     )
     return with_group_totals(
         valued, ["portfolio_id"],
         total_value=F.sum("market_value"), position_count=F.count(F.lit(1)),
-    ).withColumn(
-        "weight_pct",
-        F.when(c("total_value") != 0, F.try_divide("market_value", "total_value") * 100).otherwise(0.0),
-    )
+    ).withColumn("weight_pct", F.expr("coalesce(try_divide(market_value, total_value) * 100, 0D)"))
 
 
 def rebalance_suggestions(

@@ -10,6 +10,7 @@ from holdfast.grouping import top_per_group
 
 OVERWEIGHT_MULTIPLE = 1.3
 THEME_CAP_PCT = 20.0
+PICKS = "array<struct<pick:int,ticker:string,score:double,live_price:double>>"
 
 
 def within_weight_limit(multiple: float = OVERWEIGHT_MULTIPLE) -> Column:
@@ -46,38 +47,34 @@ def plan_deployment(
     analyses: DataFrame, cash: DataFrame, fees: fee.FeeSchedule = fee.DEFAULT_FEES
 ) -> DataFrame:
     """One plan row per portfolio: its orders, their fee, and a note when it holds nothing."""
-    c = F.col
     picks = purchase_candidates(analyses, fees).groupBy("portfolio_id").agg(
         F.sort_array(F.collect_list(F.struct("pick", "ticker", "score", "live_price"))).alias("picks")
     )
     held = analyses.select("portfolio_id").groupBy("portfolio_id").agg(
         F.count(F.lit(1)).alias("position_count")
     )
-    none = F.array().cast("array<struct<pick:int,ticker:string,score:double,live_price:double>>")
     staged = (
         cash.select("portfolio_id", "cash")
         .join(held, "portfolio_id", "left")
         .join(picks, "portfolio_id", "left")
-        .withColumn("picks", F.slice(F.coalesce("picks", none), 1, fee.max_orders(c("cash"), fees)))
-        .withColumn("amounts", fee.order_amounts(c("picks.score"), c("cash"), fees))
+        .selectExpr(
+            "portfolio_id", "cash", "position_count",
+            f"slice(coalesce(picks, cast(array() AS {PICKS})), 1, {fee.max_orders('cash', fees)}) AS picks",
+        )
+        .selectExpr("*", f"{fee.order_amounts('picks.score', 'cash', fees)} AS amounts")
     )
-    orders = F.transform(
-        F.arrays_zip(F.slice("picks", 1, F.size("amounts")), "amounts"),
-        lambda leg, i: F.struct(
-            (i + 1).alias("leg"),
-            leg["0"]["ticker"].alias("ticker"),
-            leg["amounts"].alias("amount"),
-            F.try_divide(leg["amounts"], leg["0"]["live_price"]).alias("shares"),
-            fee.order_fee(leg["amounts"], fees).alias("fee"),
-        ),
+    orders = (
+        "transform(amounts, (paid, i) -> struct(i + 1 AS leg, picks[i].ticker AS ticker, paid AS amount, "
+        f"try_divide(paid, picks[i].live_price) AS shares, {fee.order_fee('paid', fees)} AS fee))"
     )
-    return staged.withColumn("orders", orders).select(
-        "portfolio_id", "cash", "orders",
-        F.aggregate("orders", F.lit(0.0), lambda acc, o: acc + o["amount"]).alias("deployed"),
-        F.aggregate("orders", F.lit(0.0), lambda acc, o: acc + o["fee"]).alias("total_fee"),
-        F.size("picks").alias("candidates"),
-        F.when(c("position_count").isNull(), "no_positions")
-        .when(c("cash") < fees.floor, "below_floor").otherwise("planned").alias("status"),
+    return staged.selectExpr(
+        "portfolio_id", "cash",
+        f"{orders} AS orders",
+        "aggregate(amounts, 0D, (acc, x) -> acc + x) AS deployed",
+        f"{fee.total_order_fee('amounts', fees)} AS total_fee",
+        "size(picks) AS candidates",
+        "CASE WHEN position_count IS NULL THEN 'no_positions' "
+        f"WHEN cash < {fees.floor}D THEN 'below_floor' ELSE 'planned' END AS status",
     )
 
 
@@ -95,7 +92,7 @@ def blocked_by_theme(
     """
     c = F.col
     picks = purchase_candidates(analyses, fees).join(
-        cash.select("portfolio_id", fee.max_orders(c("cash"), fees).alias("max_picks")), "portfolio_id"
+        cash.selectExpr("portfolio_id", f"{fee.max_orders('cash', fees)} AS max_picks"), "portfolio_id"
     )
     last = picks.filter("pick = max_picks").select(
         "portfolio_id", c("score").alias("stop_score"), c("ticker").alias("stop_ticker")
@@ -132,13 +129,13 @@ def overweight(analyses: DataFrame) -> DataFrame:
 
 def planner_gap(plans: DataFrame, fees: fee.FeeSchedule = fee.DEFAULT_FEES) -> DataFrame:
     """How far each plan is from full deployment and from the one-order fee."""
-    c = F.col
-    bound = fee.deployable_bound(c("cash"), c("candidates"), fees)
-    return plans.select(
-        "portfolio_id", "cash", c("deployed").alias("deployed_planner"),
-        bound.alias("deployed_bound"),
-        F.greatest(F.lit(0.0), bound - c("deployed")).alias("deployment_gap"),
-        c("total_fee").alias("fee_planner"),
-        fee.order_fee(c("deployed"), fees).alias("fee_lower_bound"),
-        (c("total_fee") - fee.order_fee(c("deployed"), fees)).alias("fee_premium"),
+    bound = fee.deployable_bound("cash", "candidates", fees)
+    least_fee = fee.order_fee("deployed", fees)
+    return plans.selectExpr(
+        "portfolio_id", "cash", "deployed AS deployed_planner",
+        f"{bound} AS deployed_bound",
+        f"greatest(0D, {bound} - deployed) AS deployment_gap",
+        "total_fee AS fee_planner",
+        f"{least_fee} AS fee_lower_bound",
+        f"total_fee - {least_fee} AS fee_premium",
     )
