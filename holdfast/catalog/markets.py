@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from holdfast import bridge as b
 from holdfast.catalog.core import big, rnd
 from holdfast.catalog.registry import query, view
-from holdfast.grouping import reuse
+from holdfast.grouping import cut_lineage, reuse
 from holdfast.operators import allocators as al
 from holdfast.operators import backtest as bt
 from holdfast.operators import resampling as rs
@@ -71,12 +71,12 @@ def _metric(name, sql_cols, cols):
       SELECT study, strategy, count(*) AS n, product(1 + ret) AS g, avg(ret) AS m, stddev_pop(ret) AS d FROM fixed_rets GROUP BY 1, 2)"""
 
     def run(spark, sf):
-        return r.performance(fixed(spark, sf), 12.0, 0.02).select("study", "strategy", *[rnd(c) for c in cols])
+        return r.performance(fixed(spark, sf), 12.0, 0.02).select("study", "strategy", *[rnd(c, 3 if c == "total_return" else 6) for c in cols])
 
     query(name, sql, ("fixed_rets",))(run)
 
 
-_metric("AG6_growth", "round(g - 1, 6) + 0e0 AS total_return, CASE WHEN g > 0 THEN round(pow(g, 12e0 / n) - 1, 6) + 0e0 END AS cagr", ["total_return", "cagr"])
+_metric("AG6_growth", "round(g - 1, 3) + 0e0 AS total_return, CASE WHEN g > 0 THEN round(pow(g, 12e0 / n) - 1, 6) + 0e0 END AS cagr", ["total_return", "cagr"])
 _metric("AG7_volatility", "round(CASE WHEN n < 2 THEN 0 ELSE d * sqrt(12e0) END, 6) AS volatility", ["volatility"])
 _metric("AG8_sharpe", "round(CASE WHEN n < 2 OR d < 1e-12 THEN 0 ELSE (m - 0.02e0 / 12) / d * sqrt(12e0) END, 6) + 0e0 AS sharpe", ["sharpe"])
 
@@ -202,8 +202,8 @@ def wn12(spark, sf):
 
 @query("WN13_walk_forward")
 def wn13(spark, sf):
-    rets = reuse(returns(spark, sf))
-    return bt.run_walk_forward(rets, reuse(schedule(rets)), 0.01).select(
+    rets = cut_lineage(returns(spark, sf))
+    return bt.run_walk_forward(rets, cut_lineage(schedule(rets)), 0.01).select(
         "study", "strategy", big("period"), rnd("equity"), rnd("cost"), "rebalanced")
 
 
@@ -239,7 +239,7 @@ def ud1(spark, sf):
 @query("ST10_backtest_study")
 def st10(spark, sf):
     metrics, _ = study.price_backtest_study(
-        reuse(returns(spark, sf)), b.brand_spend(spark, sf), "Brand#1", 12.0, rebalance_every=6, cost_rate=0.01,
+        cut_lineage(returns(spark, sf)), b.brand_spend(spark, sf), "Brand#1", 12.0, rebalance_every=6, cost_rate=0.01,
         lookback=36, min_observations=12, every=6, shrinkage=0.5)
     return metrics.select("study", "strategy", "periods", "rebalances", *[
         rnd(c) for c in ["total_return", "cagr", "volatility", "sharpe", "max_drawdown", "total_cost"]])
@@ -248,7 +248,7 @@ def st10(spark, sf):
 @query("ST10_study_comparisons")
 def st10c(spark, sf):
     _, comparisons = study.price_backtest_study(
-        reuse(returns(spark, sf)), b.brand_spend(spark, sf), "Brand#1", 12.0, rebalance_every=6, cost_rate=0.01,
+        cut_lineage(returns(spark, sf)), b.brand_spend(spark, sf), "Brand#1", 12.0, rebalance_every=6, cost_rate=0.01,
         lookback=36, min_observations=12, every=6, shrinkage=0.5)
     return comparisons.select("study", "strategy", "benchmark", *[
         rnd(c) for c in ["excess_total_return", "excess_cagr", "sharpe_delta", "max_drawdown_delta"]])

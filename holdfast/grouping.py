@@ -7,10 +7,11 @@ joins can split a hot key, or from ranks taken inside value buckets.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -19,6 +20,19 @@ def reuse(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared scratch folder; a temporary one only where none is configured."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a reliable checkpoint, so later steps neither repeat nor depend on the history."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def with_group_totals(df: DataFrame, keys: Sequence[str], **totals: Column) -> DataFrame:
     """Attach per-group aggregates to every row (map-side combined, then joined)."""
     summary = df.groupBy(*keys).agg(*[expr.alias(name) for name, expr in totals.items()])

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.grouping import reuse
+from holdfast.grouping import cut_lineage
 from holdfast.operators import allocators, resampling
 from holdfast.operators import backtest as bt
 from holdfast.operators import returns as r
@@ -36,7 +36,11 @@ def price_backtest_study(
     every: int = 63,
     shrinkage: float = 0.20,
 ) -> tuple[DataFrame, DataFrame]:
-    """(metrics, comparisons): every strategy's metrics, and 'current' against each other."""
+    """(metrics, comparisons): every strategy's metrics, and 'current' against each other.
+
+    The schedule, the curves and the metrics are checkpointed: each feeds several later
+    branches, and the plan would otherwise repeat the whole history once per branch.
+    """
     curves = [bt.run_backtest(returns, standard_strategies(current, benchmark_ticker))]
     rivals = ["equal", "benchmark"]
     if rebalance_every:
@@ -44,13 +48,13 @@ def price_backtest_study(
         curves.append(bt.run_backtest(returns, target, rebalance_every, cost_rate))
         rivals.append("rebalanced")
     if walk_forward:
-        schedule = reuse(
+        schedule = cut_lineage(
             allocators.weight_schedule(returns, lookback, min_observations, every, shrinkage)
         )
         curves.append(bt.run_walk_forward(returns, schedule, cost_rate))
         rivals += ["min_variance", "risk_parity"]
-    equity = reduce(DataFrame.unionByName, curves)
-    metrics = reuse(bt.summarize(equity, periods_per_year))
+    equity = cut_lineage(reduce(DataFrame.unionByName, curves))
+    metrics = cut_lineage(bt.summarize(equity, periods_per_year))
     compared = reduce(DataFrame.unionByName, [bt.compare(metrics, "current", name) for name in rivals])
     return metrics, compared
 
