@@ -6,6 +6,7 @@ from holdfast.catalog import audit  # noqa: F401
 from holdfast.catalog import markets  # noqa: F401
 from holdfast.catalog import review  # noqa: F401
 from holdfast.catalog import text  # noqa: F401
+from holdfast.catalog import files  # noqa: F401
 from holdfast.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

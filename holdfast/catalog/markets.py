@@ -192,7 +192,7 @@ def sj13(spark, sf):
 
 
 def schedule(rets):
-    return al.weight_schedule(rets, lookback=36, min_observations=12, every=6, shrinkage=0.5)
+    return al.weight_schedule(rets, lookback=36, min_observations=12, every=6, shrinkage=0.8)
 
 
 @query("WN12_weight_schedule")
@@ -211,7 +211,7 @@ def _allocator(name, solver):
     @query(name)
     def run(spark, sf):
         rets = returns(spark, sf)
-        one = al.training_matrices(rets, 36, 12, 6, 0.5)
+        one = al.training_matrices(rets, 36, 12, 6, 0.8)
         return al.solve_weights(one, {solver: al.SOLVERS[solver]}).select(
             "study", big("period"), "ticker", rnd("weight"))
 
@@ -240,7 +240,7 @@ def ud1(spark, sf):
 def st10(spark, sf):
     metrics, _ = study.price_backtest_study(
         cut_lineage(returns(spark, sf)), b.brand_spend(spark, sf), "Brand#1", 12.0, rebalance_every=6, cost_rate=0.01,
-        lookback=36, min_observations=12, every=6, shrinkage=0.5)
+        lookback=36, min_observations=12, every=6, shrinkage=0.8)
     return metrics.select("study", "strategy", "periods", "rebalances", *[
         rnd(c) for c in ["total_return", "cagr", "volatility", "sharpe", "max_drawdown", "total_cost"]])
 
@@ -249,7 +249,7 @@ def st10(spark, sf):
 def st10c(spark, sf):
     _, comparisons = study.price_backtest_study(
         cut_lineage(returns(spark, sf)), b.brand_spend(spark, sf), "Brand#1", 12.0, rebalance_every=6, cost_rate=0.01,
-        lookback=36, min_observations=12, every=6, shrinkage=0.5)
+        lookback=36, min_observations=12, every=6, shrinkage=0.8)
     return comparisons.select("study", "strategy", "benchmark", *[
         rnd(c) for c in ["excess_total_return", "excess_cagr", "sharpe_delta", "max_drawdown_delta"]])
 

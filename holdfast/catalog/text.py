@@ -92,7 +92,7 @@ def sc46(spark, sf):
 
 @query("AG20_manifest_hash")
 def ag20(spark, sf):
-    return sc.manifest_hash(bank(spark, sf), "scenario")
+    return sc.manifest_hash(bank(spark, sf))
 
 
 view("cells", """

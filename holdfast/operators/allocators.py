@@ -36,7 +36,10 @@ def min_variance(sigma: np.ndarray) -> np.ndarray:
 
 
 def risk_parity(sigma: np.ndarray) -> np.ndarray:
-    """Equal risk contributions, scaled towards the mean contribution until stable."""
+    """Equal risk contributions, scaled towards the mean contribution until stable.
+
+    A negative contribution has no such solution: the weights become NaN (null in the table).
+    """
     weights = 1 / np.sqrt(np.diag(sigma))
     weights = weights / weights.sum()
     for _ in range(MAX_ITERATIONS):
@@ -44,7 +47,8 @@ def risk_parity(sigma: np.ndarray) -> np.ndarray:
         mean = risk.mean()
         if mean <= 0:
             raise ValueError("portfolio variance collapsed to zero")
-        scaled = weights * np.sqrt(mean / risk)
+        with np.errstate(invalid="ignore"):
+            scaled = weights * np.sqrt(mean / risk)
         scaled = scaled / scaled.sum()
         moved = np.abs(scaled - weights).max()
         weights = scaled
