@@ -176,10 +176,10 @@ def reports(spark, sf):
 
 
 @query("AG10_run_set_reports", "SELECT scenario, advisor, runs, valid_runs, agreed_but_invalid_runs, " + ", ".join(
-    f"round({c}, {4 if c in ('mean_cash_used', 'mean_fee') else 6}) + 0e0 AS {c}" for c in REPORT) + " FROM (SELECT *, valid_runs / runs::DOUBLE AS valid_rate FROM reports)", ("reports",))
+    f"round({c}, {7 if c in ('mean_cash_used', 'mean_fee') else 6}) + 0e0 AS {c}" for c in REPORT) + " FROM (SELECT *, valid_runs / runs::DOUBLE AS valid_rate FROM reports)", ("reports",))
 def ag10(spark, sf):
     return reports(spark, sf).select("scenario", "advisor", "runs", "valid_runs", "agreed_but_invalid_runs",
-                                     *[rnd(c, 4 if c in ("mean_cash_used", "mean_fee") else 6) for c in REPORT])
+                                     *[rnd(c, 7 if c in ("mean_cash_used", "mean_fee") else 6) for c in REPORT])
 
 
 @query("AG11_violation_counts", "SELECT scenario, advisor, violation, count(*) AS n FROM violations JOIN runs USING (run_id) GROUP BY ALL", ("violations", "runs"))

@@ -168,11 +168,16 @@ def scan_documents(
 ) -> DataFrame:
     """Findings (document, label, line, value) over whole texts, scanned line by line.
 
-    ``exempt`` is a condition over the document row that skips the e-mail check for it.
+    Documents without any match are dropped before they are split into lines; patterns must
+    not span lines. ``exempt`` is a row condition that skips the e-mail check.
     """
-    lines = documents.selectExpr("*", "posexplode(split(text, chr(10))) AS (line_index, line)").drop("text")
+    wanted = {**(patterns or SCAN_PATTERNS), "email": EMAIL}
+    hit = F.col("text").contains("@") & F.col("text").rlike(EMAIL)
+    for pattern in (patterns or SCAN_PATTERNS).values():
+        hit = hit | F.col("text").rlike(pattern)
+    lines = documents.filter(hit).selectExpr("*", "posexplode(split(text, chr(10))) AS (line_index, line)").drop("text")
     kinds = []
-    for label, pattern in {**(patterns or SCAN_PATTERNS), "email": EMAIL}.items():
+    for label, pattern in wanted.items():
         hits = F.regexp_extract_all("line", F.lit(pattern), F.lit(0))
         kinds.append(F.struct(F.lit(label).alias("label"), hits.alias("hits")))
     found = lines.select("*", F.array(*kinds).alias("k")).withColumn("k", F.explode("k")).filter(

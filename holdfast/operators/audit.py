@@ -176,78 +176,66 @@ def distinct_picks(runs: DataFrame, keys: Sequence[str] = RUN_SET) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sort_array(F.collect_set("ticker")).alias("unique_tickers"))
 
 
-def allocation_weights(runs: DataFrame, keys: Sequence[str] = RUN_SET) -> DataFrame:
-    """Share of the deployed cash per run and ticker; repeated tickers add up."""
-    c = F.col
+def _leg_weights(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Weight per run and ticker; ``opens`` is 1 on exactly one row of every sized run."""
     usable = runs.dropna(subset=list(keys)).filter(a.allocation_usable("tickers", "amounts"))
     legs = usable.selectExpr(
-        *keys, "run_id", f"{a.total_amount('amounts')} AS total", "inline(arrays_zip(tickers, amounts))"
+        *keys, "run_id", f"{a.total_amount('amounts')} AS total",
+        "posexplode(arrays_zip(tickers, amounts)) AS (pos, leg)",
+    ).selectExpr(
+        *keys, "run_id", "pos", "total", "leg.tickers AS raw", "leg.amounts AS amount"
     )
-    ticker = F.expr(a.clean_ticker("tickers")).alias("ticker")
-    return legs.groupBy(*keys, "run_id", ticker).agg(
-        F.sum(c("amounts") / c("total")).alias("weight")
+    return legs.groupBy(*keys, "run_id", F.expr(a.clean_ticker("raw")).alias("ticker")).agg(
+        F.expr("sum(amount / total) AS weight"), F.expr("max(if(pos = 0, 1, 0)) AS opens")
     )
 
 
-def _count_below(values: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add how many runs sit strictly below each distinct weight of a (run set, ticker).
-
-    Sorted only inside weight buckets, with bucket counts summed separately, so one crowded
-    ticker is not ranked by a single task.
-    """
-    c = F.col
-    staged = values.withColumn("_bucket", F.floor(c("weight") * 1024))
-    inside = (
-        Window.partitionBy(*keys, "_bucket").orderBy("weight")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        staged.groupBy(*keys, "_bucket").agg(F.sum("copies").alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
-    return (
-        staged.withColumn("_in", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
-        .join(offsets, [*keys, "_bucket"])
-        .withColumn("below", c("_in") + c("_offset"))
-        .drop("_bucket", "_in", "_offset")
-    )
+def allocation_weights(runs: DataFrame, keys: Sequence[str] = RUN_SET) -> DataFrame:
+    """Share of the deployed cash per run and ticker; repeated tickers add up."""
+    return _leg_weights(runs, keys).drop("opens")
 
 
 def amount_stability(runs: DataFrame, keys: Sequence[str] = RUN_SET) -> DataFrame:
     """One minus the mean pairwise total-variation distance of the allocations.
 
-    The sum of |x - y| over all pairs of one ticker's weights follows from each weight's rank,
-    so the pairs themselves are never formed; runs without the ticker count as zero weight.
+    For one ticker the sum of |x - y| over all pairs of runs follows from each weight's rank:
+    with c runs at weight w, b runs below it and n runs in all, it adds w c (2b + c - n).
+    Runs without the ticker sit at zero. The pairs are never formed; equal weights are merged,
+    and ranks are counted inside weight buckets plus bucket offsets, so a crowded ticker is
+    not sorted by one task. The sum is linear in n, which is joined only once per run set.
     """
     c = F.col
     keys = list(keys)
-    weights = allocation_weights(runs, keys)
-    sized_runs = (
-        runs.filter(a.allocation_usable("tickers", "amounts"))
-        .groupBy(*keys).agg(F.count(F.lit(1)).alias("sized_runs"))
+    distinct = (
+        _leg_weights(runs, keys)
+        .groupBy(*keys, "ticker", "weight")
+        .agg(F.expr("count_if(weight <> 0) AS copies"), F.sum("opens").alias("opens"))
+        .withColumn("bucket", F.floor(c("weight") * 1024))
+    )
+    group = [*keys, "ticker"]
+    lower = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        distinct.groupBy(*group, "bucket").agg(F.sum("copies").alias("n"))
+        .withColumn("offset", F.coalesce(F.sum("n").over(lower), F.lit(0)))
+        .withColumn("held", F.sum("n").over(Window.partitionBy(*group)))
+        .drop("n")
+    )
+    inside = (
+        Window.partitionBy(*group, "bucket").orderBy("weight").rowsBetween(Window.unboundedPreceding, -1)
     )
-    distinct = weights.filter(c("weight") != 0).groupBy(*keys, "ticker", "weight").agg(
-        F.count(F.lit(1)).alias("copies")
+    ranked = distinct.withColumn("inner_below", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(
+        offsets, [*group, "bucket"]
     )
-    held = distinct.groupBy(*keys, "ticker").agg(F.sum("copies").alias("_held"))
-    ranked = (
-        _count_below(distinct, [*keys, "ticker"])
-        .join(held, [*keys, "ticker"])
-        .join(sized_runs, keys)
+    fixed = "weight * copies * (2 * (offset + inner_below) + copies - if(weight > 0, 2 * held, 0))"
+    per_run = "weight * copies * if(weight > 0, 1, -1)"
+    totals = ranked.groupBy(*keys).agg(
+        F.expr(f"sum({fixed}) AS fixed"), F.expr(f"sum({per_run}) AS per_run"),
+        F.expr("sum(opens) AS sized_runs"),
     )
-    absent = c("sized_runs") - c("_held")
-    below = c("below") + F.when(c("weight") > 0, absent).otherwise(F.lit(0))
-    spread = c("weight") * c("copies") * (below * 2 + c("copies") - c("sized_runs"))
-    totals = ranked.groupBy(*keys).agg(F.sum(spread).alias("_spread"))
-    pairs = c("sized_runs") * (c("sized_runs") - 1) / 2
-    return sized_runs.join(totals, keys, "left").select(
+    return totals.selectExpr(
         *keys, "sized_runs",
-        F.when(
-            c("sized_runs") >= 2,
-            1 - F.coalesce("_spread", F.lit(0.0)) / 2 / F.nullif(pairs, F.lit(0.0)),
-        ).alias("amount_stability"),
+        "if(sized_runs >= 2, 1 - (fixed + sized_runs * per_run) / (sized_runs * (sized_runs - 1)), NULL) "
+        "AS amount_stability",
     )
 
 

@@ -2,8 +2,9 @@
 
 A rebalance resets the weights, so the stretch between two rebalances depends only on its
 own targets: assets compound inside the stretch, stretches multiply together, and cost is a
-factor on the boundary. Every curve is therefore products over (strategy, ticker, segment)
-and over segments.
+factor on the boundary. Each back-test is one pass: a product per (strategy, ticker,
+segment), a sum per period, and a product over the periods of a strategy. Lists collected at
+a boundary hold one entry per ticker of the strategy.
 """
 
 from __future__ import annotations
@@ -16,20 +17,17 @@ from holdfast.operators import returns as r
 SERIES = ("study", "strategy")
 
 
-def _segment_values(returns: DataFrame) -> DataFrame:
-    """Value per unit of segment start, for each period: sum of weight times asset growth."""
+def _upto(end: int):
+    return Window.partitionBy(*SERIES).orderBy("period").rowsBetween(Window.unboundedPreceding, end)
+
+
+def _grown(rows: DataFrame) -> DataFrame:
+    """Add each ticker's value per unit of segment start: weight times growth so far."""
     inside = (
         Window.partitionBy(*SERIES, "ticker", "segment").orderBy("period")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    return returns.withColumn("grown", F.col("weight") * F.product(1 + F.col("ret")).over(inside))
-
-
-def _chain(curve: DataFrame, factors: DataFrame) -> DataFrame:
-    """Scale each segment's curve by the product of the factors before it."""
-    before = Window.partitionBy(*SERIES).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    starts = factors.withColumn("start", F.coalesce(F.product("factor").over(before), F.lit(1.0)))
-    return curve.join(starts, [*SERIES, "segment"])
+    return rows.withColumn("grown", F.col("weight") * F.product(1 + F.col("ret")).over(inside))
 
 
 def run_backtest(
@@ -41,41 +39,30 @@ def run_backtest(
     """
     if rebalance_every < 0 or cost_rate < 0:
         raise ValueError("rebalance_every and cost_rate must be non-negative")
-    targets = r.normalize_weights(weights)
-    segment = f"int(floor(period / {rebalance_every}D))" if rebalance_every else "0"
-    lengths = returns.groupBy("study").agg(F.expr("max(period) + 1 AS n"))
+    every = rebalance_every or 1
+    last = Window.partitionBy("study", "strategy", "ticker")
     rows = (
-        returns.join(targets, ["study", "ticker"])
-        .join(F.broadcast(lengths), "study")
-        .withColumn("segment", F.expr(segment))
-    )
-    if rebalance_every:
-        rows = rows.withColumn(
-            "closes",
-            F.expr(f"(period + 1) % {rebalance_every} = 0 AND period <> n - 1"),
+        returns.join(r.normalize_weights(weights), ["study", "ticker"])
+        .withColumn("last_period", F.max("period").over(last))
+        .selectExpr(
+            "*",
+            f"if({rebalance_every} = 0, 0, int(floor(period / {every}D))) AS segment",
+            f"{rebalance_every} > 0 AND (period + 1) % {every} = 0 AND period <> last_period AS closes",
         )
-    else:
-        rows = rows.withColumn("closes", F.lit(False))
-    grown = _segment_values(rows)
-    curve = grown.groupBy(*SERIES, "segment", "period").agg(
-        F.sum("grown").alias("value"), F.max("closes").alias("closes")
-    )
-    ends = grown.filter("closes").select(*SERIES, "segment", "ticker", "weight", "grown")
-    totals = ends.groupBy(*SERIES, "segment").agg(F.sum("grown").alias("total"))
-    traded = ends.join(totals, [*SERIES, "segment"]).groupBy(*SERIES, "segment", "total").agg(
-        F.expr("sum(abs(grown / total - weight)) / 2 AS traded")
-    )
-    factors = traded.selectExpr(
-        *SERIES, "segment", f"total * (1 - {cost_rate}D * traded) AS factor",
-        f"total * {cost_rate}D * traded AS cost_share",
-    )
-    padded = curve.select(*SERIES, "segment").distinct().join(factors, [*SERIES, "segment"], "left").selectExpr(
-        *SERIES, "segment", "coalesce(factor, 1D) AS factor", "coalesce(cost_share, 0D) AS cost_share"
-    )
-    return _chain(curve, padded).selectExpr(
-        *SERIES, "period",
-        "start * if(closes, factor, value) AS equity",
-        "if(closes, start * cost_share, 0D) AS cost",
+    )
+    curve = _grown(rows).groupBy(*SERIES, "period").agg(
+        F.sum("grown").alias("value"),
+        F.max("closes").alias("closes"),
+        F.expr("collect_list(if(closes, struct(grown, weight), NULL)) AS legs"),
+    )
+    traded = "aggregate(legs, 0D, (acc, x) -> acc + abs(x.grown / value - x.weight)) / 2"
+    closed = curve.selectExpr(
+        *SERIES, "period", "value", "closes",
+        f"if(closes, {cost_rate}D * {traded}, 0D) AS paid",
+    )
+    start = F.coalesce(F.product(F.expr("if(closes, value * (1 - paid), NULL)")).over(_upto(-1)), F.lit(1.0))
+    return closed.withColumn("start", start).selectExpr(
+        *SERIES, "period", "start * value * (1 - paid) AS equity", "start * value * paid AS cost",
         "closes AS rebalanced",
     )
 
@@ -88,82 +75,86 @@ def run_walk_forward(returns: DataFrame, schedule: DataFrame, cost_rate: float =
     """
     if cost_rate < 0:
         raise ValueError("cost_rate must be non-negative")
-    starts = schedule.select(*SERIES, F.col("period").alias("from_period")).distinct()
-    order = Window.partitionBy(*SERIES).orderBy("from_period")
-    segments = starts.withColumn("segment", F.row_number().over(order) - 1).withColumn(
-        "to_period", F.lead("from_period").over(order)
-    )
     lengths = returns.groupBy("study").agg(F.max("period").alias("last_period"))
+    dates = schedule.select(*SERIES, F.col("period").alias("segment")).distinct()
+    following = F.lead("segment").over(Window.partitionBy(*SERIES).orderBy("segment"))
     spans = (
-        segments.join(F.broadcast(lengths), "study")
-        .withColumn("end_period", F.expr("coalesce(to_period - 1, last_period)"))
-        .withColumn("period", F.expr("explode(sequence(from_period, end_period))"))
-        .select(*SERIES, "segment", "from_period", "end_period", "period")
+        dates.withColumn("following", following).join(F.broadcast(lengths), "study")
+        .withColumn("end_period", F.expr("coalesce(following - 1, last_period)"))
+        .withColumn("period", F.expr("explode(sequence(segment, end_period))"))
+        .select(*SERIES, "segment", "end_period", "period")
     )
-    targets = schedule.withColumnRenamed("period", "from_period")
-    rows = (
-        spans.join(targets, [*SERIES, "from_period"])
-        .join(returns.select("study", "ticker", "period", "ret"), ["study", "ticker", "period"])
+    rows = spans.join(schedule.withColumnRenamed("period", "segment"), [*SERIES, "segment"]).join(
+        returns.select("study", "ticker", "period", "ret"), ["study", "ticker", "period"]
     )
-    grown = _segment_values(rows)
-    curve = grown.groupBy(*SERIES, "segment", "period").agg(
-        F.sum("grown").alias("value"), F.max(F.expr("period = from_period")).alias("opens"),
-        F.max(F.expr("period = end_period")).alias("ends"),
+    curve = _grown(rows).groupBy(*SERIES, "segment", "end_period", "period").agg(
+        F.sum("grown").alias("value"),
+        F.expr("map_from_entries(collect_list(if(period = segment, struct(ticker, weight), NULL))) AS target"),
+        F.expr("map_from_entries(collect_list(if(period = end_period, struct(ticker, grown), NULL))) AS drift"),
     )
-    ends = grown.filter("period = end_period")
-    totals = curve.filter("ends").selectExpr(*SERIES, "segment", "value AS total")
-    drifted = (
-        ends.join(totals, [*SERIES, "segment"])
-        .selectExpr(*SERIES, "segment + 1 AS segment", "ticker", "grown / total AS weight")
+    order = Window.partitionBy(*SERIES).orderBy("period")
+    boundary = curve.withColumn("before", F.lag("drift").over(order)).withColumn(
+        "before_value", F.lag("value").over(order)
     )
-    current = (
-        segments.select(*SERIES, "segment", "from_period")
-        .join(targets, [*SERIES, "from_period"])
-        .filter("segment > 0").select(*SERIES, "segment", "ticker", "weight")
+    moved = (
+        "aggregate(array_union(map_keys(target), map_keys(before)), 0D, (acc, t) -> acc + "
+        "abs(coalesce(target[t], 0D) - coalesce(before[t], 0D) / before_value)) / 2"
     )
-    keys = [*SERIES, "segment"]
-    moved = r.turnover(drifted.join(current.select(*keys).distinct(), keys, "left_semi"), current, keys)
-    keep = f"1 - {cost_rate}D * coalesce(turnover, 0D)"
-    opened = totals.join(moved, keys, "left").selectExpr(
-        *keys, "total", f"{keep} AS keep", f"{cost_rate}D * coalesce(turnover, 0D) AS cost_share",
-        f"total * ({keep}) AS factor",
+    paid = boundary.selectExpr(
+        *SERIES, "period", "value", "period = segment AND before IS NOT NULL AS opens",
+        "period = end_period AS ends",
+        f"if(period = segment AND before IS NOT NULL, {cost_rate}D * {moved}, 0D) AS paid",
     )
-    return _chain(curve, opened).selectExpr(
-        *SERIES, "period", "start * keep * value AS equity",
-        "if(opens, start * cost_share, 0D) AS cost", "opens AND segment > 0 AS rebalanced",
+    earned = F.coalesce(F.product(F.expr("if(ends, value, NULL)")).over(_upto(-1)), F.lit(1.0))
+    kept = F.product(F.expr("1 - paid"))
+    chained = paid.withColumns(
+        {"earned": earned, "kept": kept.over(_upto(0)), "kept_before": F.coalesce(kept.over(_upto(-1)), F.lit(1.0))}
+    )
+    return chained.selectExpr(
+        *SERIES, "period", "earned * kept * value AS equity", "earned * kept_before * paid AS cost",
+        "opens AS rebalanced",
     )
-
-
-def curve_returns(equity: DataFrame) -> DataFrame:
-    """Period returns of an equity curve that starts from one."""
-    order = Window.partitionBy(*SERIES).orderBy("period")
-    return equity.withColumn("_prev", F.coalesce(F.lag("equity").over(order), F.lit(1.0))).filter(
-        "_prev <> 0"
-    ).selectExpr(*SERIES, "period", "equity / _prev - 1 AS ret")
 
 
 def summarize(equity: DataFrame, periods_per_year: float) -> DataFrame:
-    """All metrics of each strategy's curve."""
-    costs = equity.groupBy(*SERIES).agg(
-        F.expr("sum(cost) AS total_cost"), F.expr("count_if(rebalanced) AS rebalances"),
-        F.expr("max_by(equity, period) - 1 AS end_return"),
-    )
-    perf = r.performance(curve_returns(equity), periods_per_year).drop("total_return")
-    return (
-        perf.join(costs, list(SERIES)).join(r.max_drawdown(equity), list(SERIES))
-        .withColumnRenamed("end_return", "total_return")
+    """All metrics of each strategy's curve in one pass (the curve starts from one)."""
+    ppy = f"{float(periods_per_year)}D"
+    order = Window.partitionBy(*SERIES).orderBy("period")
+    steps = equity.withColumns(
+        {
+            "previous": F.coalesce(F.lag("equity").over(order), F.lit(1.0)),
+            "peak": F.greatest(F.lit(1.0), F.max("equity").over(_upto(0))),
+        }
+    ).withColumn("ret", F.expr("if(previous <> 0, equity / previous - 1, NULL)"))
+    base = steps.groupBy(*SERIES).agg(
+        F.expr("count(*) AS periods"), F.expr("count(ret) AS n"), F.product(F.expr("1 + ret")).alias("growth"),
+        F.expr("avg(ret) AS mean_ret"), F.expr("stddev_pop(ret) AS dev"), F.expr("sum(cost) AS total_cost"),
+        F.expr("count_if(rebalanced) AS rebalances"), F.expr("max_by(equity, period) - 1 AS total_return"),
+        F.expr("least(0D, min(equity / peak - 1)) AS max_drawdown"),
+    )
+    return base.selectExpr(
+        *SERIES, "periods", "rebalances", "total_return",
+        f"if(growth > 0, pow(growth, 1D / (n / {ppy})) - 1, NULL) AS cagr",
+        f"if(n < 2, 0D, dev * sqrt({ppy})) AS volatility",
+        f"if(n < 2 OR dev < 1e-12D, 0D, mean_ret / dev * sqrt({ppy})) AS sharpe",
+        "max_drawdown", "total_cost",
     )
 
 
 def compare(metrics: DataFrame, strategy: str, benchmark: str) -> DataFrame:
     """Strategy minus benchmark per study; both must cover the same number of periods."""
-    names = ["periods", "total_return", "cagr", "sharpe", "max_drawdown"]
-    left = metrics.filter(F.col("strategy") == strategy).select("study", *[F.col(c).alias(f"s_{c}") for c in names])
-    right = metrics.filter(F.col("strategy") == benchmark).select("study", *[F.col(c).alias(f"b_{c}") for c in names])
-    same = "if(s_periods = b_periods, true, raise_error('strategy and benchmark differ in periods'))"
-    return left.join(right, "study").filter(same).selectExpr(
-        "study", f"'{strategy}' AS strategy", f"'{benchmark}' AS benchmark",
-        "s_total_return - b_total_return AS excess_total_return",
-        "s_cagr - b_cagr AS excess_cagr", "s_sharpe - b_sharpe AS sharpe_delta",
-        "s_max_drawdown - b_max_drawdown AS max_drawdown_delta",
+
+    def gap(column: str) -> str:
+        of = lambda name: f"max(if(strategy = '{name}', {column}, NULL))"
+        return f"{of(strategy)} - {of(benchmark)}"
+
+    rows = metrics.filter(F.col("strategy").isin(strategy, benchmark)).groupBy("study").agg(
+        F.expr("count(*) AS sides"), F.expr("min(periods) = max(periods) AS same_span"),
+        F.expr(f"{gap('total_return')} AS excess_total_return"), F.expr(f"{gap('cagr')} AS excess_cagr"),
+        F.expr(f"{gap('sharpe')} AS sharpe_delta"), F.expr(f"{gap('max_drawdown')} AS max_drawdown_delta"),
+    ).filter("sides = 2")
+    checked = "if(same_span, true, raise_error('strategy and benchmark differ in periods'))"
+    return rows.filter(checked).selectExpr(
+        "study", f"'{strategy}' AS strategy", f"'{benchmark}' AS benchmark", "excess_total_return",
+        "excess_cagr", "sharpe_delta", "max_drawdown_delta",
     )

@@ -102,11 +102,11 @@ def rolling_sharpe(
     windows are aggregated, so nothing is scanned again for each window.
     """
     ppy = f"{float(periods_per_year)}D"
-    lengths = returns.groupBy("study", "strategy").agg(F.expr("max(period) + 1 AS n"))
+    whole = Window.partitionBy("study", "strategy")
     first = f"int(greatest(0, ceil((period - {window} + 1) / {step}D)))"
     last = f"int(least(floor(period / {step}D), floor((n - {window}) / {step}D)))"
     spread = (
-        returns.join(F.broadcast(lengths), ["study", "strategy"])
+        returns.withColumn("n", F.max("period").over(whole) + 1)
         .filter(f"n >= {window} AND {first} <= {last}")
         .withColumn("win", F.expr(f"explode(sequence({first}, {last}))"))
     )
@@ -121,9 +121,11 @@ def rolling_sharpe(
 
 def compare_rolling(sharpes: DataFrame, a: str, b: str) -> DataFrame:
     """How often strategy a beats b over the same windows."""
-    left = sharpes.filter(F.col("strategy") == a).withColumnRenamed("sharpe", "sa").drop("strategy")
-    right = sharpes.filter(F.col("strategy") == b).withColumnRenamed("sharpe", "sb").drop("strategy")
-    return left.join(right, ["study", "window_number"]).groupBy("study").agg(
+    paired = sharpes.groupBy("study", "window_number").agg(
+        F.expr(f"max(if(strategy = '{a}', sharpe, NULL)) AS sa"),
+        F.expr(f"max(if(strategy = '{b}', sharpe, NULL)) AS sb"),
+    )
+    return paired.dropna().groupBy("study").agg(
         F.expr("count(*) AS windows"), F.expr("count_if(sa > sb) AS wins_a"),
         F.expr("count_if(sa > sb) / count(*) AS win_rate_a"),
         F.expr("avg(sa) AS mean_sharpe_a"), F.expr("avg(sb) AS mean_sharpe_b"),

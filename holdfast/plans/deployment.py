@@ -79,7 +79,9 @@ def plan_deployment(
 
 
 def orders_of(plans: DataFrame) -> DataFrame:
-    return plans.select("portfolio_id", F.explode("orders").alias("o")).select("portfolio_id", "o.*")
+    # The outer form keeps the optimizer from evaluating the sizing again as a filter.
+    exploded = plans.select("portfolio_id", F.explode_outer("orders").alias("o"))
+    return exploded.filter("o IS NOT NULL").select("portfolio_id", "o.*")
 
 
 def blocked_by_theme(
