@@ -192,9 +192,11 @@ def io14(spark, sf):
     return out.selectExpr("bigint(split_part(ticker, '|', 1)) AS portfolio_id", "split_part(ticker, '|', 2) AS ticker", "name", "shares", "round(cost_basis_per_share, 4) AS cost_basis_per_share", "current_price")
 
 
-@query("IO15_report_payload")
+@query("IO15_report_payload", """
+SELECT '{"ticker":"' || s.ticker || '","composite_score":' || round(composite_score, 4) || ',"moat_points":' || round(moat_points, 4) || ',"diluted_shares_series":[' || e.xs || ']}' AS report
+FROM scored s JOIN (SELECT 'P' || l_partkey AS ticker, string_agg(diluted_shares::VARCHAR, ',' ORDER BY fiscal_year) AS xs FROM statements GROUP BY 1) e USING (ticker)""", ("scored", "statements"))
 def io15(spark, sf):
-    return sinks.stable_report(b.scored_tickers(spark, sf).select("ticker", "composite_score", "moat_points", "eps_series"))
+    return sinks.stable_report(b.scored_tickers(spark, sf).select("ticker", "composite_score", "moat_points", "diluted_shares_series"), 4)
 
 
 @query("IO16_decision_log", """
@@ -216,7 +218,7 @@ def io17(spark, sf):
     return sinks.quote_rows(lower).selectExpr("ticker", "double(price) AS price", "double(change_percent) AS change_percent", "recorded_at")
 
 
-@query("IO18_audit_summary")
+@query("IO18_audit_summary", "SELECT scenario, advisor, runs, valid_runs FROM reports", ("reports",))
 def io18(spark, sf):
     folder = f"{shared_folder(spark)}/audit-{spark.sparkContext.applicationId}-{spark.sql('select uuid()').head()[0]}"
     sinks.write_audit(reports(spark, sf), mf.collection_manifest(records(spark, sf), ["arm"]), folder)
@@ -224,9 +226,22 @@ def io18(spark, sf):
 
 
 # --- ledger and streams ---
-@query("SS2_position_ledger")
+view("ordered_trades", """
+SELECT portfolio_id, ticker, transaction_type AS side, shares, price_per_share AS price, row_number() OVER (PARTITION BY portfolio_id, ticker ORDER BY executed_at, trade_ref) AS step FROM transactions""", ("transactions",))
+
+
+@query("SS2_position_ledger", """
+SELECT portfolio_id, ticker, held AS shares, round(cost, 8) AS average_cost, ok AS accepted, bad AS rejected FROM (
+WITH RECURSIVE fold AS (
+  SELECT DISTINCT portfolio_id, ticker, 0::BIGINT AS step, 0e0 AS held, 0e0 AS cost, 0::BIGINT AS ok, 0::BIGINT AS bad FROM ordered_trades
+  UNION ALL
+  SELECT f.portfolio_id, f.ticker, t.step, CASE WHEN side = 'BUY' THEN held + shares WHEN shares <= held THEN held - shares ELSE held END,
+    CASE WHEN side = 'BUY' THEN (held * cost + shares * price) / (held + shares) WHEN shares = held THEN 0 ELSE cost END,
+    ok + CASE WHEN side = 'BUY' OR shares <= held THEN 1 ELSE 0 END, bad + CASE WHEN side = 'BUY' OR shares <= held THEN 0 ELSE 1 END
+  FROM fold f JOIN ordered_trades t ON t.portfolio_id = f.portfolio_id AND t.ticker = f.ticker AND t.step = f.step + 1)
+SELECT *, row_number() OVER (PARTITION BY portfolio_id, ticker ORDER BY step DESC) AS newest FROM fold) WHERE newest = 1""", ("ordered_trades",))
 def ss2(spark, sf):
-    return ledger.positions_from_trades(b.transactions(spark, sf)).select("portfolio_id", "ticker", "shares", rnd("average_cost"), "accepted", "rejected")
+    return ledger.positions_from_trades(b.transactions(spark, sf)).select("portfolio_id", "ticker", "shares", rnd("average_cost", 8), "accepted", "rejected")
 
 
 @query("SS2_cash_ledger")
@@ -258,7 +273,8 @@ def ss1(spark, sf):
     return jobs.cached_quotes(spark, f"{folder}/out").select("ticker", "price", "change_percent", "quote_id")
 
 
-@query("SS3_record_audit_stream")
+@query("SS3_record_audit_stream", """
+SELECT arm, count(*) AS runs, count(*) FILTER (WHERE valid AND run_id % 7 <> 0) AS valid, count(*) FILTER (WHERE run_id % 7 = 0) AS unparsed FROM verdicts GROUP BY 1""", ("verdicts",))
 def ss3(spark, sf):
     folder = _work(spark, "runs")
     replies(spark, sf).selectExpr("scenario", "run_id", "arm", "raw_response", "timestamp'2024-01-01 00:00:00' AS arrived_at").write.parquet(f"{folder}/in")
@@ -267,10 +283,13 @@ def ss3(spark, sf):
     return spark.read.parquet(f"{folder}/out").groupBy("arm").agg(F.expr("sum(runs) AS runs"), F.expr("sum(valid) AS valid"), F.expr("sum(unparsed) AS unparsed"))
 
 
-@query("SS4_daily_trade_stream")
+@query("SS4_daily_trade_stream", """
+SELECT l_suppkey AS portfolio_id, date_trunc('day', l_shipdate)::TIMESTAMP AS day, sum(ceil(l_extendedprice / 1000) * 2.5)::DOUBLE AS fees, round(sum(l_extendedprice), 2) AS volume, count(*) AS trades
+FROM lineitem WHERE date_trunc('day', l_shipdate) + INTERVAL 1 DAY <= (SELECT max(l_shipdate) - INTERVAL 7 DAY FROM lineitem) GROUP BY 1, 2""")
 def ss4s(spark, sf):
     folder = _work(spark, "trades")
     raw = jobs.file_stream(spark, sf, "lineitem.parquet", b.SCHEMAS["lineitem"].replace("TIMESTAMP_NTZ", "TIMESTAMP"))
     trades = raw.selectExpr("l_suppkey AS portfolio_id", "l_extendedprice AS total_amount", f"{fee.order_fee('l_extendedprice')} AS fees", "l_shipdate AS executed_at")
     jobs.run_daily_trades(trades, f"{folder}/out", f"{folder}/checkpoint")
-    return spark.read.schema("portfolio_id BIGINT, day TIMESTAMP, fees DOUBLE, volume DOUBLE, trades BIGINT").parquet(f"{folder}/out")
+    return spark.read.schema("portfolio_id BIGINT, day TIMESTAMP, fees DOUBLE, volume DOUBLE, trades BIGINT").parquet(f"{folder}/out").selectExpr(
+        "portfolio_id", "cast(day AS timestamp_ntz) AS day", "fees", "round(volume, 2) AS volume", "trades")

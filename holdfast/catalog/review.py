@@ -105,7 +105,23 @@ def st6(spark, sf):
     return t.select("portfolio_id", "decision", big("cells"), rnd("share_held"))
 
 
-@query("SJ7_replacements")
+view("swap_pairs", """
+SELECT a.portfolio_id, a.ticker AS cur, s.ticker AS cand, s.composite_score - a.composite_score AS gap, s.place AS c,
+       row_number() OVER (PARTITION BY a.portfolio_id, s.place ORDER BY a.composite_score, a.ticker) AS unused, h.h
+FROM analyses a JOIN (SELECT portfolio_id, ticker, row_number() OVER (PARTITION BY portfolio_id ORDER BY composite_score, ticker) AS h FROM analyses) h USING (portfolio_id, ticker)
+JOIN screened s ON s.portfolio_id = a.portfolio_id AND s.composite_score - a.composite_score >= 8 AND s.valuation_points - a.valuation_points >= -5""", ("analyses", "screened"))
+view("swap_one", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY h, c) AS rn FROM swap_pairs) WHERE rn = 1", ("swap_pairs",))
+view("swap_two", """
+SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY p.portfolio_id ORDER BY p.h, p.c) AS rn FROM swap_pairs p JOIN swap_one a ON a.portfolio_id = p.portfolio_id
+  AND p.h > a.h AND p.c <> a.c) WHERE rn = 1""", ("swap_pairs", "swap_one"))
+view("swap_three", """
+SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY p.portfolio_id ORDER BY p.h, p.c) AS rn FROM swap_pairs p JOIN swap_one a ON a.portfolio_id = p.portfolio_id
+  JOIN swap_two b ON b.portfolio_id = p.portfolio_id AND p.h > b.h AND p.c <> b.c AND p.c <> a.c) WHERE rn = 1""", ("swap_pairs", "swap_one", "swap_two"))
+
+
+@query("SJ7_replacements", """
+SELECT portfolio_id, 1::BIGINT AS place, cur AS current_ticker, cand AS candidate_ticker, round(gap, 6) AS score_gap FROM swap_one
+UNION ALL SELECT portfolio_id, 2, cur, cand, round(gap, 6) FROM swap_two UNION ALL SELECT portfolio_id, 3, cur, cand, round(gap, 6) FROM swap_three""", ("swap_one", "swap_two", "swap_three"))
 def sj7(spark, sf):
     held = analyses(spark, sf)
     return rv.replacements(held, rv.screen(held, universe(spark, sf), SCREEN)).select(
@@ -119,7 +135,11 @@ def tk7(spark, sf):
     return rv.trims(analyses(spark, sf)).select("portfolio_id", "ticker", rnd("weight_pct"), big("place"))
 
 
-@query("SC31_portfolio_review")
+@query("SC31_portfolio_review", """
+SELECT portfolio_id, positions, additions, (SELECT count(*) FROM swap_one x WHERE x.portfolio_id = p.portfolio_id) + (SELECT count(*) FROM swap_two x WHERE x.portfolio_id = p.portfolio_id)
+  + (SELECT count(*) FROM swap_three x WHERE x.portfolio_id = p.portfolio_id) AS replacements, trims
+FROM (SELECT a.portfolio_id, count(*) AS positions, count(*) FILTER (WHERE weight_pct > 100e0 / position_count * 1.3e0 AND composite_score < 70) AS trims FROM analyses a GROUP BY 1) p
+JOIN (SELECT portfolio_id, count(*) FILTER (WHERE positions <= 25 AND place <= greatest(3, 18 - positions)) AS additions FROM screened GROUP BY 1) s USING (portfolio_id)""", ("analyses", "screened", "swap_one", "swap_two", "swap_three"))
 def sc31(spark, sf):
     held = reuse(analyses(spark, sf))
     scr = reuse(rv.screen(held, universe(spark, sf), SCREEN))

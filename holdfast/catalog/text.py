@@ -75,7 +75,24 @@ def sc44(spark, sf):
                            "bigint(max_recommendations) AS max_recommendations", "add_only", "amounts_required")
 
 
-@query("SC45_baseline_runs")
+_LISTS = """SELECT scenario, cash, lim, add_only, amounts_required AS ar, string_split(allowed, '|') AS al, string_split(owned, '|') AS ow,
+  CASE WHEN policy = '' THEN [] ELSE string_split(policy, '|') END AS po, CASE WHEN facts = '' THEN [] ELSE string_split(facts, '|')[1:1] END AS f1 FROM bank"""
+view("advised", f"""
+SELECT *, CASE WHEN len(pol) > 0 THEN pol ELSE al[1:1] END AS fb, run FROM (
+  SELECT *, (CASE WHEN add_only THEN list_filter(po, lambda x: NOT list_contains(ow, x)) ELSE po END)[1:lim] AS pol FROM ({_LISTS})), (SELECT unnest(range(1, 6)) AS run)""", ("bank",))
+view("moves", """
+SELECT *, CASE WHEN len(fb) >= 2 THEN fb[1:2] WHEN len(al) > 1 THEN [fb[1], list_filter(al, lambda x: x <> fb[1])[1]] ELSE fb[1:1] END AS pair,
+  (CASE WHEN add_only THEN list_filter(turn, lambda x: NOT list_contains(ow, x)) ELSE turn END) AS roam FROM (
+  SELECT *, (al[(run - 1) % len(al) + 1:] || al[1:(run - 1) % len(al)])[1:lim] AS turn FROM advised)""", ("advised",))
+
+
+@query("SC45_baseline_runs", """
+SELECT scenario, advisor, 'run_' || run AS run_id, array_to_string(t, '|') AS tickers, coalesce(array_to_string(list_transform(a, lambda x: printf('%.2f', x)), '|'), '') AS amounts, array_to_string(c, '|') AS cited FROM (
+  SELECT scenario, run, 'deterministic_contract' AS advisor, CASE WHEN ar THEN pol[1:1] ELSE pol END AS t, CASE WHEN ar AND len(pol) > 0 AND cash >= 250 THEN [cash] ELSE [] END AS a, f1 AS c FROM moves
+  UNION ALL SELECT scenario, run, 'agreement_only_splitter', CASE WHEN ar THEN pair ELSE fb END, CASE WHEN ar THEN list_transform(pair, lambda x: round_even(cash / len(pair), 2)) ELSE [] END, f1 FROM moves
+  UNION ALL SELECT scenario, run, 'unstable_selector', CASE WHEN ar AND len(roam) > 0 AND cash >= 250 THEN roam[1:1] ELSE roam END, CASE WHEN ar AND len(roam) > 0 AND cash >= 250 THEN [cash] ELSE [] END, [] FROM moves
+  UNION ALL SELECT scenario, run, 'fact_hallucinator', CASE WHEN ar THEN fb[1:1] ELSE fb END, CASE WHEN ar AND cash >= 250 THEN [cash] ELSE [] END, f1 || ['unsupported_live_fact_' || run] FROM moves
+  UNION ALL SELECT scenario, run, 'cash_overrun', fb[1:1], CASE WHEN ar THEN [cash + 100 + run] ELSE [] END, [] FROM moves)""", ("moves",))
 def sc45(spark, sf):
     return sc.baseline_runs(bank(spark, sf)).selectExpr("scenario", "advisor", "run_id", "array_join(tickers, '|') AS tickers",
                                                         "array_join(transform(amounts, x -> format_string('%.2f', x)), '|') AS amounts", "array_join(cited_fact_ids, '|') AS cited")
@@ -90,9 +107,13 @@ def sc46(spark, sf):
     return agg.select("advisor", "scenarios", "runs", *[rnd(c) for c in ["validity_rate", "mean_agreement", "mean_set_stability", "mean_amount_stability", "false_positive_rate"]])
 
 
-@query("AG20_manifest_hash")
+@query("AG20_manifest_hash", """
+WITH leaf AS (SELECT h AS p, h || ':' || n AS part, n FROM (SELECT sha256('{"digest":"' || sha256(text) || '","name":"doc_' || doc_id || '"}') AS h, count(*) AS n FROM documents GROUP BY 1)),
+six AS (SELECT substr(p, 1, 6) AS p, sha256(string_agg(part, '' ORDER BY p, part)) AS part, sum(n) AS n FROM (SELECT p, part, n FROM leaf) GROUP BY 1),
+three AS (SELECT substr(p, 1, 3) AS p, sha256(string_agg(part, '' ORDER BY p, part)) AS part, sum(n) AS n FROM (SELECT p, part, n FROM six) GROUP BY 1)
+SELECT sha256(string_agg(part, '' ORDER BY p, part)) AS digest, sum(n)::BIGINT AS records FROM three""")
 def ag20(spark, sf):
-    return sc.manifest_hash(bank(spark, sf))
+    return sc.manifest_hash(mf.digests(b.table(spark, sf, "documents", "doc_id", "text"), "concat('doc_', doc_id)", "text"))
 
 
 view("cells", """

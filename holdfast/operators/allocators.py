@@ -140,7 +140,7 @@ def weight_schedule(
     counts = tickers.groupBy("study").agg(F.count(F.lit(1)).alias("k"))
     early = (
         rebalance_periods(returns, every).filter(f"at < {min_observations}")
-        .join(tickers.join(F.broadcast(counts), "study"), "study")
+        .join(tickers.join(counts, "study"), "study")
     )
     names = ", ".join(f"'{name}'" for name in chosen)
     uniform = early.selectExpr(

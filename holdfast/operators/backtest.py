@@ -79,7 +79,7 @@ def run_walk_forward(returns: DataFrame, schedule: DataFrame, cost_rate: float =
     dates = schedule.select(*SERIES, F.col("period").alias("segment")).distinct()
     following = F.lead("segment").over(Window.partitionBy(*SERIES).orderBy("segment"))
     spans = (
-        dates.withColumn("following", following).join(F.broadcast(lengths), "study")
+        dates.withColumn("following", following).join(lengths, "study")
         .withColumn("end_period", F.expr("coalesce(following - 1, last_period)"))
         .withColumn("period", F.expr("explode(sequence(segment, end_period))"))
         .select(*SERIES, "segment", "end_period", "period")

@@ -91,7 +91,7 @@ def latest_quotes(quotes: DataFrame, as_of: str | None = None, ttl_minutes: int
 
 def merge_feeds(quotes: DataFrame, feeds: DataFrame) -> DataFrame:
     """Per ticker, the newest quote of the first feed (by priority) that has one."""
-    ranked = quotes.join(F.broadcast(feeds), "feed")
+    ranked = quotes.join(feeds, "feed")
     order = [F.col("priority"), F.col("recorded_at").desc(), F.col("quote_id").desc()]
     return top_per_group(ranked, ["ticker"], order, 1).drop("rank")
 
@@ -99,11 +99,11 @@ def merge_feeds(quotes: DataFrame, feeds: DataFrame) -> DataFrame:
 def first_answering_feed(quotes: DataFrame, feeds: DataFrame) -> DataFrame:
     """Attempt log of the whole-batch form: feeds up to the first one with any quote."""
     counts = quotes.groupBy("feed").agg(F.count(F.lit(1)).alias("quotes"))
-    tried = F.broadcast(feeds).join(counts, "feed", "left").withColumn(
+    tried = feeds.join(counts, "feed", "left").withColumn(
         "success", F.coalesce(F.col("quotes") > 0, F.lit(False))
     )
     winner = tried.filter("success").agg(F.min("priority").alias("_winner"))
-    return tried.join(F.broadcast(winner), F.expr("priority <= coalesce(_winner, priority)")).selectExpr(
+    return tried.join(winner, F.expr("priority <= coalesce(_winner, priority)")).selectExpr(
         "feed", "priority", "coalesce(quotes, 0) AS quotes", "success"
     )
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from holdfast.functions import let
+
 
 def draw(modulus: str, *parts: str) -> str:
     """Uniform integer in [0, modulus) from the md5 of the joined parts."""
@@ -27,7 +29,8 @@ def block_bootstrap_sharpe(
 ) -> DataFrame:
     """Circular block bootstrap of Sharpe(a) - Sharpe(b) per study.
 
-    Samples are partitioned work: each (study, sample, block) draw joins the two short series.
+    One row per (study, sample), spread over the cluster, carries the two series (as long as
+    the calendar); its blocks are drawn and measured inside the row, so picks are never rows.
     """
     ppy = f"{float(periods_per_year)}D"
     pair = returns.filter(F.col("strategy").isin(a, b)).groupBy("study", "period").agg(
@@ -37,32 +40,34 @@ def block_bootstrap_sharpe(
     series = pair.groupBy("study").agg(
         F.expr("sort_array(collect_list(struct(period, ra, rb))) AS s")
     ).selectExpr("study", "s.ra AS xa", "s.rb AS xb", "size(s) AS n")
-    sample_ids = series.selectExpr("study", "n", f"explode(sequence(0, {samples - 1})) AS sample").repartition(
-        "study", "sample"
-    )
-    blocks = sample_ids.selectExpr(
-        "study", "n", "sample", f"explode(sequence(0, int(ceil(n / {block}D)) - 1)) AS blk"
-    ).selectExpr("study", "n", "sample", "blk", f"{draw('n', str(seed), 'study', 'sample', 'blk')} AS start")
-    picks = blocks.selectExpr(
-        "study", "n", "sample", f"explode(sequence(0, least({block}, n - blk * {block}) - 1)) AS step", "start"
-    ).selectExpr("study", "sample", "int(pmod(start + step, n)) AS at")
-    values = picks.join(F.broadcast(series), "study").selectExpr(
-        "study", "sample", "xa[at] AS ra", "xb[at] AS rb"
-    )
 
     def sharpe(x: str) -> str:
-        return (
-            f"if(count(*) < 2 OR stddev_pop({x}) < 1e-12D, 0D, avg({x}) / stddev_pop({x}) * sqrt({ppy}))"
-        )
+        mean = f"aggregate({x}, 0D, (acc, v) -> acc + v) / size({x})"
+        spread = f"sqrt(aggregate({x}, 0D, (acc, v) -> acc + (v - m) * (v - m)) / size({x}))"
+        ratio = f"if(size({x}) < 2 OR d < 1e-12D, 0D, m / d * sqrt({ppy}))"
+        return let("m", mean, let("d", spread, ratio))
 
-    diffs = values.groupBy("study", "sample").agg(F.expr(f"{sharpe('ra')} - {sharpe('rb')} AS diff"))
-    point = pair.groupBy("study").agg(F.expr(f"{sharpe('ra')} - {sharpe('rb')} AS point_estimate"))
+    start = draw("n", str(seed), "study", "sample", "k")
+    picks = (
+        f"slice(flatten(transform(sequence(0, int(ceil(n / {block}D)) - 1), k -> transform(array({start}), "
+        f"s -> transform(sequence(0, {block} - 1), o -> int(pmod(s + o, n))))[0])), 1, n)"
+    )
+    sampled = (
+        series.withColumn("sample", F.expr(f"explode(sequence(0, {samples - 1}))"))
+        .repartition("study", "sample")
+        .withColumn("picks", F.expr(picks))
+        .selectExpr(
+            "study", "transform(picks, i -> xa[i]) AS pa", "transform(picks, i -> xb[i]) AS pb"
+        )
+        .selectExpr("study", f"{sharpe('pa')} - {sharpe('pb')} AS diff")
+    )
     tail = (1 - confidence) / 2
-    spread = diffs.groupBy("study").agg(
+    spread = sampled.groupBy("study").agg(
         F.expr("count(*) AS samples"),
         F.expr(f"percentile(diff, {tail}D) AS ci_low"), F.expr(f"percentile(diff, {1 - tail}D) AS ci_high"),
         F.expr("avg(if(diff > 0, 1D, 0D)) AS prob_a_better"),
     )
+    point = series.selectExpr("study", f"{sharpe('xa')} - {sharpe('xb')} AS point_estimate")
     return point.join(spread, "study")
 
 

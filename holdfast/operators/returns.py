@@ -15,7 +15,7 @@ def align_prices(prices: DataFrame) -> DataFrame:
     clean = prices.filter("price > 0")
     universe = prices.groupBy("study").agg(F.countDistinct("ticker").alias("n_tickers"))
     dates = clean.groupBy("study", "date").agg(F.countDistinct("ticker").alias("n"))
-    full = dates.join(F.broadcast(universe), "study").filter("n = n_tickers").select("study", "date")
+    full = dates.join(universe, "study").filter("n = n_tickers").select("study", "date")
     enough = full.groupBy("study").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("study")
     kept = full.join(enough, "study", "left_semi")
     return clean.join(kept, ["study", "date"], "left_semi")
@@ -50,7 +50,7 @@ def normalize_weights(weights: DataFrame) -> DataFrame:
 def equal_weights(tickers: DataFrame, strategy: str = "equal") -> DataFrame:
     """1/N over the tickers of each study."""
     counts = tickers.groupBy("study").agg(F.count(F.lit(1)).alias("_n"))
-    return tickers.join(F.broadcast(counts), "study").select(
+    return tickers.join(counts, "study").select(
         "study", F.lit(strategy).alias("strategy"), "ticker", F.expr("1D / _n AS weight")
     )
 
@@ -168,7 +168,7 @@ def covariance(returns: DataFrame, shrinkage: float = 0.0) -> DataFrame:
     if shrinkage == 0.0:
         return both
     level = both.filter("ticker_a = ticker_b").groupBy("study").agg(F.avg("cov").alias("avg_var"))
-    return both.join(F.broadcast(level), "study").selectExpr(
+    return both.join(level, "study").selectExpr(
         "study", "ticker_a", "ticker_b",
         f"{1.0 - shrinkage}D * cov + if(ticker_a = ticker_b, {shrinkage}D * avg_var, 0D) AS cov",
     )

@@ -50,11 +50,11 @@ def held_summary(held: DataFrame, candidates: DataFrame) -> DataFrame:
     counts = held.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("positions"))
     owned = (
         held.withColumn("ticker", F.upper("ticker"))
-        .join(F.broadcast(candidates.selectExpr("upper(ticker) AS ticker").distinct()), "ticker", "left_semi")
+        .join(candidates.selectExpr("upper(ticker) AS ticker").distinct(), "ticker", "left_semi")
         .groupBy("portfolio_id").agg(F.collect_set("ticker").alias("owned"))
     )
     themes = (
-        held.join(F.broadcast(candidates.select("theme").distinct()), "theme", "left_semi")
+        held.join(candidates.select("theme").distinct(), "theme", "left_semi")
         .groupBy("portfolio_id", "theme").agg(F.sum("weight_pct").alias("w"))
         .groupBy("portfolio_id")
         .agg(F.expr("map_from_entries(collect_list(struct(theme, w))) AS theme_weights"))

@@ -98,7 +98,7 @@ def concentration(weighted: DataFrame, top: int = 5) -> DataFrame:
 def with_theme(rows: DataFrame, dimension: DataFrame) -> DataFrame:
     """Look up theme and financial flag in a small fixed dimension; unknown is 'Other'."""
     return (
-        rows.join(F.broadcast(dimension), "ticker", "left")
+        rows.join(dimension, "ticker", "left")
         .withColumn("theme", F.coalesce("theme", F.lit("Other")))
         .withColumn("is_financial", F.coalesce("is_financial", F.lit(False)))
     )

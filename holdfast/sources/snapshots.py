@@ -41,7 +41,7 @@ def latest_stamp(rows: DataFrame) -> DataFrame:
 
 def latest_capture(rows: DataFrame) -> DataFrame:
     """Rows of the newest capture only."""
-    return rows.join(F.broadcast(latest_stamp(rows)), "captured_utc", "left_semi")
+    return rows.join(latest_stamp(rows), "captured_utc", "left_semi")
 
 
 def load_snapshot(spark: SparkSession, path: str, captured_utc: str | None = None):
