@@ -1,0 +1,77 @@
+"""Built-in ticker dimension and candidate list (small fixed tables)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+# Theme of each known holding.
+THEMES = {
+    "ASML": "Semiconductors", "AVGO": "Semiconductors", "TSM": "Semiconductors",
+    "MSFT": "Platforms", "GOOGL": "Platforms",
+    "LLY": "Pharma", "NVO": "Pharma",
+    "ISRG": "MedTech",
+    "UNH": "Managed Care",
+    "JPM": "Banks",
+    "SPGI": "Data & Analytics", "RELX": "Data & Analytics",
+    "ROP": "Vertical Software",
+    "TDG": "Aerospace",
+    "LIN": "Industrial Gases",
+    "EQIX": "Real Estate", "PLD": "Real Estate",
+}
+# Tickers judged as financial companies.
+FINANCIALS = ("JPM",)
+# Candidate tickers with display name and theme.
+CANDIDATES = {
+    "V": ("Visa Inc", "Payments"),
+    "MA": ("Mastercard Inc", "Payments"),
+    "COST": ("Costco Wholesale", "Consumer Staples"),
+    "NVDA": ("NVIDIA Corporation", "Semiconductors"),
+    "AAPL": ("Apple Inc", "Platforms"),
+    "AMZN": ("Amazon.com Inc", "Platforms"),
+    "META": ("Meta Platforms Inc", "Platforms"),
+    "LVMUY": ("LVMH Moet Hennessy Louis Vuitton ADR", "Luxury"),
+    "RACE": ("Ferrari NV", "Luxury"),
+    "ADBE": ("Adobe Inc", "Vertical Software"),
+    "NOW": ("ServiceNow Inc", "Vertical Software"),
+    "INTU": ("Intuit Inc", "Vertical Software"),
+    "ORCL": ("Oracle Corporation", "Enterprise Software"),
+    "SAP": ("SAP SE ADR", "Enterprise Software"),
+    "CRM": ("Salesforce Inc", "Enterprise Software"),
+    "ACN": ("Accenture plc", "IT Services"),
+    "MCO": ("Moody's Corporation", "Data & Analytics"),
+    "MSCI": ("MSCI Inc", "Data & Analytics"),
+    "ICE": ("Intercontinental Exchange Inc", "Data & Analytics"),
+    "CME": ("CME Group Inc", "Data & Analytics"),
+    "HD": ("Home Depot Inc", "Retail"),
+    "LOW": ("Lowe's Companies Inc", "Retail"),
+    "TJX": ("TJX Companies Inc", "Retail"),
+    "CTAS": ("Cintas Corporation", "Industrials"),
+    "WM": ("Waste Management Inc", "Essential Services"),
+    "WCN": ("Waste Connections Inc", "Essential Services"),
+    "ITW": ("Illinois Tool Works Inc", "Industrials"),
+    "SHW": ("Sherwin-Williams Company", "Specialty Materials"),
+    "APD": ("Air Products and Chemicals Inc", "Industrial Gases"),
+    "DE": ("Deere & Company", "Industrial Equipment"),
+    "SNPS": ("Synopsys Inc", "Vertical Software"),
+    "CDNS": ("Cadence Design Systems", "Vertical Software"),
+    "ANET": ("Arista Networks", "Networking"),
+    "TXN": ("Texas Instruments Inc", "Semiconductors"),
+    "EW": ("Edwards Lifesciences Corporation", "MedTech"),
+    "ODFL": ("Old Dominion Freight Line", "Industrials"),
+    "VICI": ("VICI Properties Inc", "Real Estate"),
+    "O": ("Realty Income Corp", "Real Estate"),
+    "AMT": ("American Tower Corp", "Real Estate"),
+    "EQNR": ("Equinor ASA ADR", "Energy"),
+    "ENB": ("Enbridge Inc", "Energy Infrastructure"),
+}
+
+
+def themes(spark: SparkSession) -> DataFrame:
+    rows = [(ticker, theme, ticker in FINANCIALS) for ticker, theme in THEMES.items()]
+    return spark.createDataFrame(rows, "ticker string, theme string, is_financial boolean")
+
+
+def candidates(spark: SparkSession) -> DataFrame:
+    """Candidates with their theme; join scores to it before screening."""
+    rows = [(ticker, name, theme, ticker in FINANCIALS) for ticker, (name, theme) in CANDIDATES.items()]
+    return spark.createDataFrame(rows, "ticker string, name string, theme string, is_financial boolean")
