@@ -27,10 +27,9 @@ def raw_broker(spark, sf):
 
 
 @query("IO1_broker_ingest", """
-SELECT portfolio_id, ticker, shares * 1000 AS shares, CASE WHEN shares > 40 THEN 0 ELSE cost END AS cost, CASE WHEN shares > 30 THEN CASE WHEN shares > 40 THEN 0 ELSE cost END ELSE price END AS price,
+SELECT portfolio_id, ticker, shares * 1000 AS shares, CASE WHEN s > 40 THEN 0 ELSE cost END AS cost, CASE WHEN s > 30 THEN CASE WHEN s > 40 THEN 0 ELSE cost END ELSE price END AS price,
   CASE WHEN substr(ticker, 2)::INTEGER % 41 = 0 THEN 'invalid number' END AS reject
-FROM (SELECT portfolio_id, ticker, CASE WHEN substr(ticker, 2)::INTEGER % 41 = 0 THEN NULL ELSE shares END AS shares, cost, price, shares AS s FROM positions WHERE substr(ticker, 2)::INTEGER % 50 <> 0) t""".replace(
-    "CASE WHEN shares > 40", "CASE WHEN s > 40").replace("CASE WHEN shares > 30", "CASE WHEN s > 30"), ("positions",))
+FROM (SELECT portfolio_id, ticker, CASE WHEN substr(ticker, 2)::INTEGER % 41 = 0 THEN NULL ELSE shares END AS shares, cost, price, shares AS s FROM positions WHERE substr(ticker, 2)::INTEGER % 50 <> 0) t""", ("positions",))
 def io1(spark, sf):
     rows = broker.normalize_rows(raw_broker(spark, sf), ("portfolio_id",))
     return rows.selectExpr("portfolio_id", "ticker", "double(shares) AS shares", "double(cost) AS cost", "double(price) AS price", "reject")
@@ -116,7 +115,7 @@ def io8(spark, sf):
 
 
 @query("IO9_run_record_tree", """
-SELECT arm, count(*) AS records, count(*) AS consistent, sum(run) AS run_total FROM records WHERE run_id % 50 = 1 GROUP BY 1""".replace("WHERE run_id % 50 = 1 ", ""), ("records",))
+SELECT arm, count(*) AS records, count(*) AS consistent, sum(run) AS run_total FROM records GROUP BY 1""", ("records",))
 def io9(spark, sf):
     """Written as partitioned files and read back with the path parts recovered."""
     folder = f"{shared_folder(spark)}/records-{spark.sparkContext.applicationId}-{spark.sql('select uuid()').head()[0]}"

@@ -95,11 +95,11 @@ def sc32(spark, sf):
 
 
 @query("ST6_threshold_sweep", """
-WITH grid AS (SELECT c.v AS cap, p.v AS pen, b.v AS bon FROM (SELECT unnest([10e0, 15, 20, 25, 30, 35]) AS v) c, (SELECT unnest([1e0, 2, 3, 5]) AS v) p, (SELECT unnest([0e0, 6, 12, 18]) AS v) b),
+SELECT * FROM (WITH grid AS (SELECT c.v AS cap, p.v AS pen, b.v AS bon FROM (SELECT unnest([10e0, 15, 20, 25, 30, 35]) AS v) c, (SELECT unnest([1e0, 2, 3, 5]) AS v) p, (SELECT unnest([0e0, 6, 12, 18]) AS v) b),
 won AS (SELECT portfolio_id, cap, pen, bon, arg_min(ticker, (-greatest(0, least(100, 80 + CASE WHEN cur = 0 THEN bon ELSE 0 END - greatest(0, projected - cap) * pen)), -composite_score, ticker)) AS won
         FROM (SELECT * FROM fitted) f, grid GROUP BY 1, 2, 3, 4),
 base AS (SELECT portfolio_id, won AS decision FROM won WHERE cap = 20 AND pen = 3 AND bon = 12)
-SELECT portfolio_id, decision, count(*) AS cells, round(avg(CASE WHEN won = decision THEN 1e0 ELSE 0e0 END), 6) AS share_held FROM won JOIN base USING (portfolio_id) GROUP BY 1, 2""".replace("WITH grid", "SELECT * FROM (WITH grid") + ")", ("fitted",))
+SELECT portfolio_id, decision, count(*) AS cells, round(avg(CASE WHEN won = decision THEN 1e0 ELSE 0e0 END), 6) AS share_held FROM won JOIN base USING (portfolio_id) GROUP BY 1, 2)""", ("fitted",))
 def st6(spark, sf):
     t = rv.threshold_sweep(screened(spark, sf), (10, 15, 20, 25, 30, 35), (1, 2, 3, 5), (0, 6, 12, 18))
     return t.select("portfolio_id", "decision", big("cells"), rnd("share_held"))
@@ -331,7 +331,6 @@ view("compounding", """
 SELECT 'P' || a.l_partkey AS ticker, h.n AS period_years, a.fiscal_year AS end_year, pow(a.revenue / b.revenue, 1e0 / h.n) - 1 AS revenue_cagr,
        CASE WHEN a.eps > 0 AND b.eps > 0 THEN pow(a.eps / b.eps, 1e0 / h.n) - 1 END AS eps_cagr
 FROM statements a, (SELECT unnest([3, 5]) AS n) h, statements b WHERE b.l_partkey = a.l_partkey AND b.fiscal_year = a.fiscal_year - h.n
- AND NOT EXISTS (SELECT 1 FROM (SELECT l_partkey, count(*) AS k FROM statements GROUP BY 1) z WHERE z.l_partkey = a.l_partkey AND FALSE)
  AND (SELECT count(*) FROM statements c WHERE c.l_partkey = a.l_partkey AND c.fiscal_year > b.fiscal_year AND c.fiscal_year <= a.fiscal_year) = h.n""", ("statements",))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from holdfast import bridge as b
-from holdfast.catalog.audit import joined, verdicts
 from holdfast.catalog.core import big, rnd
 from holdfast.catalog.registry import query, view
 from holdfast.functions import text as t
