@@ -1,12 +1,91 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read as the next one's input."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read as the next one's input.
+
+Every stage but the last returns the columns of documents. Rows with a null doc_id pass the near-duplicate
+stage untouched; null and empty texts end at the language stage, which keeps only texts in a language.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from holdfast.llm import decontaminate, jaccard, language, mixing, tokens
+from holdfast.llm.storage import settle, table
+
+#: Documents whose likeliest language is less likely than this are rejected.
+LEAST_SCORE = 0.3
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language the network recognises. An empty table, or one without lang, stays empty."""
+    network = language.train(docs.select("doc_id", "text", "lang"), F.lit(True))
+    labelled = docs.withColumn("__label", language.label_column(network))
+    known = (F.col("__label.lang_pred") != language.NO_LANGUAGE) & (F.col("__label.score") >= LEAST_SCORE)
+    return labelled.filter(known).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group; of rows with one doc_id, one stays."""
+    classes = jaccard.jaccard_classes(docs, width=5, percent=80)
+    gone = settle(classes.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    if not repeated.head(1):
+        return kept
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    first = kept.withColumn("__place", F.row_number().over(order))
+    return first.filter("__place = 1 OR doc_id IS NULL").select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontaminate.without_items(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes any of its words: not at all, once or twice."""
+    keys = [F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.xxhash64(*docs.columns).alias("__row")]
+    named = docs.select(F.col("doc_id"), F.col("source"), F.col("text"), F.xxhash64(*docs.columns).alias("__row"))
+    taken = settle(
+        mixing.taken_words(*mixing.mix(named))
+        .groupBy(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("__row").alias("t_row"))
+        .agg(F.sum("copies").alias("__copies"), F.count("*").alias("__n"))
+        .filter("__copies > 0"),
+        "mix-copies",
+    )
+    rows = docs.dropDuplicates() if taken.filter("__n > 1").head(1) else docs
+    same = (
+        F.col("__id").eqNullSafe(F.col("t_id"))
+        & F.col("__source").eqNullSafe(F.col("t_source"))
+        & (F.col("__row") == F.col("t_row"))
+    )
+    copies = rows.select(*docs.columns, *keys).join(taken, same)
+    return copies.select(*docs.columns, F.explode(F.expr("sequence(1L, __copies)"))).select(*docs.columns)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token files and returns what reading them back gives."""
+    import public_tokenizers
+
+    manifest = tokens.write_records(
+        docs, tokens.token_folder(spark), public_tokenizers.path("byte_bpe_50k.json"), end_id=0
+    )
+    return tokens.read_records(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
 
-STAGES = []
+STAGES = [
+    ("language_id", identify_language),
+    ("near_copies", drop_near_copies),
+    ("decontamination", decontaminated),
+    ("mixing", mix_sources),
+    ("token_records", write_tokens),
+]
+#: Models, edit distances and tokenizers are beyond SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
