@@ -26,6 +26,7 @@ with np.errstate(over="ignore"):
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS: dict[int, np.ndarray] = {}
+BYTE_VALUES = _BYTE
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,17 +48,24 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start offset) of each word of a buffer."""
+def word_hashes(
+    buffer: bytes, space: np.ndarray = _SPACE, values: np.ndarray = _BYTE, prefix: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start offset) of each word of a buffer, or of its first ``prefix`` bytes.
+
+    ``space`` says which bytes part words; ``values`` gives each other byte its value.
+    """
     raw = np.frombuffer(buffer, np.uint8)
     inside = np.empty(len(raw) + 2, bool)
     inside[0] = inside[-1] = False
-    np.logical_not(_SPACE[raw], out=inside[1:-1])
+    np.logical_not(space[raw], out=inside[1:-1])
     turns = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = turns[::2], turns[1::2]
+    if prefix:
+        ends = np.minimum(ends, starts + prefix)
     sums = np.empty(len(raw) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTE[raw] * _powers(_BASE, len(raw)), out=sums[1:])
+    np.cumsum(values[raw] * _powers(_BASE, len(raw)), out=sums[1:])
     value = (sums[ends] - sums[starts]) * _powers(_INVERSE, len(raw) + 1)[starts]
     return mix(value + (ends - starts).astype(np.uint64)), starts
 
