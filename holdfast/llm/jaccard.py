@@ -259,61 +259,63 @@ def _open_buckets(buckets: DataFrame, labels: DataFrame, sets: DataFrame) -> Dat
 def _close_pairs(members: DataFrame, percent: int, nearest_only: bool) -> DataFrame:
     """a, b, c_a, c_b, gap: pairs of different components that sizes and sketches allow."""
 
+    names = ["a", "b", "c_a", "c_b", "gap"]
+
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            keys = held[["bucket", "x", "y"]].to_numpy()
-            last = np.flatnonzero((keys != keys[-1]).any(axis=1))
-            cut = last[-1] + 1 if len(last) else 0
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            group = rows[["bucket", "x", "y"]].to_numpy()
+            turns = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
+            cut = turns[-1] if len(turns) else 0
             if cut:
-                yield from pairs_of(held.iloc[:cut])
-                held = held.iloc[cut:]
+                yield pairs_of(rows.iloc[:cut], np.r_[turns[:-1], cut])
+            held = rows.iloc[cut:]
         if held is not None and len(held):
-            yield from pairs_of(held)
-
-    def pairs_of(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for (_, x, y), g in rows.groupby(["bucket", "x", "y"], sort=False):
-            if g["comp"].nunique() > 1:
-                yield within(g, x, y)
-
-    def within(g: pd.DataFrame, x: int, y: int) -> pd.DataFrame:
-        ids, comp, n = g["set_id"].to_numpy(), g["comp"].to_numpy(), g["n"].to_numpy()
-        role, own = g["role"].to_numpy(), g["own"].to_numpy()
-        best: list[pd.DataFrame] = []
+            yield pairs_of(held, np.array([len(held)]))
+
+    def pairs_of(rows: pd.DataFrame, ends: np.ndarray) -> pd.DataFrame:
+        """Compares each row with the next, the one after it and so on, for all groups at once."""
+        ids, comp, n = rows["set_id"].to_numpy(), rows["comp"].to_numpy(), rows["n"].to_numpy()
+        role, own = rows["role"].to_numpy(), rows["own"].to_numpy()
+        crossed = (rows["x"] != rows["y"]).to_numpy()
+        end = np.repeat(ends, np.diff(np.r_[0, ends]))
+        sketches = []
         for column, words in (("sketch", SKETCH), ("wide_sketch", WIDE_SKETCH)):
-            have = np.flatnonzero(g[column].notna().to_numpy())
-            if len(have) < 2:
-                continue
-            bits = np.stack(g[column].to_numpy()[have]).view(np.uint64)
-            for at, i in enumerate(have):
-                later = have[at + 1 :]
-                ok = (comp[later] != comp[i]) & (ids[later] != ids[i])
-                if x != y:
-                    ok &= own[later] != own[i]
-                a, b = np.minimum(n[later], n[i]), np.maximum(n[later], n[i])
-                ok &= 100 * a >= percent * b
-                low, high = np.minimum(role[later], role[i]), np.maximum(role[later], role[i])
-                ok &= (low == INDEX) & (high <= PROBE) | (low >= HOLLOW) & (high == HOLLOW_PROBE)
-                if not ok.any():
-                    continue
-                j = np.flatnonzero(ok)
-                gap = np.bitwise_count(bits[at + 1 :][j] ^ bits[at]).sum(axis=1, dtype=np.int64)
-                least = -(-percent * (a[j] + b[j]) // (100 + percent))
-                fits = gap <= a[j] + b[j] - 2 * least
-                j, gap = j[fits], gap[fits]
-                if not len(j):
-                    continue
-                other = later[j]
-                found = pd.DataFrame({"a": np.minimum(ids[other], ids[i]), "b": np.maximum(ids[other], ids[i])})
-                found["c_a"] = np.minimum(comp[other], comp[i])
-                found["c_b"] = np.maximum(comp[other], comp[i])
-                found["gap"] = gap
-                best.append(found.loc[found.groupby(["c_a", "c_b"])["gap"].idxmin()] if nearest_only else found)
-        if not best:
-            return pd.DataFrame({c: np.empty(0, np.int64) for c in ("a", "b", "c_a", "c_b", "gap")})
-        out = pd.concat(best, ignore_index=True).drop_duplicates(["a", "b"])
-        return out.loc[out.groupby(["c_a", "c_b"])["gap"].idxmin()] if nearest_only else out
+            have = rows[column].notna().to_numpy()
+            at = np.full(len(rows), -1)
+            at[have] = np.arange(have.sum())
+            bits = np.concatenate([np.empty(0, np.int64), *rows[column].to_numpy()[have]]).reshape(-1, words)
+            sketches.append((at, bits.view(np.uint64)))
+        out = [np.empty((0, 5), np.int64)]
+        first, step = np.arange(len(rows)), 0
+        while True:
+            step += 1
+            first = first[first + step < end[first]]
+            if not len(first):
+                break
+            i, j = first, first + step
+            low, high = np.minimum(role[i], role[j]), np.maximum(role[i], role[j])
+            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            ok = (comp[i] != comp[j]) & (100 * small >= percent * large) & ~(crossed[i] & (own[i] == own[j]))
+            ok &= (low == INDEX) & (high <= PROBE) | (low >= HOLLOW) & (high == HOLLOW_PROBE)
+            i, j, both = i[ok], j[ok], (small + large)[ok]
+            most = both - 2 * -(-percent * both // (100 + percent))
+            gap = np.full(len(i), -1)
+            for at, bits in sketches:
+                fit = (gap < 0) & (at[i] >= 0) & (at[j] >= 0)
+                gap[fit] = np.bitwise_count(bits[at[i[fit]]] ^ bits[at[j[fit]]]).sum(axis=1, dtype=np.int64)
+            near = gap <= most
+            i, j = i[near], j[near]
+            a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+            c, d = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+            out.append(np.column_stack([a, b, c, d, gap[near]]))
+        found = pd.DataFrame(np.concatenate(out), columns=names).drop_duplicates(["a", "b"])
+        if nearest_only:
+            found = found.sort_values(["gap", "a", "b"]).drop_duplicates(["c_a", "c_b"])
+        return found
 
     return members.mapInPandas(find, "a long, b long, c_a long, c_b long, gap long")
 
