@@ -304,7 +304,7 @@ SELECT portfolio_id, ticker, round(composite_score, 6) AS composite_score,
        row_number() OVER (PARTITION BY portfolio_id ORDER BY composite_score DESC, ticker) AS rank FROM analyses""", ("analyses",))
 def wn14(spark, sf):
     rows = analyses(spark, sf).select("portfolio_id", "ticker", "composite_score")
-    ranked = ranked_per_group(rows, ["portfolio_id"], "composite_score", ["ticker"], F.floor(F.col("composite_score") * 4))
+    ranked = ranked_per_group(rows, ["portfolio_id"], [F.col("composite_score").desc(), F.col("ticker")])
     return ranked.select("portfolio_id", "ticker", rnd("composite_score"), big("rank"))
 
 
@@ -478,12 +478,12 @@ def sc26(spark, sf):
 
 @query("SC33_rebalance_suggestions", """
 SELECT portfolio_id, ticker, round(weight_pct, 6) AS current_weight, round(t, 6) AS target_weight,
-       CASE WHEN weight_pct - t < 0 THEN 'BUY' ELSE 'SELL' END AS action, round(abs(t / 100 * portfolio_value - market_value) + 1e-6, 4) AS amount,
+       CASE WHEN weight_pct - t < 0 THEN 'BUY' ELSE 'SELL' END AS action, round(abs((t / 100)::DECIMAL(18, 14) * portfolio_value::DECIMAL(18, 4) - market_value::DECIMAL(18, 4)), 4)::DOUBLE AS amount, round(abs(weight_pct - t), 6) AS deviation,
        'Weight deviation: ' || printf('%+.1f', round(weight_pct - t, 1)) || '% from target' AS reason
 FROM (SELECT *, 100e0 / count(*) OVER (PARTITION BY portfolio_id) AS t FROM weighted) WHERE abs(weight_pct - t) > 5""", ("weighted",))
 def sc33(spark, sf):
     return v.rebalance_suggestions(weighted(spark, sf)).select(
-        "portfolio_id", "ticker", rnd("current_weight"), rnd("target_weight"), "action", F.round(F.col("amount") + 1e-6, 4).alias("amount"), "reason")
+        "portfolio_id", "ticker", rnd("current_weight"), rnd("target_weight"), "action", F.round("amount", 4).cast("double").alias("amount"), rnd("deviation"), "reason")
 
 
 @query("TK9_positions_by_value", """
@@ -491,5 +491,5 @@ SELECT portfolio_id, ticker, round(market_value, 4) AS market_value, row_number(
 FROM valued""", ("valued",))
 def tk9(spark, sf):
     rows = v.value_positions(b.positions(spark, sf)).select("portfolio_id", "ticker", "market_value")
-    ranked = ranked_per_group(rows, ["portfolio_id"], "market_value", ["ticker"], F.floor(F.col("market_value") / 4096), "place")
+    ranked = ranked_per_group(rows, ["portfolio_id"], [F.col("market_value").desc(), F.col("ticker")], "place")
     return ranked.select("portfolio_id", "ticker", rnd("market_value", 4), big("place"))

@@ -28,19 +28,25 @@ def raw_broker(spark, sf):
 
 @query("IO1_broker_ingest", """
 SELECT portfolio_id, ticker, shares * 1000 AS shares, CASE WHEN s > 40 THEN 0 ELSE cost END AS cost, CASE WHEN s > 30 THEN CASE WHEN s > 40 THEN 0 ELSE cost END ELSE price END AS price,
-  CASE WHEN substr(ticker, 2)::INTEGER % 41 = 0 THEN 'invalid number' END AS reject
+  CASE WHEN substr(ticker, 2)::INTEGER % 41 = 0 THEN 'invalid value' END AS reject
 FROM (SELECT portfolio_id, ticker, CASE WHEN substr(ticker, 2)::INTEGER % 41 = 0 THEN NULL ELSE shares END AS shares, cost, price, shares AS s FROM positions WHERE substr(ticker, 2)::INTEGER % 50 <> 0) t""", ("positions",))
 def io1(spark, sf):
-    rows = broker.normalize_rows(raw_broker(spark, sf), ("portfolio_id",))
-    return rows.selectExpr("portfolio_id", "ticker", "double(shares) AS shares", "double(cost) AS cost", "double(price) AS price", "reject")
+    folder = shared_folder(spark)
+    raw_broker(spark, sf).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    rows = broker.read_broker_csv(spark, folder, ("portfolio_id",))
+    return rows.selectExpr("bigint(portfolio_id) AS portfolio_id", "ticker", "double(shares) AS shares", "double(cost) AS cost", "double(price) AS price", "reject")
 
 
 @query("IO2_upload_gate", """
 SELECT portfolio_id AS source_file, count(*) AS positions, count(*) FILTER (WHERE substr(ticker, 2)::INTEGER % 41 = 0) AS rejects,
-  count(*) FILTER (WHERE substr(ticker, 2)::INTEGER % 41 = 0) = 0 AS accepted FROM positions WHERE substr(ticker, 2)::INTEGER % 50 <> 0 GROUP BY 1""", ("positions",))
+  count(*) FILTER (WHERE substr(ticker, 2)::INTEGER % 41 = 0) = 0 AS accepted,
+  CASE WHEN count(*) FILTER (WHERE substr(ticker, 2)::INTEGER % 41 = 0) = 0 THEN count(*) ELSE 0 END AS landed FROM positions WHERE substr(ticker, 2)::INTEGER % 50 <> 0 GROUP BY 1""", ("positions",))
 def io2(spark, sf):
     rows = broker.normalize_rows(raw_broker(spark, sf).withColumnRenamed("portfolio_id", "source_file"), ("source_file",))
-    return broker.passing_files(rows)
+    folder = shared_folder(spark)
+    broker.land_uploads(rows, folder)
+    landed = spark.read.parquet(folder).groupBy("source_file").agg(F.count(F.lit(1)).alias("landed"))
+    return broker.passing_files(rows).join(landed, "source_file", "left").na.fill(0, ["landed"])
 
 
 @query("IO3_newest_source", """
@@ -56,21 +62,25 @@ def io3(spark, sf):
 
 
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
-WIDE = ", ".join(f"max(CASE WHEN ticker = '{x}' THEN printf('%.6f', ret) END) AS \"{x}\"" for x in sorted(BRANDS))
+WIDE = ", ".join(f"max(CASE WHEN ticker = '{x}' THEN printf('%.10f', ret) END) AS \"{x}\"" for x in sorted(BRANDS))
 
 
 @query("IO5_return_matrix", f"SELECT study, date, {WIDE} FROM rets GROUP BY 1, 2", ("rets",))
 def io5(spark, sf):
-    return matrix.to_wide(returns(spark, sf), BRANDS, 6)
+    folder = shared_folder(spark)
+    matrix.write_matrix(returns(spark, sf), folder)
+    return spark.read.csv(folder, header=True).withColumn("date", F.to_date("date"))
 
 
-@query("IO4_matrix_unpivot", "SELECT study, date, upper(ticker) AS ticker, printf('%.6f', ret)::DOUBLE AS ret FROM rets", ("rets",))
+@query("IO4_matrix_unpivot", "SELECT study, date, upper(ticker) AS ticker, printf('%.10f', ret)::DOUBLE AS ret FROM rets", ("rets",))
 def io4(spark, sf):
-    return matrix.to_long(matrix.to_wide(returns(spark, sf), BRANDS, 6))
+    folder = shared_folder(spark)
+    matrix.write_matrix(returns(spark, sf), folder)
+    return matrix.read_matrix(spark, folder).withColumn("date", F.to_date("date"))
 
 
 def snapshot_folder(spark, sf):
-    folder = f"{shared_folder(spark)}/snapshots-{spark.sparkContext.applicationId}-{sf.rsplit('/', 1)[-1]}-{spark.sql('select uuid()').head()[0]}"
+    folder = shared_folder(spark)
     scored = b.fundamentals(spark, sf)
     snapshots.record_snapshot(scored.withColumn("live_price", F.lit(1.0)), b.fx_rates(spark, sf), "20240101_000000", folder)
     snapshots.record_snapshot(scored, b.fx_rates(spark, sf), "20240201_000000", folder)
@@ -117,11 +127,11 @@ def io8(spark, sf):
 @query("IO9_run_record_tree", """
 SELECT arm, count(*) AS records, count(*) AS consistent, sum(run) AS run_total FROM records GROUP BY 1""", ("records",))
 def io9(spark, sf):
-    """Written as partitioned files and read back with the path parts recovered."""
-    folder = f"{shared_folder(spark)}/records-{spark.sparkContext.applicationId}-{spark.sql('select uuid()').head()[0]}"
-    records(spark, sf).selectExpr("arm", "scenario", "run AS run_index", "status", "truncated", "attempts").write.partitionBy("arm").json(folder)
+    """Written as partitioned files; the arm in a record is compared with the arm in its file's path."""
+    folder = shared_folder(spark)
+    records(spark, sf).selectExpr("arm AS folder", "arm", "scenario", "run AS run_index", "status", "truncated", "attempts").write.partitionBy("folder").json(folder)
     rows = spark.read.option("basePath", folder).schema("scenario STRING, run_index INT, status STRING, truncated BOOLEAN, attempts INT, arm STRING").json(folder)
-    path_arm = F.regexp_extract(F.col("_metadata.file_path"), r"arm=([^/]+)/", 1)
+    path_arm = F.regexp_extract(F.col("_metadata.file_path"), r"folder=([^/]+)/", 1)
     return rows.withColumn("path_arm", path_arm).groupBy("arm").agg(
         F.expr("count(*) AS records"), F.expr("count_if(path_arm = arm) AS consistent"), F.expr("sum(run_index) AS run_total"))
 
@@ -162,10 +172,9 @@ def io11(spark, sf):
 @query("IO12_metric_matrix", """
 SELECT 'P' || l_partkey AS ticker, string_agg(printf('%.2f', round(CASE WHEN l_partkey % 3 = 0 THEN operating_income ELSE revenue END, 2)), '|' ORDER BY fiscal_year) AS series FROM statements GROUP BY 1""", ("statements",))
 def io12(spark, sf):
-    years = list(range(1995, 2002))
     rows = b.statements(spark, sf).selectExpr("concat('P', l_partkey) AS ticker", "l_partkey % 3 = 0 AS odd", "fiscal_year", "revenue", "operating_income")
     cells = rows.selectExpr("ticker", "fiscal_year", "inline(array(struct(if(odd, 'Other Revenue', 'Total Revenue') AS label, revenue AS v), struct('Operating Revenue' AS label, operating_income AS v)))")
-    wide = cells.groupBy("ticker", "label").pivot("fiscal_year", years).agg(F.first("v"))
+    wide = cells.groupBy("ticker", "label").pivot("fiscal_year").agg(F.first("v"))
     t = documents.matrix_series(wide, "ticker", ("Total Revenue", "Operating Revenue"), "series")
     return t.selectExpr("ticker", "array_join(transform(series, x -> format_string('%.2f', round(x, 2))), '|') AS series")
 
@@ -187,21 +196,28 @@ def io13(spark, sf):
 def io14(spark, sf):
     rows = b.positions(spark, sf).withColumn("name", F.concat_ws(",", "name", "theme"))
     keyed = rows.withColumn("ticker", F.concat_ws("|", "portfolio_id", "ticker"))
-    out = broker.export_rows(keyed)
-    return out.selectExpr("bigint(split_part(ticker, '|', 1)) AS portfolio_id", "split_part(ticker, '|', 2) AS ticker", "name", "shares", "round(cost_basis_per_share, 4) AS cost_basis_per_share", "current_price")
+    folder = shared_folder(spark)
+    broker.write_holdings_csv(keyed, folder)
+    out = spark.read.csv(folder, header=True)
+    return out.selectExpr("bigint(split_part(ticker, '|', 1)) AS portfolio_id", "split_part(ticker, '|', 2) AS ticker", "name", "double(shares) AS shares",
+                          "round(double(cost_basis_per_share), 4) AS cost_basis_per_share", "double(current_price) AS current_price")
 
 
 @query("IO15_report_payload", """
 SELECT '{"ticker":"' || s.ticker || '","composite_score":' || round(composite_score, 4) || ',"moat_points":' || round(moat_points, 4) || ',"diluted_shares_series":[' || e.xs || ']}' AS report
 FROM scored s JOIN (SELECT 'P' || l_partkey AS ticker, string_agg(diluted_shares::VARCHAR, ',' ORDER BY fiscal_year) AS xs FROM statements GROUP BY 1) e USING (ticker)""", ("scored", "statements"))
 def io15(spark, sf):
-    return sinks.stable_report(b.scored_tickers(spark, sf).select("ticker", "composite_score", "moat_points", "diluted_shares_series"), 4)
+    folder = shared_folder(spark)
+    sinks.write_report(b.scored_tickers(spark, sf).select("ticker", "composite_score", "moat_points", "diluted_shares_series"), folder, 4)
+    return spark.read.text(folder).withColumnRenamed("value", "report")
 
 
 @query("IO16_decision_log", """
 SELECT portfolio_id, 'policy-1' AS policy_version, round(cash, 2) AS cash, orders::BIGINT AS order_count, round(deployed, 2) AS total_order_amount FROM deploy_plans""", ("deploy_plans",))
 def io16(spark, sf):
-    log = sinks.decision_log(plans(spark, sf), "policy-1", "bridge", "offline")
+    folder = shared_folder(spark)
+    sinks.append_decisions(sinks.decision_log(plans(spark, sf), "policy-1", "bridge", "offline"), folder)
+    log = spark.read.parquet(folder)
     return log.selectExpr("portfolio_id", "policy_version", "double(cash) AS cash", "bigint(order_count) AS order_count", "double(total_order_amount) AS total_order_amount")
 
 
@@ -214,12 +230,14 @@ def tk4(spark, sf):
 @query("IO17_quote_rows", "SELECT ticker, price, round(change_percent, 4) AS change_percent, recorded_at FROM quotes", ("quotes",))
 def io17(spark, sf):
     lower = b.quotes(spark, sf).withColumn("ticker", F.lower("ticker"))
-    return sinks.quote_rows(lower).selectExpr("ticker", "double(price) AS price", "double(change_percent) AS change_percent", "recorded_at")
+    folder = shared_folder(spark)
+    sinks.append_quotes(lower, folder)
+    return spark.read.parquet(folder).selectExpr("ticker", "double(price) AS price", "double(change_percent) AS change_percent", "recorded_at")
 
 
 @query("IO18_audit_summary", "SELECT scenario, advisor, runs, valid_runs FROM reports", ("reports",))
 def io18(spark, sf):
-    folder = f"{shared_folder(spark)}/audit-{spark.sparkContext.applicationId}-{spark.sql('select uuid()').head()[0]}"
+    folder = shared_folder(spark)
     sinks.write_audit(reports(spark, sf), mf.collection_manifest(records(spark, sf), ["arm"]), folder)
     return spark.read.json(f"{folder}/audit_summary").selectExpr("scenario", "advisor", "runs", "valid_runs")
 
@@ -256,7 +274,7 @@ def ss4(spark, sf):
 
 
 def _work(spark, name):
-    return f"{shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}-{spark.sql('select uuid()').head()[0]}"
+    return f"{shared_folder(spark)}/{name}"
 
 
 def quote_stream(spark, sf):

@@ -71,12 +71,15 @@ def _metric(name, sql_cols, cols):
       SELECT study, strategy, count(*) AS n, product(1 + ret) AS g, avg(ret) AS m, stddev_pop(ret) AS d FROM fixed_rets GROUP BY 1, 2)"""
 
     def run(spark, sf):
-        return r.performance(fixed(spark, sf), 12.0, 0.02).select("study", "strategy", *[rnd(c, 3 if c == "total_return" else 6) for c in cols])
+        measured = r.performance(fixed(spark, sf), 12.0, 0.02)
+        grown = measured.withColumn("log_growth", F.round(F.log1p("total_return"), 9))
+        return grown.select("study", "strategy", *[c if c == "log_growth" else rnd(c) for c in cols])
 
     query(name, sql, ("fixed_rets",))(run)
 
 
-_metric("AG6_growth", "round(g - 1, 3) + 0e0 AS total_return, CASE WHEN g > 0 THEN round(pow(g, 12e0 / n) - 1, 6) + 0e0 END AS cagr", ["total_return", "cagr"])
+# A growth of 1e9 has no six decimals in a double: the logarithm carries the digits.
+_metric("AG6_growth", "round(ln(g), 9) + 0e0 AS log_growth, CASE WHEN g > 0 THEN round(pow(g, 12e0 / n) - 1, 6) + 0e0 END AS cagr", ["log_growth", "cagr"])
 _metric("AG7_volatility", "round(CASE WHEN n < 2 THEN 0 ELSE d * sqrt(12e0) END, 6) AS volatility", ["volatility"])
 _metric("AG8_sharpe", "round(CASE WHEN n < 2 OR d < 1e-12 THEN 0 ELSE (m - 0.02e0 / 12) / d * sqrt(12e0) END, 6) + 0e0 AS sharpe", ["sharpe"])
 
@@ -254,29 +257,33 @@ def st10c(spark, sf):
         rnd(c) for c in ["excess_total_return", "excess_cagr", "sharpe_delta", "max_drawdown_delta"]])
 
 
-@query("ST4_block_bootstrap", """
+BOOTSTRAP_SQL = """
 SELECT study, samples, round(point_estimate, 6) + 0e0 AS point_estimate, round(ci_low, 6) + 0e0 AS ci_low, round(ci_high, 6) + 0e0 AS ci_high, round(prob_a_better, 6) AS prob_a_better FROM (
 WITH pair AS (SELECT study, period, max(CASE WHEN strategy = 'equal' THEN ret END) AS ra, max(CASE WHEN strategy = 'current' THEN ret END) AS rb,
                      count(*) OVER (PARTITION BY study) AS n FROM fixed_rets WHERE strategy <> 'benchmark' GROUP BY 1, 2),
  sizes AS (SELECT DISTINCT study, n FROM pair),
  starts AS (SELECT study, n, s.sample, k.blk, ('0x' || substr(md5(concat_ws(',', 12345, study, s.sample, k.blk)), 1, 8))::BIGINT % n AS start
-            FROM sizes, range(200) s(sample), range(400) k(blk) WHERE k.blk < ceil(n / 6e0)),
+            FROM sizes, range(2000) s(sample), range(400) k(blk) WHERE k.blk < ceil(n / 6e0)),
  diffs AS (SELECT s.study, s.sample,
     CASE WHEN stddev_pop(ra) < 1e-12 THEN 0 ELSE avg(ra) / stddev_pop(ra) * sqrt(12e0) END - CASE WHEN stddev_pop(rb) < 1e-12 THEN 0 ELSE avg(rb) / stddev_pop(rb) * sqrt(12e0) END AS diff
     FROM starts s, range(6) o(step) JOIN pair p ON p.study = s.study AND p.period = (s.start + o.step) % s.n WHERE s.blk * 6 + o.step < s.n GROUP BY 1, 2)
 SELECT study, any_value(samples) AS samples, any_value(lo) AS ci_low, any_value(hi) AS ci_high, any_value(pb) AS prob_a_better,
    CASE WHEN stddev_pop(ra) < 1e-12 THEN 0 ELSE avg(ra) / stddev_pop(ra) * sqrt(12e0) END - CASE WHEN stddev_pop(rb) < 1e-12 THEN 0 ELSE avg(rb) / stddev_pop(rb) * sqrt(12e0) END AS point_estimate
 FROM pair JOIN (SELECT study, count(*) AS samples, quantile_cont(diff, 0.025) AS lo, quantile_cont(diff, 0.975) AS hi, avg(CASE WHEN diff > 0 THEN 1e0 ELSE 0e0 END) AS pb FROM diffs GROUP BY 1) USING (study)
-GROUP BY study)""", ("fixed_rets",))
+GROUP BY study)"""
+
+
+@query("ST4_block_bootstrap", BOOTSTRAP_SQL, ("fixed_rets",))
 def st4(spark, sf):
-    t = rs.block_bootstrap_sharpe(reuse(fixed(spark, sf)), "equal", "current", block=6, samples=200, periods_per_year=12.0)
+    t = rs.block_bootstrap_sharpe(reuse(fixed(spark, sf)), "equal", "current", block=6, samples=2000, periods_per_year=12.0)
     return t.select("study", "samples", rnd("point_estimate"), rnd("ci_low"), rnd("ci_high"), rnd("prob_a_better"))
 
 
-@query("ST11_robustness_study", """
-SELECT study, windows, wins_a FROM (
+@query("ST11_robustness_study", f"""
+SELECT study, windows, wins_a, samples, point_estimate, ci_low, ci_high, prob_a_better FROM (
   SELECT study, count(*) AS windows, count(*) FILTER (WHERE a.sharpe > c.sharpe) AS wins_a FROM roll a JOIN roll c USING (study, window_number)
-  WHERE a.strategy = 'equal' AND c.strategy = 'current' GROUP BY 1)""", ("roll",))
+  WHERE a.strategy = 'equal' AND c.strategy = 'current' GROUP BY 1) JOIN ({BOOTSTRAP_SQL}) USING (study)""", ("roll", "fixed_rets"))
 def st11(spark, sf):
-    rolling, _ = study.robustness_study(returns(spark, sf), b.brand_spend(spark, sf), 12, 3, 6, 200, 12.0)
-    return rolling.select("study", "windows", "wins_a")
+    rolling, bootstrap = study.robustness_study(returns(spark, sf), b.brand_spend(spark, sf), 12, 3, 6, 2000, 12.0)
+    return rolling.join(bootstrap, "study").select(
+        "study", "windows", "wins_a", "samples", *[rnd(c) for c in ["point_estimate", "ci_low", "ci_high", "prob_a_better"]])

@@ -8,7 +8,7 @@ from holdfast import bridge as b
 from holdfast.catalog.core import analyses, big, rnd
 from holdfast.catalog.registry import query, view
 from holdfast.functions import fees as fee
-from holdfast.grouping import reuse
+from holdfast.grouping import ranked_per_group, reuse
 from holdfast.operators import pit
 from holdfast.operators import records as rec
 from holdfast.operators import review as rv
@@ -53,9 +53,9 @@ def sj2(spark, sf):
     return rows.groupBy("ticker", "theme").agg(F.count(F.lit(1)).alias("portfolios"))
 
 
-@query("SJ2_never_owned", "SELECT ticker FROM universe WHERE ticker NOT IN (SELECT ticker FROM positions WHERE shares > 60)", ("universe", "positions"))
+@query("SJ2_never_owned", "SELECT ticker FROM universe WHERE ticker NOT IN (SELECT ticker FROM positions)", ("universe", "positions"))
 def sj2b(spark, sf):
-    held = b.positions(spark, sf).filter("shares > 60").select("ticker").distinct()
+    held = b.positions(spark, sf).select("ticker").distinct()
     return universe(spark, sf).join(held, "ticker", "left_anti").select("ticker")
 
 
@@ -378,10 +378,9 @@ def feeds(spark):
 
 @query("SJ12_feed_merge", f"""
 SELECT ticker, feed, price, recorded_at FROM (SELECT q.*, row_number() OVER (PARTITION BY ticker ORDER BY priority, recorded_at DESC, quote_id DESC) AS rn
-FROM (SELECT * FROM quotes WHERE hour(recorded_at) < 3) q JOIN ({FEEDS}) f(feed, priority) USING (feed)) WHERE rn = 1""", ("quotes",))
+FROM quotes q JOIN ({FEEDS}) f(feed, priority) USING (feed)) WHERE rn = 1""", ("quotes",))
 def sj12(spark, sf):
-    early = b.quotes(spark, sf).filter("hour(recorded_at) < 3")
-    return rec.merge_feeds(early, feeds(spark)).select("ticker", "feed", "price", "recorded_at")
+    return rec.merge_feeds(b.quotes(spark, sf), feeds(spark)).select("ticker", "feed", "price", "recorded_at")
 
 
 @query("SJ12_batch_fallback", f"""
@@ -393,6 +392,7 @@ def sj12b(spark, sf):
     return rec.first_answering_feed(rows, feeds(spark)).select("feed", big("priority"), big("quotes"), "success")
 
 
-@query("TK8_null_aware_sort", "SELECT quote_id, change_percent FROM quotes ORDER BY change_percent DESC NULLS FIRST, quote_id LIMIT 50", ("quotes",))
+@query("TK8_null_aware_sort", "SELECT quote_id, change_percent, row_number() OVER (ORDER BY change_percent DESC NULLS FIRST, quote_id) AS place FROM quotes", ("quotes",))
 def tk8(spark, sf):
-    return rec.sort_with_nulls(b.quotes(spark, sf), "change_percent", True, "quote_id").limit(50).select("quote_id", "change_percent")
+    order = [F.col("change_percent").desc_nulls_first(), F.col("quote_id")]
+    return ranked_per_group(b.quotes(spark, sf), [], order, "place").select("quote_id", "change_percent", "place")

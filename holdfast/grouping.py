@@ -2,12 +2,12 @@
 
 A window over a whole group sorts that group in one task. These helpers reach the
 same result from partial aggregates joined back on the key, where adaptive skew
-joins can split a hot key, or from ranks taken inside value buckets.
+joins can split a hot key, or from ranks taken inside ranges of the order.
 """
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -21,16 +21,16 @@ def reuse(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a temporary one only where none is configured."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new folder that every executor sees: below ``spark.checkpoint.dir``, else below the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a reliable checkpoint, so later steps neither repeat nor depend on the history."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Write a table in the shared folder and read it, so later steps neither repeat nor depend on the history."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def with_group_totals(df: DataFrame, keys: Sequence[str], **totals: Column) -> DataFrame:
@@ -48,54 +48,28 @@ def top_per_group(
 
 
 def ranked_per_group(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    tie: Sequence[str],
-    bucket: Column,
-    rank_name: str = "rank",
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank_name: str = "rank"
 ) -> DataFrame:
-    """Rank every row of a group by value descending, then the tie columns ascending.
+    """Rank every row of a group by ``order``, which should have no ties.
 
-    ``bucket`` must be an integer column that never decreases as ``value`` grows. Rows are
-    sorted only inside (group, bucket); bucket offsets come from a small per-bucket count.
+    Rows are dealt by ranges of (keys, order), so a group of any size and any values spreads over as many
+    tasks as it needs. Rows are ranked inside (group, range); a count per range gives the offsets. Without
+    keys, the whole table is ranked.
     """
-    staged = df.withColumn("_bucket", bucket)
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(
-        F.col(value).desc(), *[F.col(c).asc() for c in tie]
-    )
-    above = (
-        Window.partitionBy(*keys)
-        .orderBy(F.col("_bucket").desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    # Written once: the range of a row must be the same in both branches below.
+    dealt = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id())
+    dealt = cut_lineage(dealt)
+    within = Window.partitionBy(*keys, "_range").orderBy(*order)
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        staged.groupBy(*keys, "_bucket")
+        dealt.groupBy(*keys, "_range")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(above), F.lit(0)))
+        .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .drop("_n")
     )
     return (
-        staged.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, [*keys, "_bucket"])
+        dealt.withColumn("_inside", F.row_number().over(within))
+        .join(offsets, [*keys, "_range"])
         .withColumn(rank_name, F.col("_inside") + F.col("_offset"))
-        .drop("_bucket", "_inside", "_offset")
-    )
-
-
-def bounded_list(df: DataFrame, sort_by: str, max_rows: int) -> DataFrame:
-    """One row holding the whole (small) table as an array; fails above ``max_rows``.
-
-    At most ``max_rows + 1`` rows ever reach the collecting task, so a table that
-    outgrew its bound raises instead of being truncated.
-    """
-    kept = df.limit(max_rows + 1)
-    names = [sort_by, *[c for c in df.columns if c != sort_by]]
-    items = F.sort_array(F.collect_list(F.struct(*names)))
-    checked = F.when(
-        F.count(F.lit(1)) > max_rows,
-        F.raise_error(F.lit(f"bounded list exceeded {max_rows} rows")).cast("string"),
-    )
-    return kept.agg(items.alias("items"), checked.alias("_check")).select(
-        F.when(F.col("_check").isNull(), F.col("items")).alias("items")
+        .drop("_range", "_inside", "_offset")
     )

@@ -1,7 +1,7 @@
 """Screening, portfolio review and ranking studies.
 
-The candidate list is a curated, size-checked table (at most ``MAX_CANDIDATES`` rows). It
-travels to every portfolio row as one array, so no portfolio x candidate rows are formed.
+Candidates are ranked once. A portfolio that owns m of them finds its best ``limit`` unowned ones among
+the ranks 1 to limit + m, so no portfolio x candidate rows are formed, however long the list is.
 """
 
 from __future__ import annotations
@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions.scoring import COMPOSITE_WEIGHTS
-from holdfast.grouping import bounded_list, ranked_per_group, top_per_group
+from holdfast.grouping import ranked_per_group, top_per_group
 
-MAX_CANDIDATES = 500
 TARGET_MIN, TARGET_MAX = 18, 25
 THEME_CAP = 20.0
 SCORE_GAP, VALUATION_SLACK, TRIM_SCORE = 8.0, 5.0, 70.0
@@ -33,51 +32,45 @@ ROLES = {
 BELOW_RANGE = "Portfolio is below the target range. "
 
 
-def candidate_list(candidates: DataFrame) -> DataFrame:
-    """One row with the ranked candidate array (score descending, ticker ascending)."""
-    ranked = candidates.selectExpr(
-        "-composite_score AS k", "upper(ticker) AS ticker", "name", "theme", "composite_score",
-        "valuation_points",
-    )
-    return bounded_list(ranked, "k", MAX_CANDIDATES)
+def ranked_candidates(candidates: DataFrame) -> DataFrame:
+    """Candidates with their place: score descending, ticker ascending. A repeated ticker keeps its best row."""
+    best = candidates.groupBy(F.upper("ticker").alias("ticker")).agg(
+        F.expr(
+            "min_by(struct(name, theme, composite_score, valuation_points), struct(-composite_score, name)) AS c"
+        )
+    ).select("ticker", "c.*")
+    return ranked_per_group(best, [], [F.col("composite_score").desc(), F.col("ticker")], "place")
 
 
-def held_summary(held: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Per portfolio: position count, owned candidates and weights of candidate themes.
+def screen(held: DataFrame, candidates: DataFrame, limit: int = 10) -> DataFrame:
+    """Each portfolio's best ``limit`` candidates that it does not own yet, as an array in order of place.
 
-    Only tickers and themes on the candidate list are collected, so both lists are bounded.
+    ``theme_weights`` holds what the portfolio has in the themes of those candidates.
     """
+    listing = ranked_candidates(candidates)
+    named = held.select("portfolio_id", F.upper("ticker").alias("ticker"))
+    owned = named.join(listing.select("ticker"), "ticker", "left_semi").distinct()
     counts = held.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("positions"))
-    owned = (
-        held.withColumn("ticker", F.upper("ticker"))
-        .join(candidates.selectExpr("upper(ticker) AS ticker").distinct(), "ticker", "left_semi")
-        .groupBy("portfolio_id").agg(F.collect_set("ticker").alias("owned"))
+    ranges = counts.join(
+        owned.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("m")), "portfolio_id", "left"
+    ).selectExpr("portfolio_id", f"explode(sequence(1L, {limit} + coalesce(m, 0L))) AS place")
+    free = ranges.join(listing, "place").join(owned, ["portfolio_id", "ticker"], "left_anti")
+    first = top_per_group(free, ["portfolio_id"], [F.col("place")], limit)
+    in_theme = (
+        held.join(first.select("portfolio_id", "theme").distinct(), ["portfolio_id", "theme"], "left_semi")
+        .groupBy("portfolio_id", "theme")
+        .agg(F.sum("weight_pct").alias("w"))
     )
-    themes = (
-        held.join(candidates.select("theme").distinct(), "theme", "left_semi")
-        .groupBy("portfolio_id", "theme").agg(F.sum("weight_pct").alias("w"))
-        .groupBy("portfolio_id")
-        .agg(F.expr("map_from_entries(collect_list(struct(theme, w))) AS theme_weights"))
-    )
-    return (
-        counts.join(owned, "portfolio_id", "left").join(themes, "portfolio_id", "left")
-        .selectExpr(
-            "portfolio_id", "positions", "coalesce(owned, cast(array() AS array<string>)) AS owned",
-            "coalesce(theme_weights, map()) AS theme_weights",
-        )
+    lists = first.join(in_theme, ["portfolio_id", "theme"], "left").groupBy("portfolio_id").agg(
+        F.expr(
+            "sort_array(collect_list(struct(place, ticker, name, theme, composite_score, valuation_points))) AS found"
+        ),
+        F.expr("map_from_entries(array_distinct(collect_list(if(w IS NULL, NULL, struct(theme, w))))) AS theme_weights"),
     )
-
-
-def screen(held: DataFrame, candidates: DataFrame, limit: int = 10) -> DataFrame:
-    """Each portfolio's best ``limit`` candidates that it does not own yet, as an array."""
-    listing = candidate_list(candidates)
-    return (
-        held_summary(held, candidates)
-        .withColumn("items", listing.scalar())
-        .selectExpr(
-            "portfolio_id", "positions", "theme_weights",
-            f"slice(filter(items, x -> NOT array_contains(owned, x.ticker)), 1, {limit}) AS screened",
-        )
+    item = "struct(x.ticker, x.name, x.theme, x.composite_score, x.valuation_points)"
+    return counts.join(lists, "portfolio_id", "left").selectExpr(
+        "portfolio_id", "positions", "coalesce(theme_weights, map()) AS theme_weights",
+        f"coalesce(transform(found, x -> {item}), array()) AS screened",
     )
 
 
@@ -215,9 +208,7 @@ def trims(held: DataFrame) -> DataFrame:
         (F.col("weight_pct") > F.lit(100.0) / F.col("position_count") * 1.3)
         & (F.col("composite_score") < TRIM_SCORE)
     ).select("portfolio_id", "ticker", "weight_pct", "composite_score")
-    return ranked_per_group(
-        rows, ["portfolio_id"], "weight_pct", ["ticker"], F.expr("floor(weight_pct * 2)"), "place"
-    )
+    return ranked_per_group(rows, ["portfolio_id"], [F.col("weight_pct").desc(), F.col("ticker")], "place")
 
 
 # Single-factor and equal-weight ablations of the composite.
@@ -260,9 +251,7 @@ def recomposed(analyses: DataFrame, sets: dict[str, tuple]) -> DataFrame:
 
 def rank_under_weights(analyses: DataFrame, sets: dict[str, tuple] | None = None) -> DataFrame:
     scored = recomposed(analyses, sets or WEIGHT_SETS)
-    return ranked_per_group(
-        scored, ["portfolio_id", "label"], "score", ["ticker"], F.expr("floor(score * 4)"), "place"
-    )
+    return ranked_per_group(scored, ["portfolio_id", "label"], [F.col("score").desc(), F.col("ticker")], "place")
 
 
 def weight_ablation(ranks: DataFrame, baseline: str = "baseline_40_35_25", top_k: int = 2) -> DataFrame:

@@ -200,5 +200,4 @@ def interleaved(cells: DataFrame, group: str, key: str, seed: int) -> DataFrame:
     from holdfast.grouping import ranked_per_group
 
     shuffled = cells.withColumn("draw", F.expr(f"md5(concat_ws(',', {seed}, {key}))"))
-    bucket = F.expr("bigint(conv(substr(draw, 1, 2), 16, 10))")
-    return ranked_per_group(shuffled, [group], "draw", [key], bucket, "position")
+    return ranked_per_group(shuffled, [group], [F.col("draw").desc(), F.col(key)], "position")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from holdfast.grouping import top_per_group, with_group_totals
 
-MONEY = "decimal(18,4)"
-SHARES = "decimal(18,4)"
+# A share count times a price is exact: 20 + 17 + 1 digits, 12 of them decimals.
+MONEY = "decimal(17,4)"
+SHARES = "decimal(20,8)"
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -105,18 +106,24 @@ def with_theme(rows: DataFrame, dimension: DataFrame) -> DataFrame:
 
 
 def analyze_holdings(positions: DataFrame, scored: DataFrame) -> DataFrame:
-    """Join holdings to scored tickers and weigh them at live prices."""
+    """Join holdings to scored tickers and weigh them at live prices.
+
+    A holding without a score stays, flagged by ``is_scored``, and counts at its broker price.
+    """
     held = positions.selectExpr(
         "portfolio_id", "ticker", "name", "theme", "is_financial", "shares",
         "cost AS average_cost", "price AS broker_price",
     )
     scores = scored.select(
-        "ticker", "live_price", "roic", "roe", "margin_cv", "revenue_cagr", "eps_cagr", "fcf_cagr",
+        "ticker", "live_price", F.lit(True).alias("found"), "roic", "roe", "margin_cv", "revenue_cagr", "eps_cagr", "fcf_cagr",
         "shares_change", "fcf_yield", "forward_pe", "peg", "moat_class", "compounding_class",
         "moat_points", "compounding_points", "valuation_points", "composite_score",
     )
     paid = "shares * average_cost"
-    valued = held.join(scores, "ticker").selectExpr(
+    priced = held.join(scores, "ticker", "left").withColumns(
+        {"live_price": F.coalesce("live_price", "broker_price"), "is_scored": F.coalesce("found", F.lit(False))}
+    ).drop("found")
+    valued = priced.selectExpr(
         "*",
         "shares * live_price AS market_value",
         f"coalesce(try_divide(shares * live_price - {paid}, {paid}) * 100, 0D) AS pnl_pct",
@@ -149,7 +156,11 @@ def rebalance_suggestions(
         .select(
             "portfolio_id", "ticker", c("weight_pct").alias("current_weight"), "target_weight",
             F.when(c("gap") < 0, "BUY").otherwise("SELL").alias("action"),
-            F.abs(c("target_weight") / 100 * value - c("market_value").cast("double")).alias("amount"),
+            # Money stays decimal, so the rounded amount does not depend on binary fractions.
+            F.abs(
+                (c("target_weight") / 100).cast("decimal(18,14)") * c("portfolio_value").cast("decimal(18,4)")
+                - c("market_value").cast("decimal(18,4)")
+            ).alias("amount"),
             F.concat(
                 F.lit("Weight deviation: "), F.format_string("%+.1f", F.round("gap", 1)),
                 F.lit("% from target"),

@@ -20,6 +20,7 @@ ALIASES = {
     ),
     "price": ("current_price", "price", "last_price", "preco", "preço", "cotacao", "cotação"),
 }
+MAX_TICKER = 10
 # Which kind of source wins, first listed first.
 SOURCE_ORDER = ("preferred", "inbox", "private", "fixture")
 
@@ -33,7 +34,8 @@ def find_column(columns: list[str], field: str) -> str | None:
 def normalize_rows(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """All-text broker rows to positions; ``reject`` says why a row cannot be used.
 
-    Blank tickers are dropped. A missing price falls back to the cost, a missing cost to zero.
+    Rejected: shares that are no number above zero, a cost or price that is no number or below zero, a ticker
+    of over ten characters. Blank tickers are dropped. A missing price falls back to the cost, a missing cost to zero.
     """
     found = {field: find_column(raw.columns, field) for field in ALIASES}
     for field in ("ticker", "shares"):
@@ -51,6 +53,8 @@ def normalize_rows(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     shares = f"try_cast(replace(`{found['shares']}`, ',', '') AS decimal(20,8))"
     bad = " OR ".join(
         [f"{shares} IS NULL"]
+        + [f"{shares} <= 0", f"length({ticker}) > {MAX_TICKER}"]
+        + [f"{number(f, 'decimal(18,4)')} < 0" for f in ("cost", "price") if found[f]]
         + [
             f"(nullif(btrim(`{found[f]}`), '') IS NOT NULL AND {number(f, 'decimal(18,4)')} IS NULL)"
             for f in ("cost", "price") if found[f]
@@ -60,15 +64,15 @@ def normalize_rows(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return raw.filter(f"{ticker} <> ''").selectExpr(
         *keep, f"{ticker} AS ticker", f"{name} AS name", f"{shares} AS shares", f"{cost} AS cost",
         f"coalesce({number('price', 'decimal(18,4)')}, {cost}) AS price",
-        f"if({bad}, 'invalid number', NULL) AS reject",
+        f"if(coalesce({bad}, false), 'invalid value', NULL) AS reject",
     )
 
 
-def read_broker_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Positions of every CSV under ``path`` (one header layout), with their source file."""
+def read_broker_csv(spark: SparkSession, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Positions of every CSV under ``path`` (one header layout), with their source file and ``keep`` columns."""
     raw = spark.read.csv(path, header=True, inferSchema=False)
     located = raw.select("*", F.col("_metadata.file_path").alias("source_file"))
-    return normalize_rows(located, ("source_file",))
+    return normalize_rows(located, ("source_file", *keep))
 
 
 def split_rejects(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def to_wide(returns: DataFrame, tickers: list[str], digits: int = 10) -> DataFrame:
-    """Aligned matrix with fixed decimals; ``tickers`` are the columns, in sorted order."""
+def to_wide(returns: DataFrame, digits: int = 10) -> DataFrame:
+    """Aligned matrix with fixed decimals: a column for every ticker of the table, in sorted order."""
     value = F.format_string(f"%.{digits}f", "ret")
-    return returns.groupBy("study", "date").pivot("ticker", sorted(tickers)).agg(F.first(value))
+    return returns.groupBy("study", "date").pivot("ticker").agg(F.first(value))
 
 
 def to_long(wide: DataFrame, ids: tuple[str, ...] = ("study", "date")) -> DataFrame:
@@ -18,8 +18,8 @@ def to_long(wide: DataFrame, ids: tuple[str, ...] = ("study", "date")) -> DataFr
     return long.selectExpr(*ids, "upper(btrim(ticker)) AS ticker", "double(ret) AS ret")
 
 
-def write_matrix(returns: DataFrame, tickers: list[str], path: str) -> None:
-    to_wide(returns, tickers).orderBy("study", "date").write.mode("overwrite").option("header", True).csv(path)
+def write_matrix(returns: DataFrame, path: str) -> None:
+    to_wide(returns).orderBy("study", "date").write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_matrix(spark: SparkSession, path: str, ids: tuple[str, ...] = ("study", "date")) -> DataFrame:

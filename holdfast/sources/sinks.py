@@ -23,8 +23,8 @@ def stable_report(df: DataFrame, digits: int = FLOAT_DIGITS) -> DataFrame:
     return df.selectExpr(f"to_json(struct({', '.join(columns)})) AS report")
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    stable_report(df).write.mode("overwrite").text(path)
+def write_report(df: DataFrame, path: str, digits: int = FLOAT_DIGITS) -> None:
+    stable_report(df, digits).write.mode("overwrite").text(path)
 
 
 def decision_log(plans: DataFrame, policy_version: str, source: str, provider_mode: str) -> DataFrame:

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from holdfast.operators import pit
 from holdfast.operators import review as rv
@@ -50,10 +51,20 @@ def test_screen_excludes_owned_and_fit_scores(spark):
     assert adds[0].reason.startswith("Portfolio is below")
 
 
-def test_candidate_bound_is_enforced(spark):
-    many = spark.range(600).selectExpr("concat('C', id) AS ticker", "'n' AS name", "'t' AS theme", "double(id) AS composite_score", "0D AS valuation_points")
-    with pytest.raises(Exception, match="exceeded"):
-        rv.candidate_list(many).collect()
+def test_any_number_of_candidates(spark):
+    many = spark.range(5000).selectExpr("concat('C', id) AS ticker", "'n' AS name", "'t' AS theme", "double(id) AS composite_score", "0D AS valuation_points")
+    held = spark.createDataFrame([(1, f"c{i}", "t", 1.0, 300, 72.0, 60.0, 0.0, 0.0) for i in range(4700, 5000)], HELD)
+    found = rv.screen(held, many, 10).head()
+    assert [x.ticker for x in found.screened] == [f"C{i}" for i in range(4699, 4689, -1)]
+    assert found.theme_weights == {"t": 300.0}
+
+
+def test_ranks_of_one_large_even_group(spark):
+    from holdfast.grouping import ranked_per_group
+
+    rows = spark.range(20_000).selectExpr("1 AS g", "5D AS v", "lpad(id, 6, '0') AS t").union(spark.createDataFrame([(2, 1.0, "x")], "g int, v double, t string"))
+    got = ranked_per_group(rows, ["g"], [F.col("v").desc(), F.col("t")]).collect()
+    assert {(r.g, r.t): r["rank"] for r in got} == {(1, f"{i:06d}"): i + 1 for i in range(20_000)} | {(2, "x"): 1}
 
 
 def test_perturbed_weights_sum_to_one():

@@ -28,6 +28,27 @@ def test_broker_csv(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "landed")).count() == 2
 
 
+def test_broker_rejects(spark):
+    rows = [("A", "-5", "1"), ("B", "0", "1"), ("C", "0.00004", "150000"), ("D", "1", "-2"), ("TOOLONGNAME", "1", "1"), ("E", "2", None)]
+    got = broker.normalize_rows(spark.createDataFrame(rows, "ticker string, shares string, price string")).collect()
+    assert [r.ticker for r in got if r.reject is None] == ["C", "E"]
+
+
+def test_fractional_shares_and_unscored_holdings(spark):
+    from holdfast.operators import valuation as v
+
+    small = spark.createDataFrame([(1, "C", "0.00004000", "150000", "1")], "portfolio_id int, ticker string, shares string, price string, cost string")
+    assert float(v.value_positions(small).head().market_value) == 6.0
+    held = spark.createDataFrame([(1, t, "n", "t", False, 1.0, 10.0, 50.0) for t in "AB"],
+                                 "portfolio_id int, ticker string, name string, theme string, is_financial boolean, shares double, cost double, price double")
+    names = ["live_price", "roic", "roe", "margin_cv", "revenue_cagr", "eps_cagr", "fcf_cagr", "shares_change", "fcf_yield", "forward_pe", "peg",
+             "moat_points", "compounding_points", "valuation_points", "composite_score"]
+    scored = spark.createDataFrame([("A", *[50.0] * len(names), "x", "y")], "ticker string, " + ", ".join(f"{n} double" for n in names) + ", moat_class string, compounding_class string")
+    got = {r.ticker: r for r in v.analyze_holdings(held, scored).collect()}
+    assert got["A"].weight_pct == got["B"].weight_pct == 50.0
+    assert got["A"].is_scored and not got["B"].is_scored and got["B"].composite_score is None
+
+
 def test_missing_ticker_header(spark):
     with pytest.raises(ValueError, match="ticker"):
         broker.normalize_rows(spark.createDataFrame([("1",)], "shares string"))
@@ -35,7 +56,7 @@ def test_missing_ticker_header(spark):
 
 def test_matrix_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("s", "2024-01-0%d" % d, x, d / 7) for d in (1, 2) for x in ("B", "A")], "study string, date string, ticker string, ret double")
-    matrix.write_matrix(rows, ["B", "A"], str(tmp_path / "m"))
+    matrix.write_matrix(rows, str(tmp_path / "m"))
     back = {(r.date, r.ticker): r.ret for r in matrix.read_matrix(spark, str(tmp_path / "m")).collect()}
     assert back["2024-01-01", "A"] == pytest.approx(1 / 7, abs=1e-10) and len(back) == 4
 
