@@ -86,7 +86,7 @@ class UnitEncoder:
     encoded whole.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 900_000):
+    def __init__(self, path: str, end_id: int, most: int = 1_400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -120,29 +120,28 @@ class UnitEncoder:
         return out
 
     def _learn(self, known: dict, parts: set[str], lead: str) -> None:
-        plain, broken = set(), []
-        for p in parts:
-            if p in known:
-                continue
+        new = parts.difference(known)
+        plain, broken, tailed = set(), [], []
+        for p in new:
             if not p or p[0].isspace() or p[-1].isspace() or "<|" in p:
                 known[p] = None
             elif "\n" in p:
                 broken.append((p, p.split("\n")))
+            elif p[-1] in self.tails and p[:-1].isalpha():
+                tailed.append(p)
             else:
-                body = p[:-1] if p[-1] in self.tails and p[:-1].isalpha() else p
-                if body not in known:
-                    plain.add(body)
+                plain.add(p)
+        plain.update(p[:-1] for p in tailed if p[:-1] not in known)
         if broken:
             self._learn(known, {s[0] for _, s in broken}, lead)
             self._learn(self.firsts, {w for _, s in broken for w in s[1:]}, "")
-        if new := sorted(plain):
-            known.update(zip(new, self._encode_new(new, lead)))
+        words = list(plain)
+        known.update(zip(words, self._encode_new(words, lead)))
+        for p in tailed:
+            known[p] = known[p[:-1]] + self.tails[p[-1]]
         for p, (first, *rest) in broken:
             ids = [known[first], *(self.firsts[w] for w in rest)]
             known[p] = None if None in ids else self.line.join(ids)
-        for p in parts:
-            if p not in known:
-                known[p] = known[p[:-1]] + self.tails[p[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as bytes."""
@@ -152,14 +151,16 @@ class UnitEncoder:
             self.firsts.clear()
         split = [t.split(" ") for t in texts]
         self._learn(self.firsts, {s[0] for s in split}, "")
-        self._learn(self.units, {p for s in split for p in s[1:]}, " ")
-        out = []
+        self._learn(self.units, set().union(*split), " ")
+        of, out = self.units.__getitem__, []
         for text, parts in zip(texts, split):
-            ids = [self.firsts[parts[0]], *map(self.units.__getitem__, parts[1:])]
-            if None in ids:
-                ids = [self.whole(text)]
+            ids = list(map(of, parts))
+            ids[0] = self.firsts[parts[0]]
             ids.append(self.end)
-            out.append(b"".join(ids))
+            try:
+                out.append(b"".join(ids))
+            except TypeError:  # a unit that has to be encoded in its text
+                out.append(self.whole(text) + self.end)
         return out
 
 
