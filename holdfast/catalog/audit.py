@@ -86,7 +86,7 @@ def _rule(name, rule_names, pattern):
     query(name, sql, ("runs", "violations"))(run)
 
 
-_rule("SC34_membership_rules", ["too_many", "not_allowed", "already_owned", "restricted", "concentrated"],
+_rule("SC34_membership_rules", ["too_many", "tickers"],
       "too_many|ticker_not|already|restricted|concentration")
 _rule("SC35_amount_rules", ["amounts"], "amount|cash_|non_|below|unnecessary")
 _rule("SC36_fact_rules", ["facts"], "unsupported")

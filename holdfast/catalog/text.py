@@ -5,107 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from holdfast import bridge as b
-from holdfast.catalog.core import big, rnd
+from holdfast.catalog.core import big
 from holdfast.catalog.registry import query, view
 from holdfast.functions import text as t
-from holdfast.grouping import reuse
 from holdfast.operators import audit as o
 from holdfast.operators import manifests as mf
 from holdfast.operators import scenarios as sc
 
 
-def variants(spark, sf):
-    return b.table(spark, sf, "supplier", "s_suppkey").selectExpr("s_suppkey AS v")
-
-
-def bank(spark, sf):
-    return sc.scenario_bank(variants(spark, sf))
-
-
-def _lists():
-    rows = []
-    for name, k in sc.CATEGORIES.items():
-        level = {sc.LARGE: "1250 + v * 25", sc.SUBTRANCHE: "900 + v * 10", sc.SMALL: "180 + v * 5"}[k["cash"]]
-        rows.append(f"SELECT v, '{name}' AS category, ({level})::DOUBLE AS cash, {k.get('allowed', 8)} AS n_allowed, {k['policy']} AS n_policy, "
-                    f"{k.get('limit', 3)} AS lim, {k.get('add_only', True)} AS add_only, {k.get('amounts', False)} AS amounts_required, "
-                    f"{k.get('fraction', 'NULL')}::DOUBLE AS fraction, {bool(k.get('owns_policy'))} AS owns FROM vs")
-    return " UNION ALL ".join(rows)
-
-
-def _sql_list(values):
-    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
-
-
-view("vs", "SELECT s_suppkey AS v FROM supplier")
-view("bank", f"""
-SELECT category || '_' || CASE WHEN v < 999 THEN lpad((v + 1)::VARCHAR, 3, '0') ELSE (v + 1)::VARCHAR END AS scenario, c.*,
-  (SELECT string_agg({_sql_list(sc.UNIVERSE)}[(i + v) % 8 + 1], '|' ORDER BY i) FROM range(8) r(i) WHERE i < n_allowed) AS allowed,
-  (SELECT string_agg({_sql_list(sc.UNIVERSE)}[(i + v) % 8 + 1], '|' ORDER BY i) FROM range(8) r(i) WHERE i IN (4, 5) OR (owns AND i = 0)) AS owned,
-  coalesce((SELECT string_agg({_sql_list(sc.UNIVERSE)}[(i + v) % 8 + 1], '|' ORDER BY i) FROM range(8) r(i) WHERE i < n_policy), '') AS policy,
-  coalesce((SELECT string_agg({_sql_list(sc.FACT_IDS)}[(i + v) % 9 + 1], '|' ORDER BY i) FROM range(9) r(i)
-    WHERE (category = 'hallucinated_fact' AND i < 3) OR (category = 'stale_market_fact' AND i BETWEEN 3 AND 5) OR (category = 'drawdown_case' AND i IN (6, 7))
-       OR (category = 'conflicting_rationale' AND i IN (0, 8))), '') AS facts
-FROM ({_lists()}) c""", ("vs",))
-
-
-@query("SC43_scenario_bank", "SELECT scenario, category, cash, allowed, owned, policy, facts, lim::BIGINT AS max_recommendations, add_only, amounts_required, fraction FROM bank", ("bank",))
-def sc43(spark, sf):
-    j = lambda c, name: f"array_join({c}, '|') AS {name}"
-    return bank(spark, sf).selectExpr("scenario", "category", "cash", j("allowed_tickers", "allowed"), j("owned_tickers", "owned"), j("policy_tickers", "policy"),
-                                      j("available_fact_ids", "facts"), "bigint(max_recommendations) AS max_recommendations", "add_only", "amounts_required",
-                                      "min_cash_deployment_fraction AS fraction")
-
-
-def _adversarial_sql():
-    parts = []
-    for family, (category, cash, offsets, limit, add_only, amounts) in sc.FAMILIES.items():
-        fresh = " || '|' || ".join(f"{_sql_list(sc.FRESH_POOL)}[(v + {x}) % 10 + 1]" for x in offsets)
-        pool = f"{_sql_list(sc.HELD_POOL)}[v % 17 + 1] || '|' || {fresh}" if family == "already_owned" else fresh
-        facts = "'market_fact_' || v" if family == "unsupported_fact" else "''"
-        levels = "[" + ", ".join(str(c) for c in cash) + "]"
-        parts.append(f"SELECT '{family}_' || v AS scenario, '{category}' AS category, {levels}[v % 4 + 1]::DOUBLE AS cash, {pool} AS allowed, {facts} AS facts, {limit}::BIGINT AS max_recommendations, {add_only} AS add_only, {amounts} AS amounts_required FROM vs")
-    return " UNION ALL ".join(parts)
-
-
-@query("SC44_adversarial_bank", _adversarial_sql(), ("vs",))
-def sc44(spark, sf):
-    rows = sc.adversarial_bank(variants(spark, sf).withColumnRenamed("v", "i"))
-    return rows.selectExpr("scenario", "category", "cash", "array_join(allowed_tickers, '|') AS allowed", "array_join(available_fact_ids, '|') AS facts",
-                           "bigint(max_recommendations) AS max_recommendations", "add_only", "amounts_required")
-
-
-_LISTS = """SELECT scenario, cash, lim, add_only, amounts_required AS ar, string_split(allowed, '|') AS al, string_split(owned, '|') AS ow,
-  CASE WHEN policy = '' THEN [] ELSE string_split(policy, '|') END AS po, CASE WHEN facts = '' THEN [] ELSE string_split(facts, '|')[1:1] END AS f1 FROM bank"""
-view("advised", f"""
-SELECT *, CASE WHEN len(pol) > 0 THEN pol ELSE al[1:1] END AS fb, run FROM (
-  SELECT *, (CASE WHEN add_only THEN list_filter(po, lambda x: NOT list_contains(ow, x)) ELSE po END)[1:lim] AS pol FROM ({_LISTS})), (SELECT unnest(range(1, 6)) AS run)""", ("bank",))
-view("moves", """
-SELECT *, CASE WHEN len(fb) >= 2 THEN fb[1:2] WHEN len(al) > 1 THEN [fb[1], list_filter(al, lambda x: x <> fb[1])[1]] ELSE fb[1:1] END AS pair,
-  (CASE WHEN add_only THEN list_filter(turn, lambda x: NOT list_contains(ow, x)) ELSE turn END) AS roam FROM (
-  SELECT *, (al[(run - 1) % len(al) + 1:] || al[1:(run - 1) % len(al)])[1:lim] AS turn FROM advised)""", ("advised",))
-
-
-@query("SC45_baseline_runs", """
-SELECT scenario, advisor, 'run_' || run AS run_id, array_to_string(t, '|') AS tickers, coalesce(array_to_string(list_transform(a, lambda x: printf('%.2f', x)), '|'), '') AS amounts, array_to_string(c, '|') AS cited FROM (
-  SELECT scenario, run, 'deterministic_contract' AS advisor, CASE WHEN ar THEN pol[1:1] ELSE pol END AS t, CASE WHEN ar AND len(pol) > 0 AND cash >= 250 THEN [cash] ELSE [] END AS a, f1 AS c FROM moves
-  UNION ALL SELECT scenario, run, 'agreement_only_splitter', CASE WHEN ar THEN pair ELSE fb END, CASE WHEN ar THEN list_transform(pair, lambda x: round_even(cash / len(pair), 2)) ELSE [] END, f1 FROM moves
-  UNION ALL SELECT scenario, run, 'unstable_selector', CASE WHEN ar AND len(roam) > 0 AND cash >= 250 THEN roam[1:1] ELSE roam END, CASE WHEN ar AND len(roam) > 0 AND cash >= 250 THEN [cash] ELSE [] END, [] FROM moves
-  UNION ALL SELECT scenario, run, 'fact_hallucinator', CASE WHEN ar THEN fb[1:1] ELSE fb END, CASE WHEN ar AND cash >= 250 THEN [cash] ELSE [] END, f1 || ['unsupported_live_fact_' || run] FROM moves
-  UNION ALL SELECT scenario, run, 'cash_overrun', fb[1:1], CASE WHEN ar THEN [cash + 100 + run] ELSE [] END, [] FROM moves)""", ("moves",))
-def sc45(spark, sf):
-    return sc.baseline_runs(bank(spark, sf)).selectExpr("scenario", "advisor", "run_id", "array_join(tickers, '|') AS tickers",
-                                                        "array_join(transform(amounts, x -> format_string('%.2f', x)), '|') AS amounts", "array_join(cited_fact_ids, '|') AS cited")
-
-
-@query("SC46_bank_report")
-def sc46(spark, sf):
-    scen = bank(spark, sf)
-    runs = reuse(sc.baseline_runs(scen))
-    reports = o.run_set_reports(o.run_verdicts(runs, scen), runs)
-    agg = o.advisor_aggregates(reports)
-    return agg.select("advisor", "scenarios", "runs", *[rnd(c) for c in ["validity_rate", "mean_agreement", "mean_set_stability", "mean_amount_stability", "false_positive_rate"]])
-
-
 @query("AG20_manifest_hash", """
 WITH leaf AS (SELECT h AS p, h || ':' || n AS part, n FROM (SELECT sha256('{"digest":"' || sha256(text) || '","name":"doc_' || doc_id || '"}') AS h, count(*) AS n FROM documents GROUP BY 1)),
 six AS (SELECT substr(p, 1, 6) AS p, sha256(string_agg(part, '' ORDER BY p, part)) AS part, sum(n) AS n FROM (SELECT p, part, n FROM leaf) GROUP BY 1),

@@ -1,7 +1,7 @@
 """Constraint predicates and policy comparison for one recommendation row.
 
 Every rule maps a row of (recommendation joined to its scenario) to an array of
-violation codes. Rules live in an ordered registry, so a new governance rule is one
+violation codes; the scenario's ticker lists are normalized. Rules live in an ordered registry, so a new governance rule is one
 entry; the verdict is the concatenation of all rules.
 """
 
@@ -61,22 +61,29 @@ def too_many() -> str:
     return flag("size(picks) > max_recommendations", "too_many_recommendations")
 
 
-def not_allowed() -> str:
-    return coded("ticker_not_allowed", f"array_except(picks, {normalize_tickers('allowed_tickers')})")
-
-
-def already_owned() -> str:
-    hits = coded("already_owned", f"array_intersect(picks, {normalize_tickers('owned_tickers')})")
-    return f"if(add_only, {hits}, {NO_CODES})"
+# What each pick ``t`` is tested for, in the order in which its codes are listed.
+MEMBERSHIP = {
+    "ticker_not_allowed": "NOT array_contains(allowed_tickers, t)",
+    "already_owned": "add_only AND array_contains(owned_tickers, t)",
+    "restricted_ticker": "array_contains(restricted_tickers, t)",
+    "concentration_breach": "array_contains(concentration_blocked_tickers, t)",
+}
 
 
-def restricted() -> str:
-    return coded("restricted_ticker", f"array_intersect(picks, {normalize_tickers('restricted_tickers')})")
+def membership() -> str:
+    """Codes pick by pick: all of the first pick, then all of the second, and so on."""
+    tests = ", ".join(f"if({test}, concat('{code}:', t), NULL)" for code, test in MEMBERSHIP.items())
+    return f"flatten(transform(picks, t -> filter(array({tests}), v -> v IS NOT NULL)))"
 
 
-def concentrated() -> str:
-    blocked = normalize_tickers("concentration_blocked_tickers")
-    return coded("concentration_breach", f"array_intersect(picks, {blocked})")
+def normalized_lists(columns: list[str]) -> dict[str, str]:
+    """Scenario ticker lists made clean once, before any run is joined; a missing list is empty."""
+    lists = [
+        c for c in (
+            "allowed_tickers", "owned_tickers", "policy_tickers", "restricted_tickers", "concentration_blocked_tickers",
+        ) if c in columns
+    ]
+    return {c: f"coalesce({normalize_tickers(c)}, {NO_CODES})" for c in lists}
 
 
 def total_amount(amounts: str) -> str:
@@ -119,10 +126,7 @@ def unsupported_facts() -> str:
 
 RULES: dict[str, Callable[[], str]] = {
     "too_many": too_many,
-    "not_allowed": not_allowed,
-    "already_owned": already_owned,
-    "restricted": restricted,
-    "concentrated": concentrated,
+    "tickers": membership,
     "amounts": amount_rules,
     "facts": unsupported_facts,
 }
@@ -133,9 +137,9 @@ def violations(rules: dict[str, Callable[[], str]] | None = None) -> str:
 
 
 def policy_comparison(picks: str, policy: str, k: str) -> dict[str, str]:
-    """Overlap with the policy's first k tickers, as named expressions."""
+    """Overlap with the policy's first k tickers, as named expressions; both lists are normalized."""
     top = f"slice({picks}, 1, {k})"
-    wanted = f"slice({normalize_tickers(policy)}, 1, {k})"
+    wanted = f"slice({policy}, 1, {k})"
     shared = f"size(array_intersect({top}, {wanted}))"
     return {
         "overlap_at_k": shared,

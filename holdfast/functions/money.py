@@ -24,10 +24,10 @@ def strict_sum(amount: str, currency: str) -> str:
 
 def convert(amount: str, rate: str) -> str:
     """Amount at a rate, rounded half-up to eight places."""
-    return f"round(cast({amount} AS decimal(18,8)) * cast({rate} AS decimal(18,8)), 8)"
+    return f"round(cast({amount} AS decimal(28,8)) * cast({rate} AS decimal(18,8)), 8)"
 
 
 def display(amount: str, currency: str) -> str:
     symbols = ", ".join(f"'{k}', '{v}'" for k, v in SYMBOLS.items())
-    shown = f"format_number(round(cast({amount} AS decimal(18,8)), 2), 2)"
+    shown = f"format_number(round(cast({amount} AS decimal(38,8)), 2), 2)"
     return f"concat(try_element_at(map({symbols}), {currency}), ' ', {shown})"

@@ -47,18 +47,25 @@ def top_per_group(
     return df.withColumn(rank_name, F.row_number().over(window)).filter(F.col(rank_name) <= k)
 
 
+def dealt_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "_range") -> DataFrame:
+    """``df`` dealt by ranges of (keys, order), with the range's number; ranges follow the order.
+
+    A group of any size and any values spreads over as many ranges as it needs. The rows are written
+    once, so every branch that reads them sees a row in the same range.
+    """
+    spread = df.repartitionByRange(*[F.col(k) for k in keys], *order)
+    return cut_lineage(spread.withColumn(name, F.spark_partition_id()))
+
+
 def ranked_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank_name: str = "rank"
 ) -> DataFrame:
     """Rank every row of a group by ``order``, which should have no ties.
 
-    Rows are dealt by ranges of (keys, order), so a group of any size and any values spreads over as many
-    tasks as it needs. Rows are ranked inside (group, range); a count per range gives the offsets. Without
-    keys, the whole table is ranked.
+    Rows are ranked inside (group, range); a count per range gives the offsets, so no task sorts a whole
+    group. Without keys, the whole table is ranked.
     """
-    # Written once: the range of a row must be the same in both branches below.
-    dealt = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id())
-    dealt = cut_lineage(dealt)
+    dealt = dealt_ranges(df, keys, order)
     within = Window.partitionBy(*keys, "_range").orderBy(*order)
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions import audit as a
 from holdfast.functions import fees as fee
+from holdfast.grouping import dealt_ranges
 
 RUN_SET = ("scenario", "advisor")
 SMALL_GROUP = 64
@@ -20,10 +21,18 @@ ARM_ORDER = ("bare", "policy", "scaffold")
 def run_verdicts(
     runs: DataFrame, scenarios: DataFrame, rules: dict[str, Callable[[], Column]] | None = None
 ) -> DataFrame:
-    """One row per run: normalized picks, violations, validity and policy agreement."""
+    """One row per run: normalized picks, violations, validity and policy agreement.
+
+    A run of an unknown scenario fails the job with the scenario's name.
+    """
     compared = a.policy_comparison("picks", "policy_tickers", "k")
+    clean = a.normalized_lists(scenarios.columns)
+    known = scenarios.withColumns({c: F.expr(e) for c, e in clean.items()}).withColumn("_known", F.lit(True))
+    unknown = "if(_known IS NULL, raise_error(concat('unknown scenario: ', scenario)), scenario)"
     return (
-        runs.join(scenarios, "scenario")
+        runs.join(known, "scenario", "left")
+        .withColumn("scenario", F.expr(unknown))
+        .drop("_known")
         .selectExpr(
             "*",
             f"{a.normalize_tickers('tickers')} AS picks",
@@ -201,18 +210,18 @@ def amount_stability(runs: DataFrame, keys: Sequence[str] = RUN_SET) -> DataFram
     For one ticker the sum of |x - y| over all pairs of runs follows from each weight's rank:
     with c runs at weight w, b runs below it and n runs in all, it adds w c (2b + c - n).
     Runs without the ticker sit at zero. The pairs are never formed; equal weights are merged,
-    and ranks are counted inside weight buckets plus bucket offsets, so a crowded ticker is
+    and ranks are counted inside ranges of the weight plus range offsets, so a crowded ticker is
     not sorted by one task. The sum is linear in n, which is joined only once per run set.
     """
     c = F.col
     keys = list(keys)
-    distinct = (
-        _leg_weights(runs, keys)
-        .groupBy(*keys, "ticker", "weight")
-        .agg(F.expr("count_if(weight <> 0) AS copies"), F.sum("opens").alias("opens"))
-        .withColumn("bucket", F.floor(c("weight") * 1024))
-    )
     group = [*keys, "ticker"]
+    distinct = dealt_ranges(
+        _leg_weights(runs, keys)
+        .groupBy(*group, "weight")
+        .agg(F.expr("count_if(weight <> 0) AS copies"), F.sum("opens").alias("opens")),
+        group, [c("weight")], "bucket",
+    )
     lower = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         distinct.groupBy(*group, "bucket").agg(F.sum("copies").alias("n"))

@@ -42,7 +42,7 @@ def run_backtest(
     every = rebalance_every or 1
     last = Window.partitionBy("study", "strategy", "ticker")
     rows = (
-        returns.join(r.normalize_weights(weights), ["study", "ticker"])
+        r.joined_weights(returns, r.normalize_weights(weights))
         .withColumn("last_period", F.max("period").over(last))
         .selectExpr(
             "*",

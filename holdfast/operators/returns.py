@@ -55,10 +55,18 @@ def equal_weights(tickers: DataFrame, strategy: str = "equal") -> DataFrame:
     )
 
 
+def joined_weights(returns: DataFrame, weights: DataFrame) -> DataFrame:
+    """Returns of the weighted tickers; a weight without any return fails the job with the ticker's name."""
+    have = returns.select("study", "ticker").distinct().withColumn("_have", F.lit(True))
+    missing = "if(_have IS NULL, raise_error(concat('no returns for ', ticker, ' in ', study)), ticker)"
+    checked = weights.join(have, ["study", "ticker"], "left").withColumn("ticker", F.expr(missing)).drop("_have")
+    return returns.join(checked, ["study", "ticker"])
+
+
 def fixed_weight_returns(returns: DataFrame, weights: DataFrame) -> DataFrame:
     """Return of a portfolio reset to its weights every period."""
     return (
-        returns.join(weights, ["study", "ticker"])
+        joined_weights(returns, weights)
         .groupBy("study", "strategy", "period")
         .agg(F.expr("sum(weight * ret) AS ret"))
     )

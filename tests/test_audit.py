@@ -130,3 +130,16 @@ def test_arm_helpers(spark):
     rows = spark.createDataFrame([("policy", 0.95), ("other", 0.7), ("bare", 0.2)], "arm string, r double")
     got = rows.select(o.arm_rank(F.col("arm")), o.rate_band(F.col("r"))).collect()
     assert [tuple(r) for r in got] == [(1, "ok"), (9, "warn"), (0, "bad")]
+
+
+def test_codes_follow_the_picks(spark):
+    runs = spark.createDataFrame([("s", "a", "1", [" z", "c", "Z", "y"], [], [])], "scenario string, advisor string, run_id string, tickers array<string>, amounts array<double>, cited_fact_ids array<string>")
+    scen = spark.createDataFrame([("s", 100.0, ["c"], ["C"], [], ["Z"], ["z"], [], 2, True, False, 250.0, None)],
+        "scenario string, cash double, allowed_tickers array<string>, owned_tickers array<string>, policy_tickers array<string>, restricted_tickers array<string>, "
+        "concentration_blocked_tickers array<string>, available_fact_ids array<string>, max_recommendations int, add_only boolean, amounts_required boolean, "
+        "min_order_amount double, min_cash_deployment_fraction double")
+    row = o.run_verdicts(runs, scen).head()
+    assert row.violations == ["too_many_recommendations", "ticker_not_allowed:Z", "restricted_ticker:Z", "concentration_breach:Z",
+                              "already_owned:C", "ticker_not_allowed:Y"]
+    with pytest.raises(Exception, match="unknown scenario: s"):
+        o.run_verdicts(runs, scen.withColumn("scenario", F.lit("t"))).collect()

@@ -137,3 +137,11 @@ def test_covariance_matches_numpy(spark):
     for i, p in enumerate(names):
         for j, q in enumerate(names):
             assert got[p, q] == pytest.approx(expected[i, j])
+
+
+def test_weight_without_returns_fails(spark):
+    rets = spark.createDataFrame([("s", "A", i, 0.1) for i in range(3)], "study string, ticker string, period int, ret double")
+    weights = spark.createDataFrame([("s", "x", t, 0.5) for t in "AB"], "study string, strategy string, ticker string, weight double")
+    for run in (bt.run_backtest, r.fixed_weight_returns):
+        with pytest.raises(Exception, match="no returns for B in s"):
+            run(rets, weights).collect()

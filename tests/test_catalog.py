@@ -9,7 +9,7 @@ SAMPLE = [
     "PF1_position_valuation", "AG1_portfolio_totals", "SC15_position_analysis", "SC24_deployment_orders",
     "SC37_run_verdicts", "AG10_run_set_reports", "SC40_amount_stability", "SC41_set_stability", "WN10_annual_series",
     "SJ4_fact_as_of", "TK2_screening_rank", "SC30_addition_review", "TX2_reply_parsing", "TX5_privacy_scan",
-    "SC43_scenario_bank", "IO10_company_facts", "ST12_interleaved_order",
+    "IO10_company_facts", "ST12_interleaved_order",
 ]
 
 
