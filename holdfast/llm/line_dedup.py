@@ -44,13 +44,9 @@ def duplicate_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """doc_id, version, pos of every line whose key a smaller doc_id also has."""
     lines = settle(_keyed_lines(docs, min_chars), "line-keys")
     seen = lines.sample(fraction=SAMPLE, seed=11).groupBy("h").agg(F.count("*").alias("n"))
-    every = seen.agg(F.sum("n").alias("all_n"))
+    sampled = seen.agg(F.sum("n")).head()[0] or 0
     # At most 1 / HOT_SHARE keys pass, so the list is bounded whatever the input.
-    hot = settle(
-        seen.join(F.broadcast(every), F.col("n") > F.greatest(F.col("all_n") * HOT_SHARE, F.lit(20)))
-        .select(F.col("h").alias("hot_h")),
-        "line-hot",
-    )
+    hot = settle(seen.filter(F.col("n") > max(sampled * HOT_SHARE, 20)).select(F.col("h").alias("hot_h")), "line-hot")
     marked = lines.join(F.broadcast(hot), F.col("h") == F.col("hot_h"), "left")
     cold = marked.filter("hot_h IS NULL").drop("hot_h").repartitionByRange("h")
     first = F.first("doc_id").over(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``.
 
-    Only a session without that setting, as in tests, gets a folder of this machine.
+    A session without that setting gets one below its warehouse, or, on one machine, below /tmp.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "holdfast-tables")
+    if not base and spark.sparkContext.master.startswith("local"):
+        base = "file:///tmp/holdfast-scratch"
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

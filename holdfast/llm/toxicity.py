@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.shingles import BUFFER, BYTE_VALUES, U, word_hashes
+from holdfast.llm.shingles import BUFFER, BYTE_VALUES, word_hashes
 from holdfast.llm.storage import settle
 
 MAX_LABELLED = 18_000
