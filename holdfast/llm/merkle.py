@@ -173,8 +173,8 @@ def in_id_ranges(docs: DataFrame) -> DataFrame:
     )
     body = F.coalesce("text", F.lit("")).alias("body")
     texts = docs.filter("doc_id IS NOT NULL").select("doc_id", body)
-    firsts = (
-        texts.join(owners.select("ghost").distinct(), F.col("doc_id") == F.col("ghost"))
+    firsts = (  # one id for each range at most, so a broadcast spares the texts a shuffle
+        texts.join(F.broadcast(owners.select("ghost").distinct()), F.col("doc_id") == F.col("ghost"))
         .groupBy(F.col("ghost").alias("g"))
         .agg(F.min("body").alias("body"))
     )
