@@ -184,7 +184,7 @@ def _brand_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     parts = table(spark, sf_dir, "part", "p_partkey", "p_brand")
     places = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey").join(
-        F.broadcast(table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey")),
+        table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey"),
         F.expr("s_nationkey = n_nationkey"),
     )
     return lines.join(parts, lines.l_partkey == parts.p_partkey).join(

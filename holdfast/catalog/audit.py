@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from holdfast import bridge as b
@@ -244,9 +245,12 @@ def pf19(spark, sf):
 
 @query("AG17_arm_stability", """
 SELECT arm, count(*) AS repetitions, round(avg(r), 4) AS mean_rate, min(r) AS min_rate, max(r) AS max_rate, round(stddev_pop(r), 4) AS stdev_rate
-FROM (SELECT v.arm, s.category, round(avg(CASE WHEN valid THEN 1.0 ELSE 0.0 END), 4) AS r FROM verdicts v JOIN scenarios s USING (scenario) GROUP BY 1, 2) GROUP BY 1""", ("verdicts", "scenarios"))
+FROM (SELECT arm, run_index, round(avg(CASE WHEN valid THEN 1.0 ELSE 0.0 END), 4) AS r
+  FROM (SELECT *, row_number() OVER (PARTITION BY scenario, arm ORDER BY run_id) AS run_index FROM verdicts) GROUP BY 1, 2) GROUP BY 1""", ("verdicts",))
 def ag17(spark, sf):
-    rates = verdicts(spark, sf).groupBy("arm", "category").agg(F.round(F.avg(F.col("valid").cast("double")), 4).alias("valid_rate"))
+    nth = F.row_number().over(Window.partitionBy("scenario", "arm").orderBy("run_id"))
+    rows = verdicts(spark, sf).select("scenario", "arm", "run_id", "valid").withColumn("run_index", nth)
+    rates = rows.groupBy("arm", "run_index").agg(F.round(F.avg(F.col("valid").cast("double")), 4).alias("valid_rate"))
     return o.arm_stability(rates)
 
 

@@ -118,7 +118,7 @@ SELECT portfolio_id, currency, (round(cash::DECIMAL(18, 2) * coalesce(rate, 1)::
 FROM portfolios LEFT JOIN fx ON base = currency""", ("portfolios", "fx"))
 def pf14(spark, sf):
     fx = b.fx_rates(spark, sf).select(F.col("base").alias("currency"), "rate")
-    rows = b.portfolios(spark, sf).join(F.broadcast(fx), "currency", "left")
+    rows = b.portfolios(spark, sf).join(fx, "currency", "left")
     return rows.select("portfolio_id", "currency",
                        F.expr(money.convert("cash", "coalesce(rate, 1D)")).cast("double").alias("converted"))
 

@@ -102,8 +102,8 @@ def first_answering_feed(quotes: DataFrame, feeds: DataFrame) -> DataFrame:
     tried = feeds.join(counts, "feed", "left").withColumn(
         "success", F.coalesce(F.col("quotes") > 0, F.lit(False))
     )
-    winner = tried.filter("success").agg(F.min("priority").alias("_winner"))
-    return tried.join(winner, F.expr("priority <= coalesce(_winner, priority)")).selectExpr(
+    winner = tried.filter("success").agg(F.min("priority").alias("_winner")).scalar()
+    return tried.filter(F.col("priority") <= F.coalesce(winner, F.col("priority"))).selectExpr(
         "feed", "priority", "coalesce(quotes, 0) AS quotes", "success"
     )
 
