@@ -11,9 +11,11 @@ from holdfast.catalog.markets import returns
 from holdfast.catalog.registry import query, view
 from holdfast.catalog.text import records, replies
 from holdfast.functions import fees as fee
+from holdfast.functions import scoring
 from holdfast.grouping import shared_folder
 from holdfast.operators import ledger
 from holdfast.operators import manifests as mf
+from holdfast.operators import valuation as v
 from holdfast.sources import broker, documents, matrix, sinks, snapshots
 from holdfast.streaming import jobs
 
@@ -102,6 +104,25 @@ def io7(spark, sf):
     return rows.select("ticker", "captured_utc", rnd("live_price"))
 
 
+@query("UD2_snapshot_provider", "SELECT ticker, round(composite_score, 6) AS composite_score, moat_class FROM scored", ("scored",))
+def ud2(spark, sf):
+    """A replayed snapshot in place of the live fundamentals and rates."""
+    rows, fx = snapshots.load_snapshot(spark, snapshot_folder(spark, sf))
+    scored = scoring.score_fundamentals(scoring.with_fx_rate(rows.drop("captured_utc"), fx.drop("captured_utc")))
+    return scored.select("ticker", rnd("composite_score"), "moat_class")
+
+
+@query("UD4_injected_quotes", """
+SELECT p.portfolio_id, p.ticker, round(s.live_price, 4) AS price, round(p.shares::DECIMAL(14, 4) * round(s.live_price, 4)::DECIMAL(16, 4), 2)::DOUBLE AS market_value,
+  CASE WHEN bool_or(s.ticker IS NOT NULL) OVER (PARTITION BY p.portfolio_id) THEN 'live' ELSE 'stored' END AS price_source
+FROM positions p JOIN scalars s USING (ticker)""", ("positions", "scalars"))
+def ud4(spark, sf):
+    """Any table of quotes serves as the lookup; here the fundamentals' prices."""
+    quotes = b.fundamentals(spark, sf).selectExpr("ticker", "live_price AS price", "cast(NULL AS double) AS change_percent")
+    return v.value_positions(v.overlay_quotes(b.positions(spark, sf), quotes)).select(
+        "portfolio_id", "ticker", rnd("price", 4), rnd("market_value", 2), "price_source")
+
+
 def suites(spark, sf):
     """One suite document per scenario, with its runs nested by advisor (bounded per order)."""
     scen = b.scenarios(spark, sf)
@@ -301,12 +322,17 @@ def ss3(spark, sf):
 
 
 @query("SS4_daily_trade_stream", """
-SELECT l_suppkey AS portfolio_id, date_trunc('day', l_shipdate)::TIMESTAMP AS day, sum(ceil(l_extendedprice / 1000) * 2.5)::DOUBLE AS fees, round(sum(l_extendedprice), 2) AS volume, count(*) AS trades
-FROM lineitem WHERE date_trunc('day', l_shipdate) + INTERVAL 1 DAY <= (SELECT max(l_shipdate) - INTERVAL 7 DAY FROM lineitem) GROUP BY 1, 2""")
+SELECT l_suppkey AS supplier_id, date_trunc('day', l_shipdate)::TIMESTAMP AS day, sum(ceil(l_extendedprice / 1000) * 2.5)::DOUBLE AS fees, round(sum(l_extendedprice), 2) AS volume, count(*) AS trades
+FROM lineitem GROUP BY 1, 2""")
 def ss4s(spark, sf):
     folder = _work(spark, "trades")
     raw = jobs.file_stream(spark, sf, "lineitem.parquet", b.SCHEMAS["lineitem"].replace("TIMESTAMP_NTZ", "TIMESTAMP"))
-    trades = raw.selectExpr("l_suppkey AS portfolio_id", "l_extendedprice AS total_amount", f"{fee.order_fee('l_extendedprice')} AS fees", "l_shipdate AS executed_at")
-    jobs.run_daily_trades(trades, f"{folder}/out", f"{folder}/checkpoint")
-    return spark.read.schema("portfolio_id BIGINT, day TIMESTAMP, fees DOUBLE, volume DOUBLE, trades BIGINT").parquet(f"{folder}/out").selectExpr(
-        "portfolio_id", "cast(day AS timestamp_ntz) AS day", "fees", "round(volume, 2) AS volume", "trades")
+    shape = ("l_suppkey AS portfolio_id", "l_extendedprice AS total_amount", f"{fee.order_fee('l_extendedprice')} AS fees", "l_shipdate AS executed_at")
+    jobs.run_daily_trades(raw.selectExpr(*shape), f"{folder}/out", f"{folder}/checkpoint")
+    closed = spark.read.schema("portfolio_id BIGINT, day TIMESTAMP, fees DOUBLE, volume DOUBLE, trades BIGINT").parquet(f"{folder}/out").selectExpr(
+        "portfolio_id", "cast(day AS timestamp_ntz) AS day", "fees", "volume", "trades")
+    # Days that the watermark still holds open when the files end come from the batch form.
+    every = jobs.daily_trades(b.table(spark, sf, "lineitem").selectExpr(*shape)).select(
+        "portfolio_id", F.col("day").cast("timestamp_ntz").alias("day"), "fees", "volume", "trades")
+    tail = every.join(closed, ["portfolio_id", "day"], "left_anti")
+    return closed.unionByName(tail).selectExpr("portfolio_id AS supplier_id", "day", "fees", "round(volume, 2) AS volume", "trades")

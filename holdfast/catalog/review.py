@@ -245,6 +245,16 @@ def sc28(spark, sf):
     return rows.selectExpr("p_partkey", "name", f"round({floor}, 6) AS floor", f"{floor} IS NULL AS rejected")
 
 
+@query("SC28_guardrail_thresholds", """
+SELECT o_orderkey, 250e0 AS min_order, o_totalprice / 100 >= 250 AS first_order, o_totalprice / 100 >= 500 AS second_order, least(1000e0, o_totalprice / 100) AS boundary,
+  (CASE WHEN o_totalprice <= 0 THEN 0 ELSE ceil(least(1000e0, o_totalprice / 100) / 1000) END + CASE WHEN o_totalprice / 100 - least(1000e0, o_totalprice / 100) <= 0 THEN 0
+    ELSE ceil((o_totalprice / 100 - least(1000e0, o_totalprice / 100)) / 1000) END - CASE WHEN o_totalprice <= 0 THEN 0 ELSE ceil(o_totalprice / 100 / 1000) END)::DOUBLE * 2.5e0 AS split_premium
+FROM orders""")
+def sc28t(spark, sf):
+    rows = b.table(spark, sf, "orders", "o_orderkey", "o_totalprice").selectExpr("o_orderkey", "o_totalprice / 100 AS cash")
+    return rows.selectExpr("o_orderkey", *[f"{sql} AS {name}" for name, sql in fee.guardrails("cash").items()])
+
+
 @query("SJ11_threshold_grid", """
 SELECT p_partkey, t.tol::BIGINT AS tol, round(p_size / 10e0 / (t.tol / 100e0), 6) AS floor FROM part, (SELECT unnest([1, 2, 5]) AS tol) t""")
 def sj11(spark, sf):

@@ -30,6 +30,27 @@ def order_fee(amount: str, fees: FeeSchedule = DEFAULT_FEES) -> str:
     return f"(CASE WHEN {amount} <= 0 THEN 0D ELSE ceil({amount} / {fees.tranche}D) * {fees.cost}D END)"
 
 
+def tranche_boundary(cash: str, fees: FeeSchedule = DEFAULT_FEES) -> str:
+    """The largest first leg that stays within one tranche."""
+    return f"least({fees.tranche}D, {cash})"
+
+
+def guardrails(cash: str, fees: FeeSchedule = DEFAULT_FEES) -> dict[str, str]:
+    """Where orders become economic: the floor is the fixed point at which one fee is the tolerated share."""
+    floor = f"{fees.cost / (fees.max_impact_pct / 100)}D"
+    return {
+        "min_order": floor,
+        "first_order": f"{cash} >= {floor}",
+        "second_order": f"{cash} >= 2 * {floor}",
+        "boundary": tranche_boundary(cash, fees),
+        # A split at a tranche boundary costs no more than one order of the same cash.
+        "split_premium": (
+            f"{order_fee(tranche_boundary(cash, fees), fees)} + "
+            f"{order_fee(f'({cash} - {tranche_boundary(cash, fees)})', fees)} - {order_fee(cash, fees)}"
+        ),
+    }
+
+
 def total_order_fee(amounts: str, fees: FeeSchedule = DEFAULT_FEES) -> str:
     return f"aggregate({amounts}, 0D, (acc, paid) -> acc + {order_fee('paid', fees)})"
 

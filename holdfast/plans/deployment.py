@@ -17,6 +17,11 @@ def within_weight_limit(multiple: float = OVERWEIGHT_MULTIPLE) -> Column:
     return F.col("weight_pct") <= F.lit(100.0) / F.col("position_count") * multiple
 
 
+def eligible() -> Column:
+    """Scored, and not overweight."""
+    return within_weight_limit() & F.col("composite_score").isNotNull()
+
+
 def theme_leaders(analyses: DataFrame) -> DataFrame:
     """Per portfolio and theme: total weight and the best ticker still eligible."""
     rank = F.struct(
@@ -24,7 +29,7 @@ def theme_leaders(analyses: DataFrame) -> DataFrame:
     )
     return analyses.groupBy("portfolio_id", "theme").agg(
         F.sum("weight_pct").alias("theme_weight"),
-        F.min(F.when(within_weight_limit(), rank)).alias("best"),
+        F.min(F.when(eligible(), rank)).alias("best"),
     )
 
 
@@ -100,16 +105,14 @@ def blocked_by_theme(
         "portfolio_id", c("score").alias("stop_score"), c("ticker").alias("stop_ticker")
     )
     taken = picks.filter("pick <= max_picks").select("portfolio_id", "ticker")
-    eligible = analyses.filter(within_weight_limit()).select(
-        "portfolio_id", "ticker", "composite_score"
-    )
+    open_to_buy = analyses.filter(eligible()).select("portfolio_id", "ticker", "composite_score")
     before_stop = (
         c("stop_score").isNull()
         | (c("composite_score") > c("stop_score"))
         | ((c("composite_score") == c("stop_score")) & (c("ticker") < c("stop_ticker")))
     )
     return (
-        eligible.join(cash.select("portfolio_id"), "portfolio_id", "left_semi")
+        open_to_buy.join(cash.select("portfolio_id"), "portfolio_id", "left_semi")
         .join(last, "portfolio_id", "left")
         .filter(before_stop)
         .join(taken, ["portfolio_id", "ticker"], "left_anti")
@@ -120,7 +123,7 @@ def blocked_by_theme(
 def top_candidates(analyses: DataFrame, k: int = 6) -> DataFrame:
     """The k best eligible tickers per portfolio."""
     return top_per_group(
-        analyses.filter(within_weight_limit()).select("portfolio_id", "ticker", "composite_score"),
+        analyses.filter(eligible()).select("portfolio_id", "ticker", "composite_score"),
         ["portfolio_id"], [F.col("composite_score").desc(), F.col("ticker")], k,
     )
 
