@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from holdfast import bridge as b
-from holdfast.catalog.registry import query, view
+from holdfast.catalog.registry import _VIEWS, query, view, with_views
 from holdfast.functions import fees as fee
 from holdfast.functions import money
 from holdfast.functions import series as s
@@ -464,14 +464,28 @@ def sc25(spark, sf):
     return plans(spark, sf).select("portfolio_id", F.expr(fee.deployable_bound("cash", "candidates")).alias("bound"))
 
 
-@query("SC26_planner_gap", """
+CASH_GRID = (0.25, 0.5, 1.0, 2.0)
+
+
+def _on_cash_grid(sql):
+    """The same SQL with every portfolio repeated for each cash level."""
+    levels = ", ".join(f"({i}, {f!r}::DOUBLE)" for i, f in enumerate(CASH_GRID))
+    for name, cash in (("positions", ""), ("portfolios", ", cash * f AS cash")):
+        text = _VIEWS[name][1]
+        grid = f"SELECT v.* REPLACE (portfolio_id * 10 + lvl AS portfolio_id{cash}) FROM ({text}) v, (VALUES {levels}) g(lvl, f)"
+        sql = sql.replace(f"{name} AS ({text})", f"{name} AS ({grid})")
+    return sql
+
+
+@query("SC26_planner_gap", _on_cash_grid(with_views(("deploy_plans",), """
 SELECT status, round(max(greatest(0, CASE WHEN cash >= 250 AND candidates >= 1 THEN cash ELSE 0 END - deployed)), 4) + 0e0 AS max_deployment_gap,
        max(total_fee - CASE WHEN deployed <= 0 THEN 0 ELSE ceil(round(deployed, 6) / 1000) * 2.5 END)::DOUBLE AS max_fee_premium, count(*) AS plans
-FROM deploy_plans GROUP BY 1""", ("deploy_plans",))
+FROM deploy_plans GROUP BY 1""")))
 def sc26(spark, sf):
-    p = plans(spark, sf).withColumn("deployed", F.round("deployed", 6))
-    gaps = d.planner_gap(p).join(p.select("portfolio_id", "status"), "portfolio_id")
-    return gaps.groupBy("status").agg(
+    levels = ", ".join(f"{f!r}D" for f in CASH_GRID)
+    grid = b.portfolios(spark, sf).selectExpr("portfolio_id", f"explode(transform(array({levels}), f -> cash * f)) AS cash")
+    p = d.plan_deployment(analyses(spark, sf), grid).withColumn("deployed", F.round("deployed", 6))
+    return d.planner_gap(p).groupBy("status").agg(
         F.round(F.max("deployment_gap"), 4).alias("max_deployment_gap"), F.max("fee_premium").alias("max_fee_premium"),
         F.count(F.lit(1)).alias("plans"))
 

@@ -133,11 +133,11 @@ def overweight(analyses: DataFrame) -> DataFrame:
 
 
 def planner_gap(plans: DataFrame, fees: fee.FeeSchedule = fee.DEFAULT_FEES) -> DataFrame:
-    """How far each plan is from full deployment and from the one-order fee."""
+    """How far each plan is from full deployment and from the one-order fee; plans may cover a grid of cash."""
     bound = fee.deployable_bound("cash", "candidates", fees)
     least_fee = fee.order_fee("deployed", fees)
     return plans.selectExpr(
-        "portfolio_id", "cash", "deployed AS deployed_planner",
+        "portfolio_id", "cash", "status", "deployed AS deployed_planner",
         f"{bound} AS deployed_bound",
         f"greatest(0D, {bound} - deployed) AS deployment_gap",
         "total_fee AS fee_planner",
