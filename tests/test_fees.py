@@ -61,3 +61,13 @@ def test_tranche_legs_are_whole_but_one(spark, scores, cash):
 def test_floor_rejects_bad_inputs(spark):
     got = column(spark, fee.economic_floor("c", "t"), [(2.5, 0.01), (-1.0, 0.01), (2.5, 0.0)], "c double, t double")
     assert got == [250.0, None, None]
+
+
+def test_guardrails_and_tranche_invariance(spark):
+    rows = spark.createDataFrame([(float(c),) for c in (0, 249.99, 250, 500, 1000, 1000.01, 2500)], "cash double")
+    got = {r.cash: r for r in rows.selectExpr("cash", *[f"{sql} AS {name}" for name, sql in fee.guardrails("cash").items()]).collect()}
+    assert {r.min_order for r in got.values()} == {250.0}
+    assert [c for c, r in got.items() if r.first_order] == [250, 500, 1000, 1000.01, 2500]
+    assert [c for c, r in got.items() if r.second_order] == [500, 1000, 1000.01, 2500]
+    assert all(r.split_premium == 0 for r in got.values())
+    assert got[2500].boundary == 1000 and got[500].boundary == 500
