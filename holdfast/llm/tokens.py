@@ -86,7 +86,7 @@ class UnitEncoder:
     encoded whole.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 1_400_000):
+    def __init__(self, path: str, end_id: int, most: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -254,7 +254,8 @@ def read_records(manifest: DataFrame) -> DataFrame:
     )
     spread = manifest.select("part", "path", "records").repartition("part")
     found = spread.mapInPandas(read, RECORD)
-    return found.join(totals, F.col("part") == F.col("t_part")).select(
+    # One row for each file, so the totals are the side to broadcast; the size of ``found`` is guessed too low.
+    return found.join(F.broadcast(totals), F.col("part") == F.col("t_part")).select(
         "doc_id", (F.col("earlier") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", "part", "nth"
     )
 
