@@ -120,6 +120,25 @@ def test_decontamination_edge_cases(spark):
     assert decontaminate.find_items(cases.documents(spark, empty=True), bench).count() == 0
 
 
+def test_short_items_match_whole_words(spark):
+    items = [(1, "What is 6 x 7?"), (2, "Paris"), (3, "capital of France"), (4, "東京"), (5, "naïve"), (6, " \n"), (7, "42")]
+    texts = {
+        1: "Quiz:\nWHAT  is 6 x 7? ok", 2: "comparison of parishes", 3: "in (paris), he said", 4: "the capitol of france",
+        5: "the capital of frances", 6: "the capital of francesca", 7: "私は東京都に住む", 8: "naïveté", 9: "so nai\u0308ve", 10: "so NAÏVE",
+        11: "142 or 421", 12: "42", 13: None, 14: "xcapital of france", 15: "acapital of francex",
+    }
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in texts.items()], cases.SCHEMA)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (texts[r["doc_id"]][r["start"] : r["end"]], r["distance"], r["budget"]) for r in decontaminate.find_items(docs, bench).collect()}
+    assert got == {
+        (1, 1): ("WHAT  is 6 x 7?", 0, 1), (3, 2): ("paris", 0, 0), (4, 3): ("capitol of france", 1, 1),
+        (5, 3): ("capital of frances", 1, 1), (7, 4): ("東京", 0, 0), (10, 5): ("NAÏVE", 0, 0), (12, 7): ("42", 0, 0),
+        (14, 3): ("xcapital of france", 1, 1),
+    }
+    clean = {r["doc_id"] for r in decontaminate.without_items(docs, bench).collect()}
+    assert clean == set(texts) - {i for i, _ in got}
+
+
 URLS = [
     None, "", "no scheme", "http://A.Example.COM/en/1?x=/en/", "https://www.example.com/en/2#a/b", "http://example.net",
     "http://example.net/", "http://x.net/es/5", "http://x.net/fr", "http://net/fr/", "http://spam-farm.example.org/q",
