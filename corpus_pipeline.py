@@ -1,12 +1,12 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read as the next one's input.
 
-Every stage but the last returns the columns of documents. Rows with a null doc_id pass the near-duplicate
-stage untouched; null and empty texts end at the language stage, which keeps only texts in a language.
+Every stage but the last returns the columns of documents. Null and empty texts end at the language stage,
+which keeps only texts in a language.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import decontaminate, jaccard, language, mixing, tokens
@@ -25,16 +25,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group; of rows with one doc_id, one stays."""
-    classes = jaccard.jaccard_classes(docs, width=5, percent=80)
-    gone = settle(classes.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps the first row of each group of near copies: by doc_id, null last, then by hashes of text and row.
+
+    Different texts under one doc_id, or under a null one, are compared each on its own. Texts without a word
+    are no near copies; of rows with the same doc_id and text, one stays.
+    """
     repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    if not repeated.head(1):
-        return kept
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    first = kept.withColumn("__place", F.row_number().over(order))
-    return first.filter("__place = 1 OR doc_id IS NULL").select(*docs.columns)
+    if not docs.filter("doc_id IS NULL").head(1) and not repeated.head(1):
+        return docs.join(_near_copies(docs.select("doc_id", "text")), "doc_id", "left_anti").select(*docs.columns)
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.xxhash64(*docs.columns)]
+    dealt = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = settle(dealt.withColumn("__row", F.monotonically_increasing_id()), "near-copies-rows")
+    named = numbered.filter("doc_id IS NOT NULL")
+    first = named.groupBy("doc_id", F.md5("text")).agg(F.min("__row").alias("__row")).select("__row")
+    single = settle(numbered.join(first, "__row").unionByName(numbered.filter("doc_id IS NULL")), "near-copies-once")
+    gone = _near_copies(single.select(F.col("__row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "__row")
+    return single.join(gone, "__row", "left_anti").select(*docs.columns)
+
+
+def _near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id of each document that has a near copy, or a chain of them, with a smaller doc_id."""
+    classes = jaccard.jaccard_classes(docs, width=5, percent=80)
+    return settle(classes.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

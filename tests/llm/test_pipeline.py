@@ -39,3 +39,12 @@ def test_stages_bear_edge_cases(spark):
     kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
     ids = [r["doc_id"] for r in kept.collect() if r["doc_id"] is not None]
     assert len(ids) == len(set(ids))
+
+
+def test_near_copies_go_by_text(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = one.replace("a39", "end")
+    rows = [(1, one), (2, near), (2, two), (2, two), (3, three), (3, None), (None, one), (None, " ".join(reversed(two.split()))), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], cases.SCHEMA)
+    kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()), key=str)
+    assert kept == sorted([rows[0], rows[2], rows[4], rows[5], *rows[7:]], key=str)
