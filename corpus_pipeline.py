@@ -12,16 +12,15 @@ from pyspark.sql import functions as F
 from holdfast.llm import decontaminate, jaccard, language, mixing, tokens
 from holdfast.llm.storage import settle, table
 
-#: Documents whose likeliest language is less likely than this are rejected.
-LEAST_SCORE = 0.3
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language the network recognises. An empty table, or one without lang, stays empty."""
+    """Keeps documents in a language of the table; noise and other languages go.
+
+    An empty table, or one without lang, stays empty.
+    """
     network = language.train(docs.select("doc_id", "text", "lang"), F.lit(True))
-    labelled = docs.withColumn("__label", language.label_column(network))
-    known = (F.col("__label.lang_pred") != language.NO_LANGUAGE) & (F.col("__label.score") >= LEAST_SCORE)
-    return labelled.filter(known).select(*docs.columns)
+    labelled = docs.withColumn("__label", language.label_column(network, judge=True))
+    return labelled.filter("__label.familiar").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

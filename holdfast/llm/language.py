@@ -6,13 +6,18 @@ every position with language probabilities. A document's probabilities are the m
 positions. Training is plain numpy: cross-entropy at every position, gradients by backpropagation through
 time, Adam. It runs on the driver over a bounded sample: ``DOCS_PER_LANG`` documents of each language, in
 the order of a hash of their ids, and at most ``WINDOWS_PER_DOC`` evenly spread windows of each.
+
+The softmax names some language for any text. Whether a text is in that language at all is told by its grams,
+three letter bytes in a row: the share of them that occurs in the language's sample. The bound comes from the
+sample itself, from documents held out while grams of the others are counted.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -29,6 +34,13 @@ _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that belong to letters: a-z, and what UTF-8 uses beyond ASCII.
 LETTER_BYTE = np.zeros(256, np.float32)
 LETTER_BYTE[97:123] = LETTER_BYTE[128:] = 1.0
+#: Numbers of the letter bytes in a gram, and the number of grams.
+GRAM_BYTE = (np.cumsum(LETTER_BYTE) - 1).astype(np.int64)
+GRAMS = int(LETTER_BYTE.sum()) ** 3
+#: Texts with fewer grams are too short to be called foreign.
+LEAST_GRAMS = 20
+#: The bound is this part of the share that all but LOWEST of the held-out documents reach.
+LOWEST, PART = 0.05, 0.5
 
 
 def to_windows(text: str) -> np.ndarray:
@@ -39,6 +51,14 @@ def to_windows(text: str) -> np.ndarray:
     return out
 
 
+def grams(raw: np.ndarray) -> np.ndarray:
+    """The grams of bytes, in order, repeats included."""
+    code, letter = GRAM_BYTE[raw], LETTER_BYTE[raw] > 0
+    base = round(GRAMS ** (1 / 3))
+    whole = letter[:-2] & letter[1:-1] & letter[2:]
+    return ((code[:-2] * base + code[1:-1]) * base + code[2:])[whole]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     np.negative(x, out=x)
     np.clip(x, -60, 60, out=x)
@@ -53,6 +73,9 @@ class Network:
 
     langs: list[str]
     weights: dict[str, np.ndarray]
+    #: For each language its grams, in order, and the least share of them that a text in it has.
+    known: list[np.ndarray] = field(default_factory=list)
+    bounds: list[float] = field(default_factory=list)
 
     @classmethod
     def fresh(cls, langs: list[str], hidden: int = HIDDEN, seed: int = 5) -> Network:
@@ -153,6 +176,27 @@ class Network:
                 ).astype(np.float32)
         return self
 
+    def learn_grams(self, samples: list[list[np.ndarray]]):
+        """``samples`` has, for each language, the windows of each of its documents; every fourth is held out once."""
+        self.known, self.bounds = [], []
+        for docs in samples:
+            own = [np.concatenate([grams(window) for window in x]) for x in docs]
+            rank = [zlib.crc32(x.tobytes()) for x in docs]  # copies are held out together
+            shares = []
+            for turn in range(4):
+                others = np.unique(np.concatenate([np.empty(0, np.int64), *[g for g, r in zip(own, rank) if r % 4 != turn]]))
+                out = [g for g, r in zip(own, rank) if r % 4 == turn and len(g) >= LEAST_GRAMS]
+                shares += [float(np.isin(g, others).mean()) for g in out if len(others)]
+            self.known.append(np.unique(np.concatenate([np.empty(0, np.int64), *own])))
+            self.bounds.append(PART * float(np.quantile(shares, LOWEST)) if shares else 0.0)
+        return self
+
+    def gram_tables(self) -> list[np.ndarray]:
+        tables = [np.zeros(GRAMS, bool) for _ in self.known]
+        for table, known in zip(tables, self.known):
+            table[known] = True
+        return tables
+
     def documents(self, texts: list[str]) -> np.ndarray:
         """Pooled language probabilities of each text."""
         sums = np.zeros((len(texts), len(self.langs)))
@@ -224,14 +268,22 @@ def train(
     rows.sort(key=lambda r: (r["lang"], bytes(r["windows"])))
     x = [np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW) for r in rows]
     y = np.concatenate([np.full(len(w), langs.index(r["lang"])) for r, w in zip(rows, x)])
-    return Network.fresh(langs).fit(np.concatenate(x), y, steps=steps)
+    samples = [[w for r, w in zip(rows, x) if r["lang"] == lang] for lang in langs]
+    return Network.fresh(langs).fit(np.concatenate(x), y, steps=steps).learn_grams(samples)
 
 
-def label_column(network: Network | None) -> Column:
-    """Struct (lang_pred, score) of the column ``text``."""
+def label_column(network: Network | None, judge: bool = False) -> Column:
+    """Struct (lang_pred, score) of the column ``text``; with ``judge`` also familiar.
+
+    A text is familiar if enough of its grams are known in its language. All its bytes count; one of under
+    LEAST_GRAMS grams passes, and one in no language does not.
+    """
+    kind = "lang_pred string, score double" + ", familiar boolean" * judge
 
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tables = network.gram_tables() if network and judge else []
         for texts in batches:
+            familiar = np.zeros(len(texts), bool)
             langs, scores = np.full(len(texts), NO_LANGUAGE, object), np.zeros(len(texts))
             with_letters = [i for i, t in enumerate(texts) if t is not None and _LETTER.search(t)]
             for at in range(0, len(with_letters) if network else 0, 500):
@@ -240,9 +292,13 @@ def label_column(network: Network | None) -> Column:
                 best = probs.argmax(axis=1)
                 langs[some] = np.array(network.langs, object)[best]
                 scores[some] = np.clip(probs[np.arange(len(some)), best], 0, 1)
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+                for i, lang in zip(some, best if judge else []):
+                    own = grams(to_windows(texts.iat[i]).reshape(-1))
+                    familiar[i] = len(own) < LEAST_GRAMS or tables[lang][own].mean() >= network.bounds[lang]
+            out = pd.DataFrame({"lang_pred": langs, "score": scores})
+            yield out.assign(familiar=familiar) if judge else out
 
-    return F.pandas_udf(label, "lang_pred string, score double")("text")
+    return F.pandas_udf(label, kind)("text")
 
 
 def identify(docs: DataFrame, network: Network | None) -> DataFrame:

@@ -1,5 +1,9 @@
+import random
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from holdfast.llm import decontaminate
+from holdfast.llm import decontaminate, language
 from tests.llm import cases
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +52,23 @@ def test_near_copies_go_by_text(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], cases.SCHEMA)
     kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()), key=str)
     assert kept == sorted([rows[0], rows[2], rows[4], rows[5], *rows[7:]], key=str)
+
+
+def test_noise_and_foreign_texts_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(3)
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(60)) for _ in range(20)]
+    foreign = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+    ]
+    bad = spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(noise + foreign)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.unionByName(bad), SF).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()}
+    held_out = F.col("doc_id") % 3 == 0
+    network = language.train(docs, ~held_out)
+    named = docs.filter(held_out).withColumn("label", language.label_column(network, judge=True))
+    assert named.filter("NOT label.familiar").count() == 0
