@@ -4,10 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import merkle_log
+from holdfast.llm import merkle_log, subspace
 from holdfast.llm.registry import query
 from holdfast.llm.storage import table
 
+OP11_SQL = r"""
+WITH RECURSIVE valid AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+linked AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM valid a JOIN valid b ON a.label = b.label AND a.vec_id <> b.vec_id
+  AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98
+),
+reach AS (SELECT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT r.u, l.v FROM reach r JOIN linked l ON r.v = l.u)
+SELECT e.vec_id, (SELECT count(*) FROM linked l WHERE l.u = e.vec_id) AS n_links,
+       min(r.v) AS component_id, e.vec_id = min(r.v) AS kept
+FROM embeddings e JOIN reach r ON r.u = e.vec_id GROUP BY e.vec_id
+"""
+
+
+@query("op11_subspace_join", sql=OP11_SQL)
+def op11_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspace.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 OP13_SQL = r"""
 WITH RECURSIVE crc_table AS (
   SELECT list(v ORDER BY i) AS t
