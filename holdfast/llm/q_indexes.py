@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import merkle_log, subspace
+from holdfast.llm import merkle_log, subspace, treap
 from holdfast.llm.registry import query
 from holdfast.llm.storage import table
 
@@ -31,6 +31,43 @@ def op11_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subspace.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
 
 
+OP12_SQL = r"""
+WITH doc_terms AS (
+  SELECT doc_id, t.term, count(*) AS tf FROM documents, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t(term)
+  GROUP BY doc_id, t.term
+),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM doc_terms GROUP BY doc_id),
+totals AS (SELECT count(*)::BIGINT AS all_docs, sum(n)::BIGINT AS all_terms FROM sizes),
+item_terms AS (
+  SELECT item_id, t.term, count(*) AS times FROM benchmark, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t(term)
+  GROUP BY item_id, t.term
+),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(all_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM doc_terms, totals GROUP BY term
+),
+scores AS (
+  SELECT i.item_id, d.doc_id,
+         sum(i.times * w.w * ((1000000000 * d.tf) // (1000 * d.tf + 12 * (75 + (25 * s.n * all_docs) // all_terms))))::BIGINT AS score
+  FROM item_terms i JOIN doc_terms d USING (term) JOIN sizes s USING (doc_id) JOIN weights w USING (term), totals
+  GROUP BY i.item_id, d.doc_id
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query("op12_ranked_search", sql=OP12_SQL)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), most=20)
+
+
 OP13_SQL = r"""
 WITH RECURSIVE crc_table AS (
   SELECT list(v ORDER BY i) AS t
