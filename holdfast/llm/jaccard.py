@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from holdfast.llm import worker
 from holdfast.llm.components import components
 from holdfast.llm.shingles import U, mix, overlap, set_id, shingle_sets
 from holdfast.llm.storage import settle
@@ -111,9 +112,11 @@ def _sketch(tokens: np.ndarray, words: int) -> np.ndarray:
 
 
 def _small(batches, step: int = 1000):
+    worker.enter("jaccard")
     for batch in batches:
         for at in range(0, len(batch), step):
             yield batch.iloc[at : at + step]
+    worker.trim()
 
 
 def shingle_table(docs: DataFrame, width: int) -> DataFrame:

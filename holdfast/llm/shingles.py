@@ -40,14 +40,30 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers; those for up to twice BUFFER are kept."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
         steps = np.full(max(n, 2 * BUFFER), U(base))
         steps[0] = U(1)
-        _POWERS[base] = have = np.cumprod(steps)
+        have = np.cumprod(steps)
+        if n <= 2 * BUFFER:
+            _POWERS[base] = have
     return have[:n]
 
 
+def _pieces(raw: np.ndarray, space: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of pieces of about BUFFER bytes that end at white space; only a longer word makes a longer piece."""
+    at = 0
+    while len(raw) - at > BUFFER:
+        end = at + BUFFER
+        while end < len(raw) and not space[raw[end]]:
+            inner = np.flatnonzero(space[raw[end : end + BUFFER]])
+            end = end + int(inner[0]) if len(inner) else min(end + BUFFER, len(raw))
+        yield at, end
+        at = end
+    yield at, len(raw)
+
+
 def word_hashes(
     buffer: bytes, space: np.ndarray = _SPACE, values: np.ndarray = _BYTE, prefix: int | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -56,6 +72,15 @@ def word_hashes(
     ``space`` says which bytes part words; ``values`` gives each other byte its value.
     """
     raw = np.frombuffer(buffer, np.uint8)
+    if len(raw) <= 2 * BUFFER:
+        return _word_hashes(raw, space, values, prefix)
+    parts = [(a, *_word_hashes(raw[a:b], space, values, prefix)) for a, b in _pieces(raw, space)]
+    return np.concatenate([h for _, h, _ in parts]), np.concatenate([a + starts for a, _, starts in parts])
+
+
+def _word_hashes(
+    raw: np.ndarray, space: np.ndarray, values: np.ndarray, prefix: int | None
+) -> tuple[np.ndarray, np.ndarray]:
     inside = np.empty(len(raw) + 2, bool)
     inside[0] = inside[-1] = False
     np.logical_not(space[raw], out=inside[1:-1])

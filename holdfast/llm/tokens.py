@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from holdfast.llm import worker
 from holdfast.llm.storage import settle, shared_folder
 
 #: Fixed value of the masking step.
@@ -32,7 +33,7 @@ HEAD = struct.Struct("<QI")
 FOOT = struct.Struct("<I")
 LEAD = struct.Struct("<qB")
 MANIFEST = "part int, path string, records long, tokens long, bytes long"
-RECORD = "part int, nth long, doc_id long, n_tokens long, local_start long, ids_crc32 long"
+RECORD = "doc_id long, start long, n_tokens long, ids_crc32 long, part int, nth long"
 
 
 class DamagedFile(ValueError):
@@ -81,12 +82,13 @@ class UnitEncoder:
     The tokenizer's splitting never joins what stands on both sides of a single space or line break
     between two non-space characters: a space opens the next piece and a line break is a piece of its own.
     So a text is cut at its spaces, the units, each with its leading space, are encoded on their own, and
-    repeated units come from a cache of bounded size. New units go through the tokenizer together, parted
+    repeated units come from a cache of two generations of bounded size: when the newer is full, it becomes the
+    older, from which units that are met again move over. New units go through the tokenizer together, parted
     by line breaks. Texts with other runs of white space, or with the mark that opens special tokens, are
     encoded whole.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 700_000):
+    def __init__(self, path: str, end_id: int, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -98,6 +100,7 @@ class UnitEncoder:
         self.tails = {c: self.whole(c) for c in ",."}
         self.most = most
         self.units: dict[str, bytes | None] = {}  # keys stand after a space
+        self.older: dict[str, bytes | None] = {}  # units that are dropped unless they are met again
         self.firsts: dict[str, bytes | None] = {}  # keys stand at the start of a text or line
 
     def whole(self, text: str) -> bytes:
@@ -146,12 +149,16 @@ class UnitEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as bytes."""
         if len(self.units) > self.most:
-            self.units.clear()
+            self.units, self.older = {}, self.units
         if len(self.firsts) > self.most // 8:
             self.firsts.clear()
         split = [t.split(" ") for t in texts]
         self._learn(self.firsts, {s[0] for s in split}, "")
-        self._learn(self.units, set().union(*split), " ")
+        parts = set().union(*split)
+        if self.older:
+            again = (parts & self.older.keys()) - self.units.keys()
+            self.units.update((p, self.older[p]) for p in again)
+        self._learn(self.units, parts, " ")
         of, out = self.units.__getitem__, []
         for text, parts in zip(texts, split):
             ids = list(map(of, parts))
@@ -164,14 +171,9 @@ class UnitEncoder:
         return out
 
 
-_ENCODERS: dict[tuple[str, int], UnitEncoder] = {}
-
-
 def encoder(path: str, end_id: int) -> UnitEncoder:
     """One encoder for each Python worker."""
-    if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = UnitEncoder(path, end_id)
-    return _ENCODERS[path, end_id]
+    return worker.kept("tokens", (path, end_id), lambda: UnitEncoder(path, end_id))
 
 
 def open_store(path: str):
@@ -231,13 +233,13 @@ def read_records(manifest: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part, path, records in zip(batch["part"], batch["path"], batch["records"]):
+            for part, path, records, earlier in zip(batch["part"], batch["path"], batch["records"], batch["earlier"]):
                 store, name = open_store(path)
-                rows, start, nth = [], 0, 0
+                rows, start, nth = [], int(earlier), 0
                 with store.open_input_stream(f"{name}.bin", buffer_size=1 << 20) as stream:
                     while (payload := read_frame(stream)) is not None:
                         doc_id, ids = unpack(payload)
-                        rows.append((part, nth, doc_id, len(ids), start, zlib.crc32(ids.astype("<u4").tobytes())))
+                        rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), part, nth))
                         start, nth = start + len(ids), nth + 1
                         if len(rows) == 5000:
                             yield _frame(rows)
@@ -246,22 +248,15 @@ def read_records(manifest: DataFrame) -> DataFrame:
                     raise DamagedFile(f"{path}: {nth} records, {records} in the manifest")
                 yield _frame(rows)
 
-    totals = manifest.select(
-        F.col("part").alias("t_part"),
-        F.coalesce(
-            F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("earlier"),
-    )
-    spread = manifest.select("part", "path", "records").repartition("part")
-    found = spread.mapInPandas(read, RECORD)
-    # One row for each file, so the totals are the side to broadcast; the size of ``found`` is guessed too low.
-    return found.join(F.broadcast(totals), F.col("part") == F.col("t_part")).select(
-        "doc_id", (F.col("earlier") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", "part", "nth"
-    )
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long").alias("earlier")
+    files = manifest.select("part", "path", "records", earlier)
+    # A number of partitions keeps adaptive execution from merging the small rows that stand for large files.
+    return files.repartitionByRange(max(1, manifest.count()), "part").mapInPandas(read, RECORD)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["part", "nth", "doc_id", "n_tokens", "local_start", "ids_crc32"])
+    out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "part", "nth"])
     return out.astype({"doc_id": "Int64"})
 
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from holdfast.llm import jaccard
+from holdfast.llm import shingles, jaccard
 from holdfast.llm.components import components
 from holdfast.llm.shingles import overlap, shingle_sets
 from tests.llm import cases
@@ -95,3 +95,14 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
+
+
+def test_long_buffers_are_hashed_in_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    text = b" ".join(bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in [5, 300, 1, 90, 2, 2, 64, 65, 400, 7] * 3) + b"  "
+    whole = shingles.word_hashes(text)
+    monkeypatch.setattr(shingles, "BUFFER", 64)
+    monkeypatch.setattr(shingles, "_POWERS", {})
+    pieces = shingles.word_hashes(text)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, pieces)) and len(whole[0]) == 30
+    assert all(len(p) <= 128 for p in shingles._POWERS.values())

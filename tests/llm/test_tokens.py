@@ -28,6 +28,31 @@ def test_units_encode_as_whole_texts(coder):
         assert np.frombuffer(ids, coder.dtype).tolist() == plain(coder, text), text[:50]
 
 
+def test_units_move_between_generations():
+    small = tokens.UnitEncoder(P.path("byte_bpe_50k.json"), 0, most=20)
+    for turn in range(12):
+        texts = [cases.sentence(turn + k % 3, 30) + " common words stay" for k in range(4)] + ODD
+        for text, ids in zip(texts, small.encode(texts)):
+            assert np.frombuffer(ids, small.dtype).tolist() == plain(small, text)
+        assert len(small.units) < 400 and len(small.older) < 400
+    assert small.older and "common" in small.units
+
+
+def test_read_back_takes_a_task_for_each_file(spark, tmp_path):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('word ', id) AS text").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = tokens.write_records(docs, f"file://{tmp_path}/t", P.path("byte_bpe_50k.json"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    read = tokens.read_records(manifest)
+    files = read.selectExpr("spark_partition_id() AS task", "part").distinct().collect()
+    assert len(files) == manifest.count() > 1
+    assert len({r.task for r in files}) > 1
+    last = read.orderBy("doc_id", ascending=False).head()
+    assert last.start + last.n_tokens == sum(r.tokens for r in manifest.collect())
+
+
 def test_round_trip(spark, tmp_path, coder):
     docs = cases.documents(spark, extra=True)
     manifest = tokens.write_records(docs, f"file://{tmp_path}/t", P.path("byte_bpe_50k.json"))
