@@ -17,7 +17,7 @@ from holdfast.operators import ledger
 from holdfast.operators import manifests as mf
 from holdfast.operators import valuation as v
 from holdfast.sources import broker, documents, matrix, sinks, snapshots
-from holdfast.streaming import jobs
+from holdfast.streaming import jobs, stateful
 
 
 def raw_broker(spark, sf):
@@ -282,12 +282,48 @@ def ss2(spark, sf):
     return ledger.positions_from_trades(b.transactions(spark, sf)).select("portfolio_id", "ticker", "shares", rnd("average_cost", 8), "accepted", "rejected")
 
 
-@query("SS2_cash_ledger")
+CASH_LEDGER = """
+SELECT portfolio_id, trade_ref, accepted, round(cash, 2) AS cash_after FROM (
+WITH RECURSIVE ordered AS (
+  SELECT portfolio_id, trade_ref, ticker, transaction_type AS side, shares, price_per_share AS price, shares * price_per_share AS gross, fees, cash * 100 AS opening,
+    row_number() OVER (PARTITION BY portfolio_id ORDER BY executed_at, trade_ref) AS step FROM transactions JOIN portfolios USING (portfolio_id)),
+fold AS (
+  SELECT DISTINCT portfolio_id, 0::BIGINT AS step, NULL::VARCHAR AS trade_ref, NULL::BOOLEAN AS accepted, opening AS cash, MAP {}::MAP(VARCHAR, DOUBLE) AS book FROM ordered
+  UNION ALL
+  SELECT portfolio_id, step, trade_ref, ok, CASE WHEN NOT ok THEN cash WHEN side = 'BUY' THEN cash - (gross + fees) ELSE cash + (gross - fees) END,
+    CASE WHEN ok THEN map_concat(book, MAP {ticker: held + CASE WHEN side = 'BUY' THEN shares ELSE -shares END}) ELSE book END
+  FROM (SELECT *, CASE WHEN shares <= 0 OR price <= 0 THEN false WHEN side = 'BUY' THEN cash >= gross + fees ELSE shares <= held AND fees <= gross END AS ok
+    FROM (SELECT t.*, f.cash, f.book, coalesce(f.book[t.ticker], 0) AS held FROM fold f JOIN ordered t ON t.portfolio_id = f.portfolio_id AND t.step = f.step + 1)))
+SELECT * FROM fold WHERE step > 0)"""
+
+
+@query("SS2_cash_ledger", CASH_LEDGER, ("transactions", "portfolios"))
 def ss2c(spark, sf):
     opening = b.portfolios(spark, sf).selectExpr("portfolio_id", "cash * 100 AS cash")
     return ledger.cash_checked_trades(b.transactions(spark, sf), opening, True).select("portfolio_id", "trade_ref", "accepted", rnd("cash_after", 2))
 
 
+@query("SS2_ledger_stream", CASH_LEDGER, ("transactions", "portfolios"))
+def ss2s(spark, sf):
+    """Trades arrive in three deliveries, each up to three days late, and are still judged in order."""
+    folder = _work(spark, "ledger")
+    opening = b.portfolios(spark, sf).selectExpr("portfolio_id", "cash * 100 AS cash")
+    trades = b.transactions(spark, sf).withColumn("executed_at", F.col("executed_at").cast("timestamp"))
+    trades = trades.withColumn("arrives", F.expr("datediff(executed_at, DATE'1970-01-01') + pmod(xxhash64(trade_ref), 4)"))
+    first, last, newest = trades.agg(F.min("arrives"), F.max("arrives"), F.max("executed_at").cast("string")).head()
+    schema = trades.drop("arrives").schema
+    late = 0
+    for turn in range(4):  # the last delivery is a mark that lets the trades still waiting go
+        if turn < 3:
+            part = trades.filter(f"(arrives - {first}) * 3 div {last - first + 1} = {turn}").drop("arrives")
+            part.write.parquet(f"{folder}/in/delivery{turn}")
+        jobs.write_mark(spark, schema, f"{folder}/marks", "executed_at", f"{int(newest[:4]) + 1}-12-31" if turn == 3 else None)
+        arrived = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        late += stateful.run_cash_ledger(jobs.with_marks(arrived, f"{folder}/marks"), opening, f"{folder}/out", f"{folder}/checkpoint", "5 days", True)
+    judged = spark.read.schema(stateful.VERDICT).option("recursiveFileLookup", True).parquet(f"{folder}/out")
+    return judged.filter(f"{late} = 0").select("portfolio_id", "trade_ref", "accepted", rnd("cash_after", 2))
+
+
 @query("SS4_daily_trades", """
 SELECT portfolio_id, date_trunc('day', executed_at)::TIMESTAMP AS day, sum(fees)::DOUBLE AS fees, round(sum(total_amount), 2) AS volume, count(*) AS trades FROM transactions GROUP BY 1, 2""", ("transactions",))
 def ss4(spark, sf):
@@ -304,35 +340,36 @@ def quote_stream(spark, sf):
 
 
 @query("SS1_quote_cache_stream", """
-SELECT ticker, price, change_percent, quote_id FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY recorded_at DESC, quote_id DESC) AS rn FROM quotes) WHERE rn = 1""", ("quotes",))
+SELECT ticker, price, change_percent, quote_id FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY recorded_at DESC, quote_id DESC) AS rn FROM quotes)
+WHERE rn = 1 AND recorded_at >= (SELECT max(recorded_at) FROM quotes) - INTERVAL 12 HOUR""", ("quotes",))
 def ss1(spark, sf):
     folder = _work(spark, "quotes")
-    jobs.run_quote_cache(quote_stream(spark, sf), f"{folder}/out", f"{folder}/checkpoint")
-    return jobs.cached_quotes(spark, f"{folder}/out").select("ticker", "price", "change_percent", "quote_id")
+    stateful.run_quote_cache(quote_stream(spark, sf), f"{folder}/out", f"{folder}/checkpoint", max_age_minutes=720)
+    return stateful.cached_quotes(spark, f"{folder}/out").select("ticker", "price", "change_percent", "quote_id")
 
 
 @query("SS3_record_audit_stream", """
 SELECT arm, count(*) AS runs, count(*) FILTER (WHERE valid AND run_id % 7 <> 0) AS valid, count(*) FILTER (WHERE run_id % 7 = 0) AS unparsed FROM verdicts GROUP BY 1""", ("verdicts",))
 def ss3(spark, sf):
     folder = _work(spark, "runs")
-    replies(spark, sf).selectExpr("scenario", "run_id", "arm", "raw_response", "timestamp'2024-01-01 00:00:00' AS arrived_at").write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema("scenario STRING, run_id BIGINT, arm STRING, raw_response STRING, arrived_at TIMESTAMP").parquet(f"{folder}/in")
+    replies(spark, sf).selectExpr("concat('provider', run_id % 2) AS provider", "'model' AS model", "scenario", "run_id", "arm", "raw_response", "timestamp'2024-01-01 00:00:00' AS arrived_at").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("provider STRING, model STRING, scenario STRING, run_id BIGINT, arm STRING, raw_response STRING, arrived_at TIMESTAMP").parquet(f"{folder}/in")
     jobs.run_record_audit(stream, b.scenarios(spark, sf), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out").groupBy("arm").agg(F.expr("sum(runs) AS runs"), F.expr("sum(valid) AS valid"), F.expr("sum(unparsed) AS unparsed"))
 
 
 @query("SS4_daily_trade_stream", """
-SELECT l_suppkey AS supplier_id, date_trunc('day', l_shipdate)::TIMESTAMP AS day, sum(ceil(l_extendedprice / 1000) * 2.5)::DOUBLE AS fees, round(sum(l_extendedprice), 2) AS volume, count(*) AS trades
+SELECT l_suppkey AS supplier_id, date_trunc('day', l_shipdate)::TIMESTAMP AS day, sum(ceil(l_extendedprice / 1000) * 2.5)::DOUBLE AS fees, round(sum(l_extendedprice), 2) AS volume, count(*) AS trades, 0::BIGINT AS late_rows
 FROM lineitem GROUP BY 1, 2""")
 def ss4s(spark, sf):
+    """Every day comes from the stream: a mark after the last trade closes the days that are still open."""
     folder = _work(spark, "trades")
     raw = jobs.file_stream(spark, sf, "lineitem.parquet", b.SCHEMAS["lineitem"].replace("TIMESTAMP_NTZ", "TIMESTAMP"))
-    shape = ("l_suppkey AS portfolio_id", "l_extendedprice AS total_amount", f"{fee.order_fee('l_extendedprice')} AS fees", "l_shipdate AS executed_at")
-    jobs.run_daily_trades(raw.selectExpr(*shape), f"{folder}/out", f"{folder}/checkpoint")
-    closed = spark.read.schema("portfolio_id BIGINT, day TIMESTAMP, fees DOUBLE, volume DOUBLE, trades BIGINT").parquet(f"{folder}/out").selectExpr(
-        "portfolio_id", "cast(day AS timestamp_ntz) AS day", "fees", "volume", "trades")
-    # Days that the watermark still holds open when the files end come from the batch form.
-    every = jobs.daily_trades(b.table(spark, sf, "lineitem").selectExpr(*shape)).select(
-        "portfolio_id", F.col("day").cast("timestamp_ntz").alias("day"), "fees", "volume", "trades")
-    tail = every.join(closed, ["portfolio_id", "day"], "left_anti")
-    return closed.unionByName(tail).selectExpr("portfolio_id AS supplier_id", "day", "fees", "round(volume, 2) AS volume", "trades")
+    trades = raw.selectExpr("l_suppkey AS portfolio_id", "l_extendedprice AS total_amount", f"{fee.order_fee('l_extendedprice')} AS fees", "l_shipdate AS executed_at")
+    last = b.table(spark, sf, "lineitem").agg(F.expr("string(max(l_shipdate) + interval 30 days)")).head()[0]
+    late = 0
+    for at in (None, last):
+        jobs.write_mark(spark, trades.schema, f"{folder}/marks", "executed_at", at)
+        late += jobs.run_daily_trades(jobs.with_marks(trades, f"{folder}/marks"), f"{folder}/out", f"{folder}/checkpoint")
+    closed = spark.read.schema("portfolio_id BIGINT, day TIMESTAMP, fees DOUBLE, volume DOUBLE, trades BIGINT").parquet(f"{folder}/out")
+    return closed.selectExpr("portfolio_id AS supplier_id", "cast(day AS timestamp_ntz) AS day", "fees", "round(volume, 2) AS volume", "trades", f"{late}L AS late_rows")

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from holdfast.functions import text as t
-from holdfast.grouping import top_per_group
 from holdfast.operators import audit
-from holdfast.operators.ledger import apply_trade
+from holdfast.streaming.stateful import late_rows
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema: str) -> DataFrame:
@@ -28,59 +26,6 @@ def drain(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None],
     query.awaitTermination()
 
 
-def _append(folder: str) -> Callable[[DataFrame, int], None]:
-    # One folder per batch id: a batch replayed after a failure overwrites its own output.
-    return lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
-
-
-def latest_quote_stream(quotes: DataFrame) -> DataFrame:
-    """Newest quote per ticker as a running aggregate (state: one row per ticker)."""
-    return quotes.groupBy("ticker").agg(
-        F.expr("max(struct(recorded_at, quote_id, price, change_percent)) AS q")
-    ).selectExpr("ticker", "q.recorded_at", "q.quote_id", "q.price", "q.change_percent")
-
-
-def run_quote_cache(quotes: DataFrame, out: str, checkpoint: str) -> None:
-    drain(latest_quote_stream(quotes), "update", _append(out), checkpoint)
-
-
-def cached_quotes(spark: SparkSession, out: str) -> DataFrame:
-    """Current cache: the newest emitted row per ticker."""
-    rows = spark.read.parquet(out)
-    order = [F.col("recorded_at").desc(), F.col("quote_id").desc()]
-    return top_per_group(rows, ["ticker"], order, 1).drop("rank", "batch")
-
-
-def ledger_stream(trades: DataFrame, fees_in_cost: bool = False) -> DataFrame:
-    """Running positions per (portfolio, ticker), carried between micro-batches."""
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, cost, ok, bad = state.get if state.exists else (0.0, 0.0, 0, 0)
-        rows = pd.concat(list(frames)).sort_values(["executed_at", "trade_ref"])
-        for r in rows.itertuples(index=False):
-            after = apply_trade(held, cost, r.transaction_type, r.shares, r.price_per_share, r.fees, fees_in_cost)
-            if after:
-                held, cost = after
-                ok += 1
-            else:
-                bad += 1
-        state.update((held, cost, ok, bad))
-        yield pd.DataFrame(
-            {
-                "portfolio_id": [key[0]], "ticker": [key[1]], "shares": [held], "average_cost": [cost],
-                "accepted": [ok], "rejected": [bad],
-            }
-        )
-
-    return trades.groupBy("portfolio_id", "ticker").applyInPandasWithState(
-        fold,
-        "portfolio_id bigint, ticker string, shares double, average_cost double, accepted bigint, rejected bigint",
-        "held double, cost double, ok bigint, bad bigint",
-        "update",
-        GroupStateTimeout.NoTimeout,
-    )
-
-
 def daily_trade_stream(trades: DataFrame, delay: str = "7 days") -> DataFrame:
     """Fees and volume per portfolio and day; rows later than the watermark are dropped."""
     return daily_trades(trades.withWatermark("executed_at", delay))
@@ -93,16 +38,38 @@ def daily_trades(trades: DataFrame) -> DataFrame:
     ).selectExpr("portfolio_id", "w.start AS day", "fees", "volume", "trades")
 
 
-def run_daily_trades(trades: DataFrame, out: str, checkpoint: str) -> None:
+def run_daily_trades(trades: DataFrame, out: str, checkpoint: str) -> int:
+    """Append the days that the watermark has closed; returns how many trades came too late for their day."""
     query = (
         daily_trade_stream(trades).writeStream.outputMode("append").format("parquet")
         .option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    return late_rows(query)
+
+
+def with_marks(rows: DataFrame, folder: str) -> DataFrame:
+    """A stream that also reads time marks from ``folder``, which has to exist (``write_mark``)."""
+    return rows.unionByName(rows.sparkSession.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(folder))
+
+
+def write_mark(spark: SparkSession, schema, folder: str, time_column: str, at: str | None) -> None:
+    """A row without values but its time, which moves the watermark on and so closes what lies before it.
+
+    Its own window stays open and is never emitted. Without a time, the folder is made and no row written.
+    """
+    columns = [
+        F.lit(at if c.name == time_column else None).cast(c.dataType).alias(c.name) for c in schema.fields
+    ]
+    spark.range(1 if at else 0).select(*columns).coalesce(1).write.parquet(f"{folder}/{uuid.uuid4().hex}")
+
+
+#: A record is one run of one model; another model's run of the same scenario is another record.
+RECORD_KEYS = ("provider", "model", "arm", "scenario", "run_id")
 
 
 def audit_record_stream(
-    records: DataFrame, scenarios: DataFrame, keys: tuple[str, ...] = ("scenario", "arm", "run_id")
+    records: DataFrame, scenarios: DataFrame, keys: tuple[str, ...] = RECORD_KEYS
 ) -> DataFrame:
     """Arriving run records, deduplicated within the watermark, parsed and judged."""
     fresh = records.withWatermark("arrived_at", "1 day").dropDuplicatesWithinWatermark(list(keys))

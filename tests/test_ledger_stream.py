@@ -55,23 +55,6 @@ def test_cash_is_checked_per_portfolio(spark):
     assert got == {"a": (True, 4.0), "b": (False, 4.0), "c": (True, 102.0), "d": (True, 92.0), "e": (False, 92.0)}
 
 
-def test_streamed_ledger_equals_batch(spark, tmp_path):
-    rows = trades(2, 120)
-    source = tmp_path / "in"
-    for i in range(3):
-        spark.createDataFrame(rows[i * 40:(i + 1) * 40], TRADES).coalesce(1).write.parquet(str(source / f"part{i}"))
-    spark.conf.set("spark.sql.streaming.schemaInference", "true")
-    stream = spark.readStream.schema(TRADES).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(source))
-    out = str(tmp_path / "out")
-    jobs.drain(jobs.ledger_stream(stream), "update", lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"), str(tmp_path / "cp"))
-    expected = walk(rows, False)
-    last = {}
-    for r in spark.read.parquet(out).orderBy("batch").collect():
-        last[r.portfolio_id, r.ticker] = (r.shares, r.average_cost, r.accepted, r.rejected)
-    assert set(last) == set(expected)
-    assert all(last[k] == pytest.approx(expected[k]) for k in expected)
-
-
 def test_daily_stream_drops_late_rows(spark, tmp_path):
     day = lambda d: dt.datetime(2024, 1, d, 12)
     first = [(1, "a", "X", "BUY", 1.0, 1.0, 2.5, day(1), 10.0), (1, "b", "X", "BUY", 1.0, 1.0, 2.5, day(20), 20.0)]
@@ -80,16 +63,37 @@ def test_daily_stream_drops_late_rows(spark, tmp_path):
     for batch in (first, late):
         spark.createDataFrame(batch, TRADES).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(TRADES).parquet(source)
-        jobs.run_daily_trades(stream, out, str(tmp_path / "cp"))
+        late_rows = jobs.run_daily_trades(stream, out, str(tmp_path / "cp"))
+    assert late_rows == 1
     got = {r.day.day: r.volume for r in spark.read.parquet(out).collect()}
     assert got == {1: 10.0, 20: 20.0}
 
 
-def test_quote_cache_keeps_newest(spark, tmp_path):
-    schema = "ticker string, price double, change_percent double, recorded_at timestamp, quote_id long"
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for i, (price, hour) in enumerate([(1.0, 3), (2.0, 9), (3.0, 6)]):
-        spark.createDataFrame([("A", price, None, dt.datetime(2024, 1, 1, hour), i)], schema).write.mode("append").parquet(source)
-        jobs.run_quote_cache(spark.readStream.schema(schema).parquet(source), out, str(tmp_path / "cp"))
-    row = jobs.cached_quotes(spark, out).head()
-    assert (row.ticker, row.price) == ("A", 2.0)
+def test_a_mark_closes_the_open_days(spark, tmp_path):
+    day = lambda d: dt.datetime(2024, 1, d, 12)
+    rows = [(1, "a", "X", "BUY", 1.0, 1.0, 2.5, day(1), 10.0), (1, "b", "X", "BUY", 1.0, 1.0, 2.5, day(3), 20.0)]
+    source, marks, out = (str(tmp_path / x) for x in ("in", "marks", "out"))
+    spark.createDataFrame(rows, TRADES).coalesce(1).write.parquet(source)
+    stream = jobs.with_marks(spark.readStream.schema(TRADES).parquet(source), _made(spark, marks))
+    assert jobs.run_daily_trades(stream, out, str(tmp_path / "cp")) == 0
+    assert spark.read.schema("day timestamp").parquet(out).count() == 0  # both days are still open
+    jobs.write_mark(spark, stream.schema, marks, "executed_at", "2024-02-01")
+    jobs.run_daily_trades(stream, out, str(tmp_path / "cp"))
+    assert {r.day.day: r.volume for r in spark.read.parquet(out).collect()} == {1: 10.0, 3: 20.0}
+
+
+def _made(spark, folder):
+    jobs.write_mark(spark, spark.createDataFrame([], TRADES).schema, folder, "executed_at", None)
+    return folder
+
+
+def test_records_of_another_model_are_no_duplicates(spark, tmp_path):
+    schema = "provider string, model string, arm string, scenario string, run_id long, raw_response string, arrived_at timestamp"
+    when = dt.datetime(2024, 1, 1)
+    rows = [("p", m, "bare", "s", 1, "[]", when) for m in ("one", "two", "two")]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    fresh = stream.withWatermark("arrived_at", "1 day").dropDuplicatesWithinWatermark(list(jobs.RECORD_KEYS))
+    seen = []
+    jobs.drain(fresh, "append", lambda df, i: seen.extend(r.model for r in df.collect()), str(tmp_path / "cp"))
+    assert sorted(seen) == ["one", "two"]
