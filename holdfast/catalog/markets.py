@@ -203,6 +203,17 @@ def wn12(spark, sf):
     return schedule(returns(spark, sf)).select("study", "strategy", big("period"), "ticker", rnd("weight"))
 
 
+@query("WN12_training_covariance", """
+SELECT d.study, d.at AS period, a.ticker AS ticker_a, b.ticker AS ticker_b, round(covar_samp(a.ret, b.ret), 9) AS cov
+FROM (SELECT DISTINCT study, period AS at FROM rets WHERE period % 6 = 0 AND period >= 12) d
+JOIN rets a ON a.study = d.study AND a.period < d.at AND a.period >= d.at - 36
+JOIN rets b ON b.study = a.study AND b.period = a.period GROUP BY ALL""", ("rets",))
+def wn12c(spark, sf):
+    rets = cut_lineage(returns(spark, sf))
+    windows = al.rebalance_periods(rets, 6).filter("at >= 12").selectExpr("study", "at", "greatest(at - 36, 0) AS first")
+    return r.window_covariances(rets, windows).select("study", big("at").alias("period"), "ticker_a", "ticker_b", rnd("cov", 9))
+
+
 @query("WN13_walk_forward")
 def wn13(spark, sf):
     rets = cut_lineage(returns(spark, sf))

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.operators.returns import window_covariances
+
 # Stopping rule of the risk-parity iteration.
 MAX_ITERATIONS = 1000
 TOLERANCE = 1e-9
@@ -99,28 +101,18 @@ def training_matrices(
 ) -> DataFrame:
     """Shrunk covariance of the ``lookback`` periods before each rebalance date.
 
-    One row per (study, date): tickers in order and the flattened matrix. A ticker's training
-    series is an array of at most ``lookback`` values, and the pairs are formed inside the row.
+    One row per (study, date): tickers in order and the flattened matrix, put together from the cells of
+    ``returns.window_covariances``; no series of a study meets in one row.
     """
     dates = rebalance_periods(returns, every).filter(f"at >= {min_observations}")
-    train = dates.join(returns, "study").filter(f"period < at AND period >= at - {lookback}")
-    series = train.groupBy("study", "at", "ticker").agg(
-        F.expr("sort_array(collect_list(struct(period, ret))).ret AS x"), F.expr("avg(ret) AS m")
-    ).selectExpr("study", "at", "ticker", "transform(x, v -> v - m) AS x")
-    groups = series.groupBy("study", "at").agg(
-        F.expr("sort_array(collect_list(struct(ticker, x))) AS s")
-    )
-    dot = "aggregate(zip_with(p.x, q.x, (u, v) -> u * v), 0D, (acc, z) -> acc + z) / (size(p.x) - 1)"
-    plain = groups.selectExpr(
-        "study", "int(at) AS period", "s.ticker AS tickers",
-        f"transform(s, p -> transform(s, q -> {dot})) AS cov",
+    cells = window_covariances(returns, dates.selectExpr("study", "at", f"greatest(at - {lookback}, 0) AS first"))
+    matrices = cells.groupBy("study", "at").agg(
+        F.expr("sort_array(collect_list(struct(ticker_a, ticker_b, cov))) AS cells"),
+        F.expr("avg(if(ticker_a = ticker_b, cov, NULL)) AS avg_var"),
     )
-    k = "size(tickers)"
-    level = f"aggregate(sequence(0, {k} - 1), 0D, (acc, i) -> acc + cov[i][i]) / {k}"
-    return plain.selectExpr("*", f"{level} AS avg_var").selectExpr(
-        "study", "period", "tickers",
-        f"flatten(transform(cov, (line, i) -> transform(line, (v, j) -> "
-        f"{1.0 - shrinkage}D * v + if(i = j, {shrinkage}D * avg_var, 0D)))) AS sigma",
+    shrunk = f"{1.0 - shrinkage}D * c.cov + if(c.ticker_a = c.ticker_b, {shrinkage}D * avg_var, 0D)"
+    return matrices.selectExpr(
+        "study", "int(at) AS period", "array_distinct(cells.ticker_a) AS tickers", f"transform(cells, c -> {shrunk}) AS sigma"
     )
 
 

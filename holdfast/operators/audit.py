@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from holdfast.functions import fees as fee
 from holdfast.grouping import dealt_ranges
 
 RUN_SET = ("scenario", "advisor")
-SMALL_GROUP = 64
-SUBSET_LIMIT = 14
+#: Different sets of a run set that are compared in one row.
+BLOCK = 256
 
 ARM_ORDER = ("bare", "policy", "scaffold")
 
@@ -57,125 +59,81 @@ def violation_rows(verdicts: DataFrame) -> DataFrame:
     return verdicts.withColumn("violation", F.explode("violations")).drop("violations")
 
 
-def _in_row_overlap() -> Column:
-    """Sum of Jaccard over all pairs of distinct sets collected in ``sets`` (at most 64)."""
+def shared_histogram(sets: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFrame:
+    """How many pairs of runs of a run set have picks of sizes p and q with ``shared`` in common.
 
-    shared = f"{a.jaccard('x.e.picks', 'y.picks')} * x.e.copies * y.copies"
-    return F.expr(
-        "aggregate(transform(sets, (e, i) -> struct(e, i)), 0D, (total, x) -> total + "
-        f"aggregate(slice(sets, 1, x.i), 0D, (inner, y) -> inner + {shared}))"
-    )
-
-
-def _subsets(items: str) -> str:
-    """All non-empty subsets, each in the order of ``items``."""
-    return (
-        f"filter(aggregate({items}, array(cast(array() AS array<string>)), "
-        "(acc, x) -> concat(acc, transform(acc, s -> concat(s, array(x))))), s -> size(s) > 0)"
-    )
-
-
-def _binomial(n: str, k: str) -> str:
-    """C(n, k) as a running product (k is at least 1)."""
-    return f"aggregate(sequence(1, {k}), 1D, (acc, i) -> acc * ({n} - {k} + i) / i)"
-
-
-def _overlap_by_subsets(sets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Ordered-pair Jaccard totals of large groups, without forming the pairs.
-
-    For sets of sizes p and q the Jaccard index equals the sum, over their common non-empty
-    subsets T, of 1 / C(p + q - 1, |T|). Counting how many runs of each size contain each
-    subset therefore yields the total over all pairs, linear in the number of runs.
+    ``sets`` holds each different set of picks of a run set once: keys, picks, copies. The sets are dealt by hash into
+    blocks of about ``block``; each pair of blocks is one row, wherever it runs, and counts its pairs in one matrix
+    product over its own tickers. Only counts leave a task. Columns: keys, p, q, shared, pairs (of different sets).
     """
-    c = F.col
-    counts = (
-        sets.withColumn("subset", F.explode(F.expr(_subsets("array_sort(picks)"))))
-        .groupBy(*keys, "subset", "width")
-        .agg(F.sum("copies").alias("copies"))
-    )
-    per_subset = counts.groupBy(*keys, "subset").agg(
-        F.collect_list(F.struct("width", "copies")).alias("by_width")
-    )
-    total = (
-        "aggregate(by_width, 0D, (acc, p) -> acc + aggregate(by_width, 0D, (inner, q) -> inner + "
-        f"p.copies * q.copies / {_binomial('(p.width + q.width - 1)', 'size(subset)')}))"
-    )
-    return per_subset.groupBy(*keys).agg(F.sum(F.expr(total)).alias("ordered_total"))
-
-
-def _overlap_of_wide_sets(sets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Ordered-pair totals that involve a set too wide for subset counting."""
-    wide = sets.filter(F.col("width") > SUBSET_LIMIT).select(
-        *keys, F.col("picks").alias("wide_picks"), F.col("copies").alias("wide_copies")
-    )
-    paired = wide.join(sets, list(keys))
-    value = (
-        f"sum({a.jaccard('wide_picks', 'picks')} * wide_copies * copies "
-        f"* if(width > {SUBSET_LIMIT}, 1, 2)) AS wide_total"
+    keys = list(keys)
+    counts = sets.groupBy(*keys).agg(F.expr(f"1 + (count(*) - 1) div {block}").alias("_blocks"))
+    placed = sets.join(counts, keys).withColumn("_own", F.expr("pmod(xxhash64(picks), _blocks)"))
+    dealt = placed.withColumn("_other", F.explode(F.expr("sequence(0L, _blocks - 1)")))
+    rows = dealt.groupBy(*keys, F.least("_own", "_other").alias("_x"), F.greatest("_own", "_other").alias("_y")).agg(
+        F.collect_list(F.struct("_own", "picks", "copies")).alias("_sets")
     )
-    return paired.groupBy(*keys).agg(F.expr(value))
-
-
-def set_stability(
-    runs: DataFrame, keys: Sequence[str] = RUN_SET, small_group: int = SMALL_GROUP
-) -> DataFrame:
-    """Mean pairwise Jaccard of the picks in each run set; one run counts as stable.
-
-    Equal pick sets are merged with a count first. Groups with few distinct sets are compared
-    inside one row; larger groups use subset counting, so no group ever expands into pairs.
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sets.select(*keys).schema.fields)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = batch.column("_sets")
+            ends = members.value_lengths().to_numpy().cumsum()
+            flat = members.flatten()
+            own, copies = (flat.field(c).to_numpy() for c in ("_own", "copies"))
+            width = flat.field("picks").value_lengths().to_numpy()
+            tickers = flat.field("picks").flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            at = np.r_[0, width.cumsum()]
+            found, of = [], []
+            for i, end in enumerate(ends.tolist()):
+                start = int(ends[i - 1]) if i else 0
+                names, column = np.unique(tickers[at[start] : at[end]], return_inverse=True)
+                holds = np.zeros((end - start, len(names)), np.float32)
+                holds[np.repeat(np.arange(end - start), width[start:end]), column] = 1
+                first, second = np.triu_indices(end - start, 1)
+                crossed = batch.column("_x")[i] != batch.column("_y")[i]
+                if crossed:
+                    apart = own[start:end][first] != own[start:end][second]
+                    first, second = first[apart], second[apart]
+                shared = (holds @ holds.T)[first, second].astype(np.int64)
+                sizes, times = width[start:end].astype(np.int64), copies[start:end]
+                low, high = np.minimum(sizes[first], sizes[second]), np.maximum(sizes[first], sizes[second])
+                shape, where = np.unique(np.stack([low, high, shared]), axis=1, return_inverse=True)
+                pairs = np.zeros(shape.shape[1], np.int64)
+                np.add.at(pairs, where.ravel(), times[first] * times[second])
+                found.append(np.concatenate([shape, pairs[None]]))
+                of += [i] * shape.shape[1]
+            if of:
+                heads = batch.select(keys).take(pa.array(of))
+                numbers = [pa.array(column) for column in np.concatenate(found, axis=1)]
+                yield pa.RecordBatch.from_arrays([*heads.columns, *numbers], [*keys, "p", "q", "shared", "pairs"])
+
+    return rows.mapInArrow(count, f"{kinds}, p long, q long, shared long, pairs long")
+
+
+def set_stability(runs: DataFrame, keys: Sequence[str] = RUN_SET, block: int = BLOCK) -> DataFrame:
+    """Mean pairwise Jaccard of the picks in each run set; one run counts as stable, two empty ones as equal.
+
+    Equal pick sets are merged with a count first; the rest is a histogram of sizes and shared tickers.
     """
     c = F.col
     keys = list(keys)
-    # Null keys are dropped once and set sizes are carried as an aggregate, so every branch
-    # below reads the same shuffle of ``sets``.
     sets = (
         runs.dropna(subset=keys)
         .select(*keys, F.array_sort(F.expr(a.normalize_tickers("tickers"))).alias("picks"))
         .groupBy(*keys, "picks")
-        .agg(F.count(F.lit(1)).alias("copies"), F.max(F.size("picks")).alias("width"))
+        .agg(F.count(F.lit(1)).alias("copies"))
     )
     sizes = sets.groupBy(*keys).agg(
-        F.sum("copies").alias("runs"),
-        F.count(F.lit(1)).alias("distinct_sets"),
-        F.sum(c("copies") * (c("copies") - 1) / 2).alias("same_pairs"),
-        F.sum(F.when(c("width") == 0, c("copies") * (c("copies") - 1) / 2).otherwise(0)).alias(
-            "empty_pairs"
-        ),
-    )
-    sized = sets.join(sizes.select(*keys, "distinct_sets"), keys)
-    few = c("distinct_sets") <= small_group
-    small = (
-        sized.filter(few)
-        .groupBy(*keys)
-        .agg(F.collect_list(F.struct("picks", "copies")).alias("sets"))
-        .select(*keys, _in_row_overlap().alias("cross_total"))
+        F.sum("copies").alias("runs"), F.sum(c("copies") * (c("copies") - 1) / 2).alias("same_pairs")
     )
-    large = sized.filter(~few & (c("width") > 0))
-    counted = _overlap_by_subsets(large.filter(c("width") <= SUBSET_LIMIT), keys)
-    wide = _overlap_of_wide_sets(large, keys)
-    narrow_filled = large.groupBy(*keys).agg(F.sum("copies").alias("_filled"))
-    big = (
-        narrow_filled.join(counted, keys, "left")
-        .join(wide, keys, "left")
-        .select(
-            *keys,
-            (
-                F.coalesce("ordered_total", F.lit(0.0)) + F.coalesce("wide_total", F.lit(0.0))
-                - c("_filled")
-            ).alias("_ordered"),
-        )
+    overlap = shared_histogram(sets, keys, block).groupBy(*keys).agg(
+        F.expr("sum(pairs * shared / greatest(p + q - shared, 1))").alias("overlap")
     )
     pairs = c("runs") * (c("runs") - 1) / 2
-    overlap = F.when(few, c("same_pairs") + F.coalesce("cross_total", F.lit(0.0))).otherwise(
-        c("empty_pairs") + F.coalesce("_ordered", F.lit(0.0)) / 2
-    )
-    return (
-        sizes.join(small, keys, "left")
-        .join(big, keys, "left")
-        .select(
-            *keys, "runs",
-            F.coalesce(F.try_divide(overlap, pairs), F.lit(1.0)).alias("set_stability"),
-        )
+    total = c("same_pairs") + F.coalesce("overlap", F.lit(0.0))
+    return sizes.join(overlap, keys, "left").select(
+        *keys, "runs", F.coalesce(F.try_divide(total, pairs), F.lit(1.0)).alias("set_stability")
     )
 
 

@@ -84,7 +84,8 @@ def run_walk_forward(returns: DataFrame, schedule: DataFrame, cost_rate: float =
         .withColumn("period", F.expr("explode(sequence(segment, end_period))"))
         .select(*SERIES, "segment", "end_period", "period")
     )
-    rows = spans.join(schedule.withColumnRenamed("period", "segment"), [*SERIES, "segment"]).join(
+    targets = r.checked_weights(returns, schedule).withColumnRenamed("period", "segment")
+    rows = spans.join(targets, [*SERIES, "segment"]).join(
         returns.select("study", "ticker", "period", "ret"), ["study", "ticker", "period"]
     )
     curve = _grown(rows).groupBy(*SERIES, "segment", "end_period", "period").agg(

@@ -6,9 +6,16 @@ only, so windows over one series stay small however many studies there are.
 
 from __future__ import annotations
 
+from typing import Any
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Tickers of a study whose covariances with another such block are one cell of work.
+TICKER_BLOCK = 64
+
 
 def align_prices(prices: DataFrame) -> DataFrame:
     """Keep dates on which every ticker of the study has a positive price (two at least)."""
@@ -34,16 +41,18 @@ def simple_returns(prices: DataFrame) -> DataFrame:
 
 
 def normalize_weights(weights: DataFrame) -> DataFrame:
-    """Scale each strategy's positive weights to one; a negative weight fails the job."""
+    """Scale each strategy's positive weights to one; a negative weight, or none above zero, fails the job."""
     checked = weights.withColumn(
         "weight",
         F.expr("if(weight < 0, raise_error('target weights must be non-negative'), weight)"),
-    ).filter("weight > 0")
+    )
     totals = checked.groupBy("study", "strategy").agg(F.sum("weight").alias("_total"))
+    none = "raise_error(concat('no weight above zero in ', study, ' ', strategy))"
     return (
         checked.join(totals, ["study", "strategy"])
-        .withColumn("weight", F.expr("weight / _total"))
+        .withColumn("weight", F.expr(f"if(_total > 0, weight / _total, {none})"))
         .drop("_total")
+        .filter("weight > 0")
     )
 
 
@@ -55,12 +64,31 @@ def equal_weights(tickers: DataFrame, strategy: str = "equal") -> DataFrame:
     )
 
 
+def checked_weights(returns: DataFrame, weights: DataFrame) -> DataFrame:
+    """``weights``, failing the job with the name of a ticker whose returns are missing or misaligned.
+
+    The weighted tickers of a study need returns for the same periods: as many as the longest series, and the same
+    ones (compared by a combined hash of the periods).
+    """
+    weighted = weights.select("study", "ticker").distinct()
+    series = returns.groupBy("study", "ticker").agg(
+        F.struct(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(period))").alias("h")).alias("_have")
+    )
+    found = weighted.join(series, ["study", "ticker"], "left")
+    whole = found.groupBy("study").agg(F.max("_have").alias("_whole"))
+    fault = (
+        "CASE WHEN _have IS NULL THEN raise_error(concat('no returns for ', ticker, ' in ', study)) "
+        "WHEN _have <> _whole THEN raise_error(concat('returns of ', ticker, ' in ', study, ' miss periods of other tickers')) "
+        "ELSE ticker END"
+    )
+    sound = found.join(whole, "study").select("study", "ticker", F.expr(fault).alias("_sound"))
+    kept = weights.join(sound, ["study", "ticker"])
+    return kept.withColumn("ticker", F.col("_sound")).drop("_sound")
+
+
 def joined_weights(returns: DataFrame, weights: DataFrame) -> DataFrame:
-    """Returns of the weighted tickers; a weight without any return fails the job with the ticker's name."""
-    have = returns.select("study", "ticker").distinct().withColumn("_have", F.lit(True))
-    missing = "if(_have IS NULL, raise_error(concat('no returns for ', ticker, ' in ', study)), ticker)"
-    checked = weights.join(have, ["study", "ticker"], "left").withColumn("ticker", F.expr(missing)).drop("_have")
-    return returns.join(checked, ["study", "ticker"])
+    """Returns of the weighted tickers, which have to be complete and aligned."""
+    return returns.join(checked_weights(returns, weights), ["study", "ticker"])
 
 
 def fixed_weight_returns(returns: DataFrame, weights: DataFrame) -> DataFrame:
@@ -149,30 +177,68 @@ def turnover(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def covariance(returns: DataFrame, shrinkage: float = 0.0) -> DataFrame:
-    """Sample covariance per ordered ticker pair, optionally shrunk to a constant variance.
+def window_covariances(returns: DataFrame, windows: DataFrame, block: int = TICKER_BLOCK) -> DataFrame:
+    """Sample covariance per ordered ticker pair over the periods from ``first`` to before ``at`` of each window.
 
-    Each ticker's demeaned series becomes one array (as long as the calendar), so the join
-    forms one row per cell of the result rather than one per cell and period.
+    ``windows``: study, at, first. The tickers of a study are dealt into blocks of about ``block``, and each pair of
+    blocks is one cell (study, x, y) that runs anywhere. A cell sums x, y and x * y once over the calendar, up to each
+    bound of a window; a window is the difference of two such sums. Series are centred first, so the difference loses
+    no digits that matter. A ticker without a return in a period of its study fails the job with its name.
+    Columns: study, at, ticker_a, ticker_b, cov.
     """
+    tickers = returns.select("study", "ticker").distinct()
+    counts = tickers.groupBy("study").agg(F.expr(f"1 + (count(*) - 1) div {block}").alias("blocks"))
+    placed = tickers.join(counts, "study").withColumn("own", F.expr("pmod(xxhash64(ticker), blocks)"))
+    dealt = placed.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
+        "study", "ticker", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
+    )
+    series = returns.select("study", "ticker", "period", "ret").join(dealt, ["study", "ticker"])
+    cells = dealt.select("study", "x", "y").distinct().join(windows.select("study", "at", "first"), "study")
+    cells = cells.selectExpr("study AS w_study", "x AS w_x", "y AS w_y", "at", "first")
+    study = returns.schema["study"].dataType.simpleString()
+
+    def cell(key: tuple[Any, ...], rows: pd.DataFrame, bounds: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"study": [], "at": [], "ticker_a": [], "ticker_b": [], "cov": []})
+        if not len(rows) or not len(bounds):
+            return empty
+        wide = rows.pivot(index="period", columns="ticker", values="ret")
+        if wide.isna().to_numpy().any():
+            raise ValueError(f"returns of {wide.columns[wide.isna().any()][0]} in {key[0]} miss periods of other tickers")
+        own = rows.drop_duplicates("ticker").set_index("ticker")["own"]
+        names_x = sorted(own.index[own == key[1]])
+        names_y = sorted(own.index[own == key[2]])
+        wide = wide - wide.mean()
+        x, y, periods = wide[names_x].to_numpy(), wide[names_y].to_numpy(), wide.index.to_numpy()
+        low, high = (np.searchsorted(periods, bounds[c].to_numpy()) for c in ("first", "at"))
+        marks = np.unique(np.r_[0, low, high])
+        sums = [np.zeros((len(names_x), 1)), np.zeros((1, len(names_y))), np.zeros((len(names_x), len(names_y)))]
+        until = {0: list(sums)}
+        for a, b in zip(marks, marks[1:]):
+            part = (x[a:b].sum(0)[:, None], y[a:b].sum(0)[None], x[a:b].T @ y[a:b])
+            sums = [s + p for s, p in zip(sums, part)]
+            until[int(b)] = sums
+        out = []
+        for at, a, b in zip(bounds["at"], low.tolist(), high.tolist()):
+            if b - a < 2:
+                continue
+            sx, sy, sxy = (end - start for end, start in zip(until[b], until[a]))
+            cov = (sxy - sx * sy / (b - a)) / (b - a - 1)
+            pairs = {"study": key[0], "at": at, "ticker_a": np.repeat(names_x, len(names_y)), "ticker_b": np.tile(names_y, len(names_x)), "cov": cov.ravel()}
+            out.append(pd.DataFrame(pairs))
+            if key[1] != key[2]:
+                out.append(out[-1].rename(columns={"ticker_a": "ticker_b", "ticker_b": "ticker_a"})[list(empty)])
+        return pd.concat(out) if out else empty
+
+    grouped = series.groupBy("study", "x", "y").cogroup(cells.groupBy("w_study", "w_x", "w_y"))
+    return grouped.applyInPandas(cell, f"study {study}, at long, ticker_a string, ticker_b string, cov double")
+
+
+def covariance(returns: DataFrame, shrinkage: float = 0.0) -> DataFrame:
+    """Sample covariance per ordered ticker pair, optionally shrunk to a constant variance."""
     if not 0.0 <= shrinkage <= 1.0:
         raise ValueError("shrinkage must be between 0 and 1")
-    series = returns.groupBy("study", "ticker").agg(
-        F.expr("sort_array(collect_list(struct(period, ret))).ret AS x"), F.expr("avg(ret) AS m")
-    ).selectExpr("study", "ticker", "transform(x, v -> v - m) AS x")
-    left = series.withColumnsRenamed({"ticker": "ticker_a", "x": "xa"})
-    right = series.withColumnsRenamed({"ticker": "ticker_b", "x": "xb"})
-    dot = "aggregate(zip_with(xa, xb, (u, v) -> u * v), 0D, (acc, p) -> acc + p)"
-    half = left.join(right, "study").filter("ticker_a <= ticker_b").selectExpr(
-        "study", "ticker_a", "ticker_b", f"{dot} / (size(xa) - 1) AS cov"
-    )
-    both = half.withColumn(
-        "cell",
-        F.expr(
-            "explode(if(ticker_a = ticker_b, array(struct(ticker_a AS a, ticker_b AS b)), "
-            "array(struct(ticker_a AS a, ticker_b AS b), struct(ticker_b AS a, ticker_a AS b))))"
-        ),
-    ).selectExpr("study", "cell.a AS ticker_a", "cell.b AS ticker_b", "cov")
+    whole = returns.groupBy("study").agg(F.expr("max(period) + 1 AS at"), F.expr("min(period) AS first"))
+    both = window_covariances(returns, whole).drop("at")
     if shrinkage == 0.0:
         return both
     level = both.filter("ticker_a = ticker_b").groupBy("study").agg(F.avg("cov").alias("avg_var"))

@@ -1,3 +1,4 @@
+import numpy as np
 import random
 from itertools import combinations
 
@@ -93,10 +94,10 @@ def jaccard(x, y):
 
 
 def test_set_stability_matches_pairs(spark):
-    """All three routes: in-row, subset counts and wide sets; one group dominates."""
+    """One block and many; one group dominates."""
     runs, rows = sample_runs(spark, 3, [("hot", 60, 6), ("wide", 25, 17), ("one", 1, 3), ("few", 4, 4)])
     for limit in (64, 2):
-        got = {r.scenario: r.set_stability for r in o.set_stability(runs, small_group=limit).collect()}
+        got = {r.scenario: r.set_stability for r in o.set_stability(runs, block=limit).collect()}
         for group in ("hot", "wide", "one", "few"):
             picks = [r[3] for r in rows if r[0] == group]
             pairs = [jaccard(x, y) for x, y in combinations(picks, 2)]
@@ -143,3 +144,30 @@ def test_codes_follow_the_picks(spark):
                               "already_owned:C", "ticker_not_allowed:Y"]
     with pytest.raises(Exception, match="unknown scenario: s"):
         o.run_verdicts(runs, scen.withColumn("scenario", F.lit("t"))).collect()
+
+
+def test_set_stability_of_many_wide_sets(spark):
+    """5,000 different sets of 20 tickers in one run set, in many block pairs."""
+    rng = np.random.default_rng(3)
+    holds = np.zeros((5000, 60), bool)
+    for row in holds:
+        row[rng.choice(60, 20, replace=False)] = True
+    rows = [("s", "x", [f"T{i}" for i in np.flatnonzero(row)]) for row in holds]
+    rows += [("s", "x", rows[0][2])] * 3 + [("t", "x", [])] * 2 + [("t", "x", ["A"]), ("u", "x", ["A"]), (None, "x", ["A"])]
+    runs = spark.createDataFrame(rows, "scenario string, advisor string, tickers array<string>")
+    got = {r.scenario: (r.runs, r.set_stability) for r in o.set_stability(runs).collect()}
+    whole = np.concatenate([holds, np.repeat(holds[:1], 3, 0)]).astype(np.float32)
+    shared = (whole @ whole.T)[np.triu_indices(len(whole), 1)]
+    assert got["s"] == (5003, pytest.approx(float((shared / (40 - shared)).mean()), rel=1e-6))
+    assert got["t"] == (3, pytest.approx(1 / 3)) and got["u"] == (1, 1.0) and len(got) == 3
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_block_size_does_not_change_the_counts(spark, block):
+    rng = np.random.default_rng(block)
+    rows = [("s", "x", [f"T{i}" for i in rng.choice(9, int(rng.integers(0, 6)), replace=False)]) for _ in range(40)]
+    runs = spark.createDataFrame(rows, "scenario string, advisor string, tickers array<string>")
+    sets = [set(r[2]) for r in rows]
+    scores = [1.0 if not x | y else len(x & y) / len(x | y) for i, x in enumerate(sets) for y in sets[:i]]
+    got = o.set_stability(runs, block=block).collect()
+    assert [r.set_stability for r in got] == [pytest.approx(sum(scores) / len(scores))]

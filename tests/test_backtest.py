@@ -145,3 +145,43 @@ def test_weight_without_returns_fails(spark):
     for run in (bt.run_backtest, r.fixed_weight_returns):
         with pytest.raises(Exception, match="no returns for B in s"):
             run(rets, weights).collect()
+
+
+def test_misaligned_returns_fail(spark):
+    """B lacks a period: neither a back-test nor a walk-forward goes on with what is left."""
+    schema = "study string, ticker string, period int, ret double"
+    rows = [("s", t, i, 0.1) for t in "AB" for i in range(3)]
+    broken = spark.createDataFrame([x for x in rows if x[1:3] != ("B", 1)], schema)
+    shifted = spark.createDataFrame([("s", t, i + (t == "B"), 0.1) for _, t, i, _ in rows], schema)
+    for returns in (broken, shifted):
+        with pytest.raises(Exception, match="of [AB] in s miss periods"):
+            bt.run_backtest(returns, weights_df(spark, {"A": 0.5, "B": 0.5})).collect()
+        with pytest.raises(Exception, match="of [AB] in s miss periods"):
+            r.fixed_weight_returns(returns, weights_df(spark, {"A": 0.5, "B": 0.5})).collect()
+    whole = spark.createDataFrame(rows, schema)
+    plan = weights_df(spark, {"A": 0.5, "C": 0.5}).selectExpr("*", "0 AS period")
+    with pytest.raises(Exception, match="no returns for C in s"):
+        bt.run_walk_forward(whole, plan).collect()
+    assert curve(bt.run_backtest(whole, weights_df(spark, {"A": 1.0, "B": 0.0})))[-1][0] == pytest.approx(1.1**3)
+
+
+def test_weights_that_are_all_zero_fail(spark):
+    returns, _ = make(spark, 2, 4)
+    with pytest.raises(Exception, match="no weight above zero in s w"):
+        bt.run_backtest(returns, weights_df(spark, {"A": 0.0, "B": 0.0})).collect()
+
+
+@pytest.mark.parametrize("block", [2, 64])
+def test_window_covariances_match_numpy(spark, block):
+    returns, data = make(spark, 5, 40, tuple("ABCDEFG"))
+    windows = spark.createDataFrame([("s", 10, 0), ("s", 25, 5), ("s", 40, 38), ("s", 1, 0)], "study string, at int, first int")
+    got = {(c.at, c.ticker_a, c.ticker_b): c.cov for c in r.window_covariances(returns, windows, block).collect()}
+    names = sorted(data)
+    for at, first in ((10, 0), (25, 5), (40, 38)):
+        sigma = np.cov([data[t][first:at] for t in names])
+        for i, a in enumerate(names):
+            for j, b in enumerate(names):
+                assert got.pop((at, a, b)) == pytest.approx(sigma[i, j], abs=1e-15)
+    assert not got
+    with pytest.raises(Exception, match="returns of B in s miss periods"):
+        r.window_covariances(returns.filter("NOT (ticker = 'B' AND period = 3)"), windows).collect()
