@@ -88,7 +88,7 @@ class UnitEncoder:
     encoded whole.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 400_000):
+    def __init__(self, path: str, end_id: int, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -126,7 +126,9 @@ class UnitEncoder:
         new = parts.difference(known)
         plain, broken, tailed = set(), [], []
         for p in new:
-            if not p or p[0].isspace() or p[-1].isspace() or "<|" in p:
+            if p.isalpha():
+                plain.add(p)
+            elif not p or p[0].isspace() or p[-1].isspace() or "<|" in p:
                 known[p] = None
             elif "\n" in p:
                 broken.append((p, p.split("\n")))
@@ -154,10 +156,11 @@ class UnitEncoder:
             self.firsts.clear()
         split = [t.split(" ") for t in texts]
         self._learn(self.firsts, {s[0] for s in split}, "")
-        parts = set().union(*split)
+        parts = set().union(*split).difference(self.units)
         if self.older:
-            again = (parts & self.older.keys()) - self.units.keys()
-            self.units.update((p, self.older[p]) for p in again)
+            again = parts.intersection(self.older)
+            self.units.update(zip(again, map(self.older.__getitem__, again)))
+            parts -= again
         self._learn(self.units, parts, " ")
         of, out = self.units.__getitem__, []
         for text, parts in zip(texts, split):
