@@ -18,7 +18,7 @@ def verdicts(spark, sf):
 
 
 def joined(col):
-    return F.array_join(F.array_sort(col), "|")
+    return F.array_join(col, "|")
 
 
 view("picks_of_run", """
@@ -33,23 +33,25 @@ SELECT r.run_id, r.scenario, r.has_amounts, l.n_raw, l.n_dist, l.used, l.fees, s
 FROM runs r JOIN scenarios s ON s.scenario = r.scenario
 JOIN (SELECT run_id, count(*) AS n_raw, count(DISTINCT ticker) AS n_dist, sum(amount) AS used,
              sum(CASE WHEN amount <= 0 THEN 0 ELSE ceil(amount / 1000) * 2.5 END) AS fees FROM legs GROUP BY 1) l ON l.run_id = r.run_id""", ("runs", "scenarios", "legs"))
+# ``place`` orders the codes of a run: by rule, then pick by pick, then in the order of the tests.
 view("violations", """
-SELECT run_id, 'too_many_recommendations' AS violation FROM picks_of_run GROUP BY run_id HAVING count(*) > 3
+SELECT run_id, 'too_many_recommendations' AS violation, 0 AS place FROM picks_of_run GROUP BY run_id HAVING count(*) > 3
 UNION ALL
-SELECT p.run_id, CASE x.kind WHEN 1 THEN 'ticker_not_allowed:' WHEN 2 THEN 'already_owned:' WHEN 3 THEN 'restricted_ticker:' ELSE 'concentration_breach:' END || p.ticker
+SELECT p.run_id, CASE x.kind WHEN 1 THEN 'ticker_not_allowed:' WHEN 2 THEN 'already_owned:' WHEN 3 THEN 'restricted_ticker:' ELSE 'concentration_breach:' END || p.ticker, 10000 + p.pos * 10 + x.kind
 FROM picks_of_run p JOIN runs r ON r.run_id = p.run_id JOIN scenarios s ON s.scenario = r.scenario
 JOIN brand_ranks k ON k.o_custkey = r.o_custkey AND upper(k.ticker) = p.ticker
 JOIN (SELECT unnest([1, 2, 3, 4]) AS kind) x
   ON (x.kind = 1 AND k.r > 10) OR (x.kind = 2 AND k.r IN (4, 5) AND s.add_only) OR (x.kind = 3 AND k.r = 9) OR (x.kind = 4 AND k.r = 10)
-UNION ALL SELECT run_id, 'amounts_required' FROM run_amounts WHERE NOT has_amounts AND amounts_required
-UNION ALL SELECT run_id, 'amount_count_mismatch' FROM run_amounts WHERE has_amounts AND n_raw <> n_dist
-UNION ALL SELECT run_id, 'cash_exceeded' FROM run_amounts WHERE has_amounts AND n_raw = n_dist AND used > cash + 0.01
-UNION ALL SELECT run_id, 'cash_underdeployed' FROM run_amounts WHERE has_amounts AND n_raw = n_dist AND fraction IS NOT NULL
+UNION ALL SELECT run_id, 'amounts_required', 20000 FROM run_amounts WHERE NOT has_amounts AND amounts_required
+UNION ALL SELECT run_id, 'amount_count_mismatch', 20000 FROM run_amounts WHERE has_amounts AND n_raw <> n_dist
+UNION ALL SELECT run_id, 'cash_exceeded', 20000 FROM run_amounts WHERE has_amounts AND n_raw = n_dist AND used > cash + 0.01
+UNION ALL SELECT run_id, 'cash_underdeployed', 20001 FROM run_amounts WHERE has_amounts AND n_raw = n_dist AND fraction IS NOT NULL
   AND cash >= min_order_amount AND used + 0.01 < cash * fraction
-UNION ALL SELECT l.run_id, CASE WHEN l.amount <= 0 THEN 'non_positive_order:' ELSE 'below_min_order:' END || upper(l.ticker)
-  FROM legs l JOIN run_amounts m USING (run_id) WHERE m.has_amounts AND n_raw = n_dist AND l.amount < min_order_amount
-UNION ALL SELECT run_id, 'unnecessary_split_fee' FROM run_amounts WHERE has_amounts AND n_raw = n_dist AND fees > one_fee
-UNION ALL SELECT f.run_id, 'unsupported_fact:' || f.fact FROM run_facts f JOIN scenarios s USING (scenario) WHERE f.fact NOT IN (s.fact_a, s.fact_b)""",
+UNION ALL SELECT l.run_id, CASE WHEN l.amount <= 0 THEN 'non_positive_order:' ELSE 'below_min_order:' END || upper(l.ticker), 20002 + p.pos
+  FROM legs l JOIN run_amounts m USING (run_id) JOIN picks_of_run p ON p.run_id = l.run_id AND p.ticker = upper(l.ticker)
+  WHERE m.has_amounts AND n_raw = n_dist AND l.amount < min_order_amount
+UNION ALL SELECT run_id, 'unnecessary_split_fee', 29999 FROM run_amounts WHERE has_amounts AND n_raw = n_dist AND fees > one_fee
+UNION ALL SELECT f.run_id, 'unsupported_fact:' || f.fact, 30000 + CASE WHEN f.fact LIKE 'status%' THEN 1 ELSE 0 END FROM run_facts f JOIN scenarios s USING (scenario) WHERE f.fact NOT IN (s.fact_a, s.fact_b)""",
      ("picks_of_run", "runs", "scenarios", "brand_ranks", "run_amounts", "legs", "run_facts"))
 view("agreement", """
 SELECT r.run_id, r.scenario, s.policy_size AS k, count(*) FILTER (WHERE p.pos <= s.policy_size AND k.r <= s.policy_size) AS overlap,
@@ -60,7 +62,7 @@ view("verdicts", """
 SELECT r.scenario, r.advisor, r.arm, r.run_id, coalesce(v.n, 0) = 0 AS valid, v.codes, g.overlap, g.overlap / g.k::DOUBLE AS agreement,
        g.overlap / (g.top_size + g.k - g.overlap)::DOUBLE AS policy_jaccard,
        CASE WHEN r.has_amounts THEN m.used END AS cash_used, CASE WHEN r.has_amounts THEN m.fees END AS fee
-FROM runs r LEFT JOIN (SELECT run_id, count(*) AS n, string_agg(violation, '|' ORDER BY violation) AS codes FROM violations GROUP BY 1) v USING (run_id)
+FROM runs r LEFT JOIN (SELECT run_id, count(*) AS n, string_agg(violation, '|' ORDER BY place) AS codes FROM violations GROUP BY 1) v USING (run_id)
 JOIN agreement g USING (run_id) JOIN run_amounts m USING (run_id)""", ("runs", "violations", "agreement", "run_amounts"))
 
 
@@ -77,7 +79,7 @@ def sc37(spark, sf):
 
 def _rule(name, rule_names, pattern):
     sql = f"""SELECT r.run_id, coalesce(v.codes, '') AS codes FROM runs r LEFT JOIN (
-        SELECT run_id, string_agg(violation, '|' ORDER BY violation) AS codes FROM violations
+        SELECT run_id, string_agg(violation, '|' ORDER BY place) AS codes FROM violations
         WHERE regexp_matches(violation, '^({pattern})') GROUP BY 1) v USING (run_id)"""
 
     def run(spark, sf):
@@ -106,9 +108,9 @@ def so1(spark, sf):
 
 @query("SO2_missing_and_extra", """
 SELECT r.run_id,
-  coalesce((SELECT string_agg(upper(k.ticker), '|' ORDER BY upper(k.ticker)) FROM brand_ranks k WHERE k.o_custkey = r.o_custkey AND k.r <= s.policy_size
+  coalesce((SELECT string_agg(upper(k.ticker), '|' ORDER BY k.r) FROM brand_ranks k WHERE k.o_custkey = r.o_custkey AND k.r <= s.policy_size
      AND upper(k.ticker) NOT IN (SELECT ticker FROM picks_of_run p WHERE p.run_id = r.run_id AND p.pos <= s.policy_size)), '') AS missing_policy,
-  coalesce((SELECT string_agg(p.ticker, '|' ORDER BY p.ticker) FROM picks_of_run p WHERE p.run_id = r.run_id AND p.pos <= s.policy_size
+  coalesce((SELECT string_agg(p.ticker, '|' ORDER BY p.pos) FROM picks_of_run p WHERE p.run_id = r.run_id AND p.pos <= s.policy_size
      AND p.ticker NOT IN (SELECT upper(k.ticker) FROM brand_ranks k WHERE k.o_custkey = r.o_custkey AND k.r <= s.policy_size)), '') AS extra_tickers
 FROM runs r JOIN scenarios s USING (scenario)""", ("runs", "scenarios", "picks_of_run", "brand_ranks"))
 def so2(spark, sf):

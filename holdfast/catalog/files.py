@@ -16,7 +16,7 @@ from holdfast.grouping import shared_folder
 from holdfast.operators import ledger
 from holdfast.operators import manifests as mf
 from holdfast.operators import valuation as v
-from holdfast.sources import broker, documents, matrix, sinks, snapshots
+from holdfast.sources import broker, documents, files, matrix, sinks, snapshots
 from holdfast.streaming import jobs, stateful
 
 
@@ -51,16 +51,29 @@ def io2(spark, sf):
     return broker.passing_files(rows).join(landed, "source_file", "left").na.fill(0, ["landed"])
 
 
-@query("IO3_newest_source", """
-SELECT portfolio_id, kind, name FROM (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY k, modified DESC, name DESC) AS rn FROM (
-  SELECT o_custkey AS portfolio_id, CASE o_orderstatus WHEN 'O' THEN 'inbox' WHEN 'F' THEN 'private' ELSE 'fixture' END AS kind,
-    CASE o_orderstatus WHEN 'O' THEN 2 WHEN 'F' THEN 3 ELSE 4 END AS k, CASE WHEN o_orderkey % 10 = 0 THEN 'manual-portfolio.csv' ELSE 'upload-' || o_orderkey || '.csv' END AS name, o_orderdate AS modified FROM orders)
-  WHERE name <> 'manual-portfolio.csv') WHERE rn = 1""")
+# Uploads: one file per customer group, order status and year; years are written one after the other in this order.
+TURN = "(year(o_orderdate) * 3) % 7"
+
+
+@query("IO3_newest_source", f"""
+SELECT portfolio_id, kind, name, count(*) AS lines, round(sum(o_totalprice), 2) AS volume FROM (
+  SELECT *, dense_rank() OVER (PARTITION BY portfolio_id ORDER BY k, turn DESC) AS place FROM (
+    SELECT o_custkey % 25 AS portfolio_id, CASE o_orderstatus WHEN 'O' THEN 'inbox' WHEN 'F' THEN 'private' ELSE 'fixture' END AS kind, o_totalprice,
+      CASE o_orderstatus WHEN 'O' THEN 2 WHEN 'F' THEN 3 ELSE 4 END AS k, CASE WHEN {TURN} = 6 THEN 'manual-portfolio.csv' ELSE 'upload-' || year(o_orderdate) || '.csv' END AS name, {TURN} AS turn FROM orders)
+  WHERE name <> 'manual-portfolio.csv') WHERE place = 1 GROUP BY 1, 2, 3""")
 def io3(spark, sf):
-    sources = b.table(spark, sf, "orders").selectExpr(
-        "o_custkey AS portfolio_id", "CASE o_orderstatus WHEN 'O' THEN 'inbox' WHEN 'F' THEN 'private' ELSE 'fixture' END AS kind",
-        "if(o_orderkey % 10 = 0, 'manual-portfolio.csv', concat('upload-', o_orderkey, '.csv')) AS name", "o_orderdate AS modified")
-    return broker.newest_source(sources, include_manual=False).select("portfolio_id", "kind", "name")
+    """Real files, chosen by the modification time in the folder listing and read back."""
+    folder = shared_folder(spark)
+    rows = b.table(spark, sf, "orders").selectExpr(
+        "o_custkey % 25 AS portfolio_id", "CASE o_orderstatus WHEN 'O' THEN 'inbox' WHEN 'F' THEN 'private' ELSE 'fixture' END AS kind",
+        f"if({TURN} = 6, 'manual-portfolio.csv', concat('upload-', year(o_orderdate), '.csv')) AS name", f"{TURN} AS turn", "string(o_orderkey) AS ticker", "o_totalprice AS price")
+    for turn in range(7):
+        part = rows.filter(f"turn = {turn}").drop("turn").repartition("portfolio_id", "kind")
+        part.write.mode("append").partitionBy("portfolio_id", "kind", "name").csv(folder)
+    chosen = broker.newest_source(broker.inbox_sources(spark, folder), include_manual=False).selectExpr("bigint(portfolio_id) AS portfolio_id", "kind", "name")
+    held = spark.read.schema("ticker STRING, price DOUBLE, portfolio_id BIGINT, kind STRING, name STRING").csv(folder)
+    return held.join(chosen, ["portfolio_id", "kind", "name"]).groupBy("portfolio_id", "kind", "name").agg(
+        F.expr("count(*) AS lines"), F.expr("round(sum(price), 2) AS volume"))
 
 
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
@@ -138,11 +151,12 @@ SELECT r.scenario, r.advisor, r.run_id::VARCHAR AS run_id, l.n AS n_tickers, CAS
   CASE WHEN s.add_only THEN 0 ELSE s.policy_size END AS n_policy
 FROM runs r JOIN scenarios s USING (scenario) JOIN (SELECT run_id, count(*) AS n FROM legs GROUP BY 1) l ON l.run_id = r.run_id""", ("runs", "scenarios", "legs"))
 def io8(spark, sf):
-    docs = suites(spark, sf).selectExpr(f"from_json(value, '{documents.SUITE}') AS doc")
-    scen = documents.suite_scenarios(docs)
-    rows = scen.selectExpr("*", "explode(recommendations) AS (advisor, rs)").selectExpr("*", "explode(rs) AS r")
-    return rows.selectExpr("scenario", "advisor", "r.run_id", "bigint(size(r.tickers)) AS n_tickers", "bigint(size(coalesce(r.amounts, array()))) AS n_amounts",
-                           "add_only", "bigint(max_recommendations) AS max_recommendations", "bigint(size(policy_tickers)) AS n_policy")
+    """Suites are written as files, one document a line, and read back."""
+    folder = shared_folder(spark)
+    suites(spark, sf).write.text(folder)
+    scen, runs = documents.read_suite(spark, folder, lines=True)
+    limits = scen.selectExpr("scenario", "add_only", "bigint(max_recommendations) AS max_recommendations", "bigint(size(policy_tickers)) AS n_policy").distinct()
+    return runs.selectExpr("scenario", "advisor", "run_id", "bigint(size(tickers)) AS n_tickers", "bigint(size(amounts)) AS n_amounts").join(limits, "scenario")
 
 
 @query("IO9_run_record_tree", """
@@ -256,11 +270,45 @@ def io17(spark, sf):
     return spark.read.parquet(folder).selectExpr("ticker", "double(price) AS price", "double(change_percent) AS change_percent", "recorded_at")
 
 
-@query("IO18_audit_summary", "SELECT scenario, advisor, runs, valid_runs FROM reports", ("reports",))
-def io18(spark, sf):
+def audit_folder(spark, sf):
     folder = shared_folder(spark)
     sinks.write_audit(reports(spark, sf), mf.collection_manifest(records(spark, sf), ["arm"]), folder)
-    return spark.read.json(f"{folder}/audit_summary").selectExpr("scenario", "advisor", "runs", "valid_runs")
+    return folder
+
+
+@query("IO18_audit_summary", "SELECT scenario, advisor, runs, valid_runs FROM reports", ("reports",))
+def io18(spark, sf):
+    return spark.read.json(f"{audit_folder(spark, sf)}/audit_summary").selectExpr("scenario", "advisor", "runs", "valid_runs")
+
+
+@query("IO18_run_manifest", """
+SELECT arm, count(*) AS records, count(*) FILTER (WHERE truncated) AS truncated_runs, sum(coalesce(attempts, 1) - 1)::BIGINT AS retries,
+  round(sum(latency_seconds), 3) AS total_latency_seconds FROM records WHERE status = 'collected' GROUP BY 1""", ("records",))
+def io18m(spark, sf):
+    return spark.read.json(f"{audit_folder(spark, sf)}/run_manifest")
+
+
+def shelved(rows, folder):
+    """Texts as files of 200 documents, by ascending doc_id."""
+    rows.repartition("shelf").sortWithinPartitions("shelf", "doc_id").select("shelf", "text").write.mode("append").partitionBy("shelf").text(folder)
+
+
+@query("IO19_digest_manifest", """
+WITH shelf AS (SELECT doc_id // 200 AS shelf, sha256(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS digest,
+                 sha256(string_agg(coalesce(text, '') || '!' || chr(10), '' ORDER BY doc_id)) AS altered FROM documents GROUP BY 1)
+SELECT 'shelf=' || shelf AS name, digest AS expected, CASE WHEN shelf % 5 = 1 THEN altered WHEN shelf % 5 <> 0 THEN digest END AS actual,
+  CASE shelf % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'mismatch' ELSE 'ok' END AS status FROM shelf
+UNION ALL SELECT 'shelf=' || shelf + 1000000, NULL, digest, 'untracked' FROM shelf WHERE shelf % 5 = 2""")
+def io19(spark, sf):
+    """Files are hashed and listed; a later tree lacks some of them, has changed ones and new ones."""
+    folder, name = shared_folder(spark), "substring_index(relative, '/', 1)"
+    rows = b.table(spark, sf, "documents", "doc_id", "text").withColumn("shelf", F.expr("doc_id div 200"))
+    shelved(rows, f"{folder}/before")
+    files.write_manifest(files.file_digests(spark, f"{folder}/before", "*.txt", name), f"{folder}/manifest")
+    later = rows.filter("shelf % 5 <> 0").withColumn("text", F.expr("if(shelf % 5 = 1, concat(coalesce(text, ''), '!'), text)"))
+    shelved(later, f"{folder}/after")
+    shelved(rows.filter("shelf % 5 = 2").withColumn("shelf", F.expr("shelf + 1000000")), f"{folder}/after")
+    return files.verify_tree(spark, f"{folder}/after", f"{folder}/manifest", "*.txt", name).select("name", "expected", "actual", "status")
 
 
 # --- ledger and streams ---

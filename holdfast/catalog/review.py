@@ -395,11 +395,10 @@ def sj12(spark, sf):
 
 @query("SJ12_batch_fallback", f"""
 SELECT feed, priority::BIGINT AS priority, coalesce(n, 0) AS quotes, coalesce(n, 0) > 0 AS success FROM ({FEEDS}) f(feed, priority)
-LEFT JOIN (SELECT feed, count(*) AS n FROM quotes WHERE feed <> 'purchase' OR price < 0 GROUP BY 1) q USING (feed)
-WHERE priority <= (SELECT min(priority) FROM ({FEEDS}) g(feed, priority) JOIN (SELECT DISTINCT feed FROM quotes WHERE feed <> 'purchase' OR price < 0) USING (feed))""", ("quotes",))
+LEFT JOIN (SELECT feed, count(*) AS n FROM quotes GROUP BY 1) q USING (feed)
+WHERE priority <= (SELECT min(priority) FROM ({FEEDS}) g(feed, priority) JOIN (SELECT DISTINCT feed FROM quotes) USING (feed))""", ("quotes",))
 def sj12b(spark, sf):
-    rows = b.quotes(spark, sf).filter("feed <> 'purchase' OR price < 0")
-    return rec.first_answering_feed(rows, feeds(spark)).select("feed", big("priority"), big("quotes"), "success")
+    return rec.first_answering_feed(b.quotes(spark, sf), feeds(spark)).select("feed", big("priority"), big("quotes"), "success")
 
 
 @query("TK8_null_aware_sort", "SELECT quote_id, change_percent, row_number() OVER (ORDER BY change_percent DESC NULLS FIRST, quote_id) AS place FROM quotes", ("quotes",))

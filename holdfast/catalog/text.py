@@ -10,7 +10,6 @@ from holdfast.catalog.registry import query, view
 from holdfast.functions import text as t
 from holdfast.operators import audit as o
 from holdfast.operators import manifests as mf
-from holdfast.operators import scenarios as sc
 
 
 @query("AG20_manifest_hash", """
@@ -19,7 +18,7 @@ six AS (SELECT substr(p, 1, 6) AS p, sha256(string_agg(part, '' ORDER BY p, part
 three AS (SELECT substr(p, 1, 3) AS p, sha256(string_agg(part, '' ORDER BY p, part)) AS part, sum(n) AS n FROM (SELECT p, part, n FROM six) GROUP BY 1)
 SELECT sha256(string_agg(part, '' ORDER BY p, part)) AS digest, sum(n)::BIGINT AS records FROM three""")
 def ag20(spark, sf):
-    return sc.manifest_hash(mf.digests(b.table(spark, sf, "documents", "doc_id", "text"), "concat('doc_', doc_id)", "text"))
+    return mf.manifest_hash(mf.digests(b.table(spark, sf, "documents", "doc_id", "text"), "concat('doc_', doc_id)", "text"))
 
 
 view("cells", """
@@ -36,7 +35,7 @@ def cells(spark, sf):
 SELECT category, scenario, arm, run::BIGINT AS run, row_number() OVER (PARTITION BY category ORDER BY md5('7,' || scenario || '/' || arm || '/' || run) DESC) AS position FROM cells""", ("cells",))
 def st12(spark, sf):
     rows = cells(spark, sf).withColumn("cell", F.expr("concat_ws('/', scenario, arm, run)"))
-    return sc.interleaved(rows, "category", "cell", 7).select("category", "scenario", "arm", big("run"), big("position"))
+    return mf.interleaved(rows, "category", "cell", 7).select("category", "scenario", "arm", big("run"), big("position"))
 
 
 def records(spark, sf):
@@ -145,13 +144,9 @@ EMAIL_SQL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 SELECT doc_id, label, line, value FROM (
   SELECT doc_id, 'non-anonymous email' AS label, line, lower(unnest(regexp_extract_all(txt, '\b{EMAIL_SQL}\b'))) AS value
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS txt, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents))
-WHERE value NOT IN ('anonymous@example.com', 'reviewer@example.com', 'user@example.com')
-UNION ALL
-SELECT doc_id, 'token assignment', line, unnest(regexp_extract_all(txt, 'token = "[0-9a-f]+"')) AS value
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS txt, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)""")
+WHERE value NOT IN ('anonymous@example.com', 'reviewer@example.com', 'user@example.com')""")
 def tx5(spark, sf):
-    patterns = {**t.SCAN_PATTERNS, "token assignment": 'token = "[0-9a-f]+"'}
-    return t.scan_documents(b.table(spark, sf, "documents", "doc_id", "text"), patterns).select("doc_id", "label", big("line"), "value")
+    return t.scan_documents(b.table(spark, sf, "documents", "doc_id", "text")).select("doc_id", "label", big("line"), "value")
 
 
 @query("TX6_token_estimate", """
@@ -206,8 +201,3 @@ def sj8(spark, sf):
     old = mf.digests(docs.filter("source <> 'src0'"), "concat('doc_', doc_id)", "text")
     new = mf.digests(docs.filter("source <> 'src1'"), "concat('doc_', doc_id)", "if(lang = 'fr', concat(text, '!'), text)")
     return mf.manifest_diff(old, new).select("name", "status")
-
-
-@query("IO19_digest_manifest", "SELECT sha256(text) || '  doc_' || doc_id AS line FROM documents")
-def io19(spark, sf):
-    return mf.digests(b.table(spark, sf, "documents", "doc_id", "text"), "concat('doc_', doc_id)", "text").selectExpr("concat(digest, '  ', name) AS line")

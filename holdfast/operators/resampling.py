@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from holdfast.functions import let
 
+CHUNKS = 16
+
 
 def draw(modulus: str, *parts: str) -> str:
     """Uniform integer in [0, modulus) from the md5 of the joined parts."""
@@ -27,10 +29,11 @@ def block_bootstrap_sharpe(
     periods_per_year: float = 252.0,
     confidence: float = 0.95,
 ) -> DataFrame:
-    """Circular block bootstrap of Sharpe(a) - Sharpe(b) per study.
+    """Circular block bootstrap of Sharpe(a) - Sharpe(b) per study; a block longer than its series fails the job.
 
-    One row per (study, sample), spread over the cluster, carries the two series (as long as
-    the calendar); its blocks are drawn and measured inside the row, so picks are never rows.
+    A study is one array of running sums of both series and their squares (as long as the calendar), so a block is a
+    difference of two entries, or three where it passes the end. The array travels once for each of ``CHUNKS`` groups of
+    samples; picks and samples are never rows before their result.
     """
     ppy = f"{float(periods_per_year)}D"
     pair = returns.filter(F.col("strategy").isin(a, b)).groupBy("study", "period").agg(
@@ -38,28 +41,42 @@ def block_bootstrap_sharpe(
         F.expr(f"max(if(strategy = '{b}', ret, NULL)) AS rb"),
     )
     series = pair.groupBy("study").agg(
-        F.expr("sort_array(collect_list(struct(period, ra, rb))) AS s")
-    ).selectExpr("study", "s.ra AS xa", "s.rb AS xb", "size(s) AS n")
-
-    def sharpe(x: str) -> str:
-        mean = f"aggregate({x}, 0D, (acc, v) -> acc + v) / size({x})"
-        spread = f"sqrt(aggregate({x}, 0D, (acc, v) -> acc + (v - m) * (v - m)) / size({x}))"
-        ratio = f"if(size({x}) < 2 OR d < 1e-12D, 0D, m / d * sqrt({ppy}))"
-        return let("m", mean, let("d", spread, ratio))
+        F.expr("sort_array(collect_list(struct(period, ra, rb))) AS s"),
+        F.avg("ra").alias("ma"), F.avg("rb").alias("mb"), F.count(F.lit(1)).alias("n"),
+    )
+    # Sums of x - mean keep their digits where variances are small against squares.
+    term = {"a": "x.ra - ma", "qa": "(x.ra - ma) * (x.ra - ma)", "b": "x.rb - mb", "qb": "(x.rb - mb) * (x.rb - mb)"}
+    sums = series.selectExpr("study", "ma", "mb", f"if(n >= {block}, n, raise_error('block must not be longer than the series')) AS n", "posexplode(s) AS (i, x)").selectExpr(
+        "study", "ma", "mb", "n", "i", *[f"{e} AS {c}" for c, e in term.items()])
+    running = Window.partitionBy("study").orderBy("i")
+    sums = sums.select("study", "ma", "mb", "n", "i", *[F.sum(c).over(running).alias(c) for c in term])
+    arrays = sums.groupBy("study").agg(
+        F.expr("sort_array(collect_list(struct(i, a, qa, b, qb))) AS s"), F.first("ma").alias("ma"), F.first("mb").alias("mb"),
+        F.expr("int(max(n)) AS n"),
+    ).selectExpr("study", "ma", "mb", "n", *[f"concat(array(0D), s.{c}) AS p{c}" for c in term])
+
+    def sharpe(total: str, square: str, mean: str) -> str:
+        """Sharpe ratio from sums around ``mean`` over n periods."""
+        spread = f"sqrt(greatest({square} / n - pow({total} / n, 2), 0D))"
+        return let("d", spread, f"if(n < 2 OR d < 1e-12D, 0D, ({total} / n + {mean}) / d * sqrt({ppy}))")
+
+    def difference(acc: str) -> str:
+        return f"{sharpe(f'{acc}.a', f'{acc}.qa', 'ma')} - {sharpe(f'{acc}.b', f'{acc}.qb', 'mb')}"
+
+    def taken(c: str) -> str:
+        return f"p{c}[least(e, n)] - p{c}[s] + p{c}[greatest(e - n, 0)]"
 
     start = draw("n", str(seed), "study", "sample", "k")
-    picks = (
-        f"slice(flatten(transform(sequence(0, int(ceil(n / {block}D)) - 1), k -> transform(array({start}), "
-        f"s -> transform(sequence(0, {block} - 1), o -> int(pmod(s + o, n))))[0])), 1, n)"
-    )
+    added = "named_struct(" + ", ".join(f"'{c}', acc.{c} + {taken(c)}" for c in term) + ")"
+    stop = f"s + least({block}, n - k * {block})"
+    step = let("s", f"int({start})", let("e", stop, added))
+    zero = "named_struct(" + ", ".join(f"'{c}', 0D" for c in term) + ")"
+    one = let("t", f"aggregate(sequence(0, int(ceil(n / {block}D)) - 1), {zero}, (acc, k) -> {step})", difference("t"))
+    size = -(-samples // CHUNKS)
     sampled = (
-        series.withColumn("sample", F.expr(f"explode(sequence(0, {samples - 1}))"))
-        .repartition("study", "sample")
-        .withColumn("picks", F.expr(picks))
-        .selectExpr(
-            "study", "transform(picks, i -> xa[i]) AS pa", "transform(picks, i -> xb[i]) AS pb"
-        )
-        .selectExpr("study", f"{sharpe('pa')} - {sharpe('pb')} AS diff")
+        arrays.withColumn("chunk", F.expr(f"explode(sequence(0, {-(-samples // size) - 1}))"))
+        .repartition("study", "chunk")
+        .selectExpr("study", f"explode(transform(sequence(chunk * {size}, least(chunk * {size} + {size}, {samples}) - 1), sample -> {one})) AS diff")
     )
     tail = (1 - confidence) / 2
     spread = sampled.groupBy("study").agg(
@@ -67,7 +84,8 @@ def block_bootstrap_sharpe(
         F.expr(f"percentile(diff, {tail}D) AS ci_low"), F.expr(f"percentile(diff, {1 - tail}D) AS ci_high"),
         F.expr("avg(if(diff > 0, 1D, 0D)) AS prob_a_better"),
     )
-    point = series.selectExpr("study", f"{sharpe('xa')} - {sharpe('xb')} AS point_estimate")
+    whole = "named_struct(" + ", ".join(f"'{c}', element_at(p{c}, -1)" for c in term) + ")"
+    point = arrays.selectExpr("study", f"{let('t', whole, difference('t'))} AS point_estimate")
     return point.join(spread, "study")
 
 

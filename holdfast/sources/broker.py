@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.grouping import top_per_group
+from holdfast.sources.files import list_files
 
 # Accepted headers per field, in order of preference.
 ALIASES = {
@@ -75,11 +76,6 @@ def read_broker_csv(spark: SparkSession, path: str, keep: tuple[str, ...] = ())
     return normalize_rows(located, ("source_file", *keep))
 
 
-def split_rejects(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows, quarantined rows)."""
-    return rows.filter("reject IS NULL").drop("reject"), rows.filter("reject IS NOT NULL")
-
-
 def passing_files(rows: DataFrame) -> DataFrame:
     """Files that parsed without a reject and hold at least one position."""
     return rows.groupBy("source_file").agg(
@@ -93,6 +89,17 @@ def land_uploads(rows: DataFrame, target: str) -> None:
     rows.join(good, "source_file", "left_semi").drop("reject").write.mode("append").parquet(target)
 
 
+def inbox_sources(spark: SparkSession, root: str) -> DataFrame:
+    """Sources in a tree of portfolio/kind/name.csv, where a source is a file or a folder of parts written by Spark.
+
+    Partition-style folders (portfolio_id=7/kind=inbox/name=a.csv) count as well. A source is as new as its newest part.
+    """
+    place = r"(?:^|/)(?:portfolio_id=)?([^/]+)/(?:kind=)?([^/]+)/(?:name=)?([^/]+?\.csv)(?:/[^/]+)?$"
+    part = lambda i, name: F.regexp_extract("relative", place, i).alias(name)
+    found = list_files(spark, root, "*.csv").select(part(1, "portfolio_id"), part(2, "kind"), part(3, "name"), "modified")
+    return found.filter("name <> ''").groupBy("portfolio_id", "kind", "name").agg(F.max("modified").alias("modified"))
+
+
 def newest_source(sources: DataFrame, include_manual: bool = True) -> DataFrame:
     """One source per portfolio: kind precedence, then newest file, then name descending."""
     kinds = ", ".join(f"'{k}'" for k in SOURCE_ORDER)

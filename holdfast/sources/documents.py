@@ -53,9 +53,9 @@ def suite_runs(scenarios: DataFrame) -> DataFrame:
     )
 
 
-def read_suite(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(scenarios, runs) of the suite files under ``path``."""
-    docs = spark.read.text(path, wholetext=True).selectExpr(f"from_json(value, '{SUITE}') AS doc")
+def read_suite(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(scenarios, runs) of the suite files under ``path``: a document per file, or one per line."""
+    docs = spark.read.text(path, wholetext=not lines).selectExpr(f"from_json(value, '{SUITE}') AS doc")
     scenarios = suite_scenarios(docs)
     return scenarios.drop("recommendations"), suite_runs(scenarios)
 

@@ -174,30 +174,3 @@ def baseline_runs(scenarios: DataFrame, runs: int = RUNS_PER_SCENARIO) -> DataFr
         for name, (picks, amounts, facts) in plans.items()
     )
     return base.selectExpr("scenario", "concat('run_', run) AS run_id", f"inline(array({cells}))")
-
-
-def manifest_hash(records: DataFrame) -> DataFrame:
-    """Order-free digest of a record set: a hash tree over the row digests.
-
-    Equal rows are counted, not listed. Digests are then combined by ever shorter hex
-    prefixes (6, 3 and 0 characters), so each step sorts at most 4096 children of a node
-    above the leaves and a leaf holds only rows that share six digest characters.
-    """
-    row = f"sha2(to_json(struct({', '.join(sorted(records.columns))})), 256) AS h"
-    level = records.select(F.expr(row)).groupBy("h").agg(F.expr("count(*) AS n")).selectExpr(
-        "h AS p", "concat(h, ':', n) AS part", "n"
-    )
-    for width in (6, 3, 0):
-        level = level.groupBy(F.expr(f"substr(p, 1, {width}) AS p")).agg(
-            F.expr("sha2(array_join(sort_array(collect_list(struct(p, part))).part, ''), 256) AS part"),
-            F.expr("sum(n) AS n"),
-        )
-    return level.selectExpr("part AS digest", "n AS records")
-
-
-def interleaved(cells: DataFrame, group: str, key: str, seed: int) -> DataFrame:
-    """Deterministic shuffle of campaign cells within each group, by seeded digest."""
-    from holdfast.grouping import ranked_per_group
-
-    shuffled = cells.withColumn("draw", F.expr(f"md5(concat_ws(',', {seed}, {key}))"))
-    return ranked_per_group(shuffled, [group], [F.col("draw").desc(), F.col(key)], "position")

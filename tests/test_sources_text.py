@@ -4,7 +4,7 @@ import pytest
 
 from holdfast.functions import text as t
 from holdfast.operators import manifests as mf
-from holdfast.operators import scenarios as sc
+from tests import scenario_bank as bank_of
 from holdfast.sources import broker, documents, matrix, snapshots
 
 
@@ -140,24 +140,24 @@ def test_manifest_diff_and_hash(spark):
     b = spark.createDataFrame([("y", "9"), ("z", "3"), ("w", "4")], "name string, digest string")
     got = {r.name: r.status for r in mf.manifest_diff(a, b).collect()}
     assert got == {"x": "missing", "y": "mismatch", "z": "ok", "w": "untracked"}
-    assert sc.manifest_hash(a).head() == sc.manifest_hash(a.orderBy("digest", ascending=False)).head()
-    assert sc.manifest_hash(a).head() != sc.manifest_hash(a.union(a.limit(1))).head()
+    assert mf.manifest_hash(a).head() == mf.manifest_hash(a.orderBy("digest", ascending=False)).head()
+    assert mf.manifest_hash(a).head() != mf.manifest_hash(a.union(a.limit(1))).head()
 
 
 def test_scenario_bank_shape(spark):
-    bank = sc.scenario_bank(spark.range(10).selectExpr("id AS v"))
+    bank = bank_of.scenario_bank(spark.range(10).selectExpr("id AS v"))
     assert bank.count() == 120 and bank.select("scenario").distinct().count() == 120
     first = bank.filter("scenario = 'already_owned_asset_001'").head()
     assert first.owned_tickers == ["MA", "TSM", "ASML"] and first.cash == 1250.0
-    assert sc.baseline_runs(bank).count() == 3000
-    assert sc.adversarial_bank(spark.range(4).selectExpr("id AS i")).count() == 24
+    assert bank_of.baseline_runs(bank).count() == 3000
+    assert bank_of.adversarial_bank(spark.range(4).selectExpr("id AS i")).count() == 24
 
 
 def test_bank_report_separates_advisors(spark):
     from holdfast.operators import audit as o
 
-    bank = sc.scenario_bank(spark.range(10).selectExpr("id AS v"))
-    runs = sc.baseline_runs(bank).cache()
+    bank = bank_of.scenario_bank(spark.range(10).selectExpr("id AS v"))
+    runs = bank_of.baseline_runs(bank).cache()
     agg = {r.advisor: r for r in o.advisor_aggregates(o.run_set_reports(o.run_verdicts(runs, bank), runs)).collect()}
     assert agg["deterministic_contract"].validity_rate == 1.0
     assert agg["deterministic_contract"].mean_set_stability == 1.0
