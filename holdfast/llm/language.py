@@ -15,6 +15,7 @@ sample itself, from documents held out while grams of the others are counted.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,7 +31,8 @@ DOCS_PER_LANG = 400
 WINDOWS_PER_DOC = 8
 BATCH = 2048
 NO_LANGUAGE = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Characters that may be letters; signs among them, such as superscripts and Roman numerals, are told apart by category.
+_WORDLIKE = re.compile(r"[^\W\d_]")
 #: Bytes that belong to letters: a-z, and what UTF-8 uses beyond ASCII.
 LETTER_BYTE = np.zeros(256, np.float32)
 LETTER_BYTE[97:123] = LETTER_BYTE[128:] = 1.0
@@ -43,6 +45,11 @@ LEAST_GRAMS = 20
 LOWEST, PART = 0.05, 0.5
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter of Unicode (category L)."""
+    return any(unicodedata.category(m[0])[0] == "L" for m in _WORDLIKE.finditer(text))
+
+
 def to_windows(text: str) -> np.ndarray:
     """The bytes of a text as rows of WINDOW bytes, the last padded with zeros."""
     raw = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
@@ -285,7 +292,7 @@ def label_column(network: Network | None, judge: bool = False) -> Column:
         for texts in batches:
             familiar = np.zeros(len(texts), bool)
             langs, scores = np.full(len(texts), NO_LANGUAGE, object), np.zeros(len(texts))
-            with_letters = [i for i, t in enumerate(texts) if t is not None and _LETTER.search(t)]
+            with_letters = [i for i, t in enumerate(texts) if t is not None and has_letter(t)]
             for at in range(0, len(with_letters) if network else 0, 500):
                 some = with_letters[at : at + 500]
                 probs = network.documents([texts.iat[i] for i in some])

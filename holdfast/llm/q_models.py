@@ -24,10 +24,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_quality")
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ratings: 0 low quality, 1 good but toxic, 2 good. Documents likely rated 1 or more are kept."""
+    """Ratings: 0 low quality, 1 good but toxic, 2 good. Documents likely rated 1 or more are kept; without a quality there is no rating."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels")
-    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    good = F.col("quality") == 1
+    grade = F.when(F.col("quality") == 0, 0).when(good & (F.col("toxic") == 1), 1).when(good, 2)
     held_out = id_remainder(4) == 2
     model = quality.train(docs, labels.select("doc_id", grade.alias("grade")), ~held_out)
     rated = docs.withColumn("rated", quality.rating_column(model, at_least=1))
@@ -46,7 +47,32 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
 
 
-@query("op8_url_filters")
+OP8_SQL = f"""
+WITH rules AS (
+  SELECT key, blocked, split_part(key, '/', 1) AS rule_host, substr(key, instr(key, '/')) AS rule_path
+  FROM (VALUES {", ".join(f"('{key}', {blocked})" for key, blocked in RULES)}) r(key, blocked)
+),
+cut AS (
+  SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{digests.UPPER}', '{digests.LOWER}') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+),
+fits AS (
+  SELECT host, path, max_by(key, length(key)) AS rule, max_by(blocked, length(key)) AS blocked
+  FROM (SELECT DISTINCT host, path FROM parts) JOIN rules
+    ON (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY host, path
+)
+SELECT page_id, p.host, p.path, f.rule,
+       CASE WHEN coalesce(f.blocked, list_has_any(string_split(p.host, '.'), {list(BLOCKED_NAMES)})) THEN 'block' ELSE 'allow' END AS verdict
+FROM parts p LEFT JOIN fits f ON f.host = p.host AND f.path = p.path
+"""
+
+
+@query("op8_url_filters", sql=OP8_SQL)
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = spark.createDataFrame(
         [*RULES, *((digests.NAME + name, True) for name in BLOCKED_NAMES)], "key string, blocked boolean"

@@ -180,3 +180,29 @@ def test_quality_edge_cases(spark):
     assert quality.train(cases.documents(spark, empty=True), grades, F.lit(True)) is None
     lost = docs.select(quality.rating_column(None, 1).alias("r")).select("r.*").collect()
     assert all(r["tail"] is None for r in lost)
+
+
+def test_only_unicode_letters_are_letters():
+    assert all(map(language.has_letter, ["a", "É", "ß", "日", "ª", "1 b"]))
+    assert not any(map(language.has_letter, ["", "²", "Ⅷ ½", "12 _ -", "٣", "🙂", "́"]))
+
+
+def test_a_rating_needs_a_quality(spark, monkeypatch):
+    from holdfast.llm import q_models
+
+    seen = {}
+    tables = {
+        "documents": spark.createDataFrame([(1, "a b c")], "doc_id long, text string"),
+        "labels": spark.createDataFrame(
+            [(1, None, 1), (2, None, None), (3, 0, 1), (4, 1, 1), (5, 1, None), (6, 1, 0)], "doc_id long, quality int, toxic int"
+        ),
+    }
+
+    def train(docs, graded, chosen):
+        seen.update((r.doc_id, r.grade) for r in graded.collect())
+        return quality.Ordinal([0, 1, 2], np.zeros(quality.WIDTH), np.zeros(2))
+
+    monkeypatch.setattr(q_models, "table", lambda spark, sf, name: tables[name])
+    monkeypatch.setattr(quality, "train", train)
+    q_models.op4_quality(spark, "")
+    assert seen == {1: None, 2: None, 3: 0, 4: 1, 5: 2, 6: 2}
