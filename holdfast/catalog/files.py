@@ -160,15 +160,21 @@ def io8(spark, sf):
 
 
 @query("IO9_run_record_tree", """
-SELECT arm, count(*) AS records, count(*) AS consistent, sum(run) AS run_total FROM records GROUP BY 1""", ("records",))
+SELECT provider, arm, scenario, run_index::BIGINT AS run_index, count(*) AS records, count(*) FILTER (WHERE n % 50 <> 0) AS consistent FROM (
+  SELECT 'p' || run_id % 2 AS provider, arm, 'bank_' || hash_of AS scenario, run AS run_index, run_id AS n FROM (SELECT *, substr(scenario, 5)::BIGINT % 20 AS hash_of FROM records)) GROUP BY ALL""", ("records",))
 def io9(spark, sf):
-    """Written as partitioned files; the arm in a record is compared with the arm in its file's path."""
+    """A tree of provider, model, arm and scenario__runN.json; every fiftieth record says another model than its path."""
     folder = shared_folder(spark)
-    records(spark, sf).selectExpr("arm AS folder", "arm", "scenario", "run AS run_index", "status", "truncated", "attempts").write.partitionBy("folder").json(folder)
-    rows = spark.read.option("basePath", folder).schema("scenario STRING, run_index INT, status STRING, truncated BOOLEAN, attempts INT, arm STRING").json(folder)
-    path_arm = F.regexp_extract(F.col("_metadata.file_path"), r"folder=([^/]+)/", 1)
-    return rows.withColumn("path_arm", path_arm).groupBy("arm").agg(
-        F.expr("count(*) AS records"), F.expr("count_if(path_arm = arm) AS consistent"), F.expr("sum(run_index) AS run_total"))
+    rows = records(spark, sf).selectExpr(
+        "concat('p', run_id % 2) AS provider", "if(run_id % 50 = 0, 'other', 'model-1') AS model", "arm", "concat('bank_', bigint(substr(scenario, 5)) % 20) AS scenario",
+        "run AS run_index", "status", "truncated", "attempts")
+    doc = "to_json(struct(provider, model, arm, scenario, run_index, status, truncated, attempts)) AS value"
+    placed = rows.selectExpr("provider", "'model-1' AS model", "arm", "concat(scenario, '__run', run_index, '.json') AS file", doc)
+    placed.repartition("provider", "arm", "file").write.partitionBy("provider", "model", "arm", "file").text(folder)
+    read = documents.read_run_records(spark, folder, lines=True)
+    same = " AND ".join(f"path_{x} = {y}" for x, y in (("provider", "provider"), ("model", "model"), ("arm", "arm"), ("scenario", "scenario"), ("run", "run_index")))
+    return read.groupBy("provider", "arm", "scenario", F.expr("bigint(run_index) AS run_index")).agg(
+        F.expr("count(*) AS records"), F.expr(f"count_if({same}) AS consistent"))
 
 
 def payloads(spark, sf):

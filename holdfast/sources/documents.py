@@ -60,12 +60,16 @@ def read_suite(spark: SparkSession, path: str, lines: bool = False) -> tuple[Dat
     return scenarios.drop("recommendations"), suite_runs(scenarios)
 
 
-def read_run_records(spark: SparkSession, root: str) -> DataFrame:
-    """Run-record files under provider/model/arm/scenario__runN.json, with their path parts."""
-    pattern = r"([^/]+)/([^/]+)/([^/]+)/([^/]+)__run(\\d+)\\.json$"
-    rows = spark.read.schema(RECORD).option("multiLine", True).option(
+def read_run_records(spark: SparkSession, root: str, lines: bool = False) -> DataFrame:
+    """Run-record files under provider/model/arm/scenario__runN.json, with their path parts.
+
+    Where ``scenario__runN.json`` is a folder of parts, as Spark writes it, ``lines`` reads a record per line. Folders may
+    be named in partition style (provider=x).
+    """
+    pattern = r"(?:provider=)?([^/]+)/(?:model=)?([^/]+)/(?:arm=)?([^/]+)/(?:file=)?([^/]+)__run(\\d+)\\.json(?:/[^/]+)?$"
+    rows = spark.read.schema(RECORD).option("multiLine", not lines).option(
         "recursiveFileLookup", True
-    ).option("pathGlobFilter", "*__run*.json").json(root)
+    ).option("pathGlobFilter", "*" if lines else "*__run*.json").json(root)
     path = "_metadata.file_path"
     part = [
         f"regexp_extract({path}, '{pattern}', {i}) AS {name}"
