@@ -192,9 +192,12 @@ def verify(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, perc
         pairs.join(known, F.col("a") == F.col("k")).withColumnRenamed("n", "n_a").drop("k")
         .join(known, F.col("b") == F.col("k")).withColumnRenamed("n", "n_b").drop("k")
         .filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        .select("a", "b", F.expr(f"pmod(b, 1 + (count(*) OVER (PARTITION BY a)) div {CHUNK})").alias("part"))
+        .select("a", "b")
     )
-    sized = settle(sized, "jaccard-pairs")
+    sized = settle(sized, "jaccard-sized")
+    members_of = sized.groupBy(F.col("a").alias("l")).agg(F.count("*").alias("n"))
+    part = F.expr(f"pmod(b, 1 + n div {CHUNK})").alias("part")
+    sized = settle(sized.join(members_of, F.col("a") == F.col("l")).select("a", "b", part), "jaccard-pairs")
     wanted = sized.select(F.col("a").alias("w")).union(sized.select("b")).distinct()
     named = wanted.join(sets.select("set_id", "rep"), F.col("w") == F.col("set_id")).select("set_id", "rep")
     bodies = settle(

@@ -72,10 +72,11 @@ def source_targets(
 def place(sizes: DataFrame) -> DataFrame:
     """Adds bucket, seq and start: each row's place in its source's shuffled order.
 
-    The order is by md5 of the id, then id and size. A source is summed in 4096 buckets of that hash, so
-    no task sorts a whole source.
+    The order is by md5 of the id (of source and size, where the id is null), then id and size. A source is
+    summed in 4096 buckets of that hash, so no task sorts a whole source.
     """
-    mixed = sizes.withColumn("turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn(
+    unnamed = F.concat(F.lit("null "), F.xxhash64("source", "size").cast("string"))
+    mixed = sizes.withColumn("turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), unnamed))).withColumn(
         "bucket", F.substring("turn", 1, 3)
     )
     inside = Window.partitionBy("source", "bucket").orderBy("turn", "doc_id", "size")
@@ -155,7 +156,7 @@ def mix(
     Pieces: source, bucket, seq, slot, rank, pass, from_word, words: words of a document in a block, in
     schedule order by slot.
 
-    Null text or no word: size 0 and no piece. Null doc_id: ordered as an empty id. A null source is a
+    Null text or no word: size 0 and no piece. Null doc_id: ordered by source and size. A null source is a
     source of its own. Repeated rows are separate documents. No document is taken more than ``most`` times.
     """
     if "size" not in docs.columns:
@@ -201,10 +202,14 @@ def mix(
 
 
 def taken_words(placed: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Placed rows with ``taken`` (words in the mix) and ``copies`` (passes that take any word)."""
+    """Placed rows with ``taken`` (words in the mix), ``copies`` (passes that take any word), first_slot, last_slot.
+
+    The slots are those of the row's first and last piece in schedule order; null for a row not taken.
+    """
     sums = pieces.groupBy(F.col("source").alias("p_source"), F.col("bucket").alias("p_bucket"), F.col("seq").alias("p_seq")).agg(
-        F.sum("words").alias("taken"), F.countDistinct("pass").alias("copies")
-    )
+        F.sum("words").alias("taken"), F.count_distinct("pass").alias("copies"),
+        F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"),
+    )
     same = (
         F.col("source").eqNullSafe(F.col("p_source"))
         & (F.col("bucket") == F.col("p_bucket"))
@@ -214,4 +219,21 @@ def taken_words(placed: DataFrame, pieces: DataFrame) -> DataFrame:
         *placed.columns,
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
         F.coalesce("copies", F.lit(0)).cast("int").alias("copies"),
+        "first_slot", "last_slot",
+    )
+
+
+def scheduled_copies(placed: DataFrame, pieces: DataFrame) -> DataFrame:
+    """A row for each pass over a placed row that takes any word: placed columns, pass and slot.
+
+    ``slot`` is the place in the schedule of the copy's first block.
+    """
+    first = pieces.groupBy(
+        F.col("source").alias("p_source"), F.col("bucket").alias("p_bucket"), F.col("seq").alias("p_seq"), "pass"
+    ).agg(F.min("slot").alias("slot"))
+    same = (
+        F.col("source").eqNullSafe(F.col("p_source"))
+        & (F.col("bucket") == F.col("p_bucket"))
+        & (F.col("seq") == F.col("p_seq"))
     )
+    return placed.join(first, same).select(*placed.columns, "pass", "slot")

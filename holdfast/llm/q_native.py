@@ -74,12 +74,49 @@ placed AS (
   SELECT s.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY turn, doc_id, size
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM sized s
+),
+parts AS (
+  SELECT *, (sum(blocks) OVER sofar - blocks)::DOUBLE / sum(blocks) OVER () AS lo,
+         (sum(blocks) OVER sofar)::DOUBLE / sum(blocks) OVER () AS hi
+  FROM (SELECT source, ceil(floor(target) / 1024)::BIGINT AS blocks FROM targets)
+  WHERE blocks > 0
+  WINDOW sofar AS (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING)
+),
+points AS (
+  SELECT id AS slot, fmod((id + 1)::DOUBLE * 0.6180339887498949::DOUBLE, 1::DOUBLE) AS point
+  FROM range((SELECT coalesce(sum(blocks), 0)::BIGINT FROM parts)) AS r(id)
+),
+slots AS (
+  SELECT source, blocks, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
+  FROM points JOIN parts ON point >= lo AND point < hi
+),
+spans AS (
+  SELECT p.doc_id, p.source, p.turn, p.size, p.start, t.source_size, t.target, pass,
+         p.start + pass * t.source_size AS begins,
+         least(p.start + pass * t.source_size + p.size, floor(t.target)::BIGINT) AS ends
+  FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source CROSS JOIN (VALUES (0), (1)) AS v(pass)
+),
+pieces AS (
+  SELECT doc_id, source, turn, size, start,
+         unnest(generate_series((begins // 1024)::BIGINT, ((ends - 1) // 1024)::BIGINT)) AS rank
+  FROM spans WHERE begins < ends
+),
+dealt AS (
+  SELECT p.doc_id, p.source, p.size, p.start,
+         min(coalesce(s.slot, 4611686018427387904 + p.rank)) AS first_slot,
+         max(coalesce(s.slot, 4611686018427387904 + p.rank)) AS last_slot
+  FROM pieces p
+  LEFT JOIN slots s ON p.source IS NOT DISTINCT FROM s.source AND p.rank = s.rank AND s.rank < s.blocks
+  GROUP BY ALL
+),
+taken AS (
+  SELECT doc_id, source, size, start, source_size, target, sum(greatest(0, ends - begins))::BIGINT AS taken
+  FROM spans GROUP BY ALL
 )
-SELECT p.doc_id, p.size, t.source_size, t.target,
-       (greatest(0, least(p.start + p.size, floor(t.target)::BIGINT) - p.start)
-        + greatest(0, least(p.start + t.source_size + p.size, floor(t.target)::BIGINT) - p.start - t.source_size)
-       )::BIGINT AS taken
-FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
+SELECT t.doc_id, t.size, t.source_size, t.target, t.taken, d.first_slot::BIGINT AS first_slot,
+       d.last_slot::BIGINT AS last_slot
+FROM taken t LEFT JOIN dealt d
+  ON t.doc_id = d.doc_id AND t.source IS NOT DISTINCT FROM d.source AND t.size = d.size AND t.start = d.start
 """
 
 
@@ -87,4 +124,4 @@ FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mixing.taken_words(*mixing.mix(docs))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot")

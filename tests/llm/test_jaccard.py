@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from holdfast.llm import shingles, jaccard
+from holdfast.llm import jaccard, links, shingles
 from holdfast.llm.components import components
 from holdfast.llm.shingles import overlap, shingle_sets
 from tests.llm import cases
@@ -106,3 +106,47 @@ def test_long_buffers_are_hashed_in_pieces(monkeypatch):
     pieces = shingles.word_hashes(text)
     assert all(np.array_equal(a, b) for a, b in zip(whole, pieces)) and len(whole[0]) == 30
     assert all(len(p) <= 128 for p in shingles._POWERS.values())
+
+
+def plain_links(rows):
+    sets = [cases.shingles(t) if i is not None else frozenset() for i, t, *_ in rows]
+    return sorted((str(r[0]), sum(cases.linked(a, b) for y, b in enumerate(sets) if y != x)) for (x, a), r in zip(enumerate(sets), rows))
+
+
+@pytest.mark.parametrize("block, shingles_of_block", [(1024, 1 << 20), (3, 1 << 20), (1024, 40)])
+def test_link_counts_match_all_pairs(spark, block, shingles_of_block):
+    """Also where a class is cut into many blocks, by members or by shingles."""
+    rng = random.Random(6)
+    texts = [t for size in (4, 7, 12, 40, 90) for t in family(rng, 12, size, max(1, size // 30))]
+    texts += [texts[0], texts[30], texts[59]]
+    rows = cases.rows() + [(100 + i, t, "en", "a", 1) for i, t in enumerate(texts)]
+    rows += [(100, cases.sentence(3, 60), "en", "a", 1), (101, texts[1], "en", "a", 1)]
+    docs = spark.createDataFrame(rows, cases.SCHEMA)
+    classes = jaccard.settle(jaccard.jaccard_classes(docs), "classes")
+    got = links.with_links(docs, classes, block=block, block_shingles=shingles_of_block).collect()
+    assert sorted((str(r["doc_id"]), r["n_links"]) for r in got) == plain_links(rows)
+
+
+def test_link_counts_of_nothing(spark):
+    docs = cases.documents(spark, empty=True)
+    assert links.with_links(docs, jaccard.settle(jaccard.jaccard_classes(docs), "classes")).count() == 0
+
+
+def test_common_shingles_over_many_columns(monkeypatch):
+    monkeypatch.setattr(links, "COLUMNS", 7)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 50).astype(np.uint64)
+    sets = [np.unique(np.r_[base[rng.random(50) < 0.93], rng.integers(0, 2**63, 3).astype(np.uint64)]) for _ in range(30)]
+    copies = rng.integers(1, 5, 30)
+    for left in (np.ones(30, bool), np.arange(30) < 11):
+        want = [
+            sum(
+                copies[j]
+                for j in range(30)
+                if j != i
+                and (left.all() or left[i] != left[j])
+                and 100 * len(set(sets[i]) & set(sets[j])) >= 80 * len(set(sets[i]) | set(sets[j]))
+            )
+            for i in range(30)
+        ]
+        assert links.linked_copies(sets, copies, left, 80).tolist() == want and max(want) > 0

@@ -101,6 +101,24 @@ def test_schedule_is_even_and_blocks_are_equal(spark):
         assert abs(first[source] - n / 2) <= 4
 
 
+def test_slots_of_documents_and_copies(spark):
+    """First and last slots are those of a row's pieces; unnamed rows are dealt over many buckets."""
+    rows = [(i if i % 4 else None, "w " * (20 + i), "en", "ab"[i % 2], 1) for i in range(80)]
+    placed, pieces = mixing.mix(spark.createDataFrame(rows, cases.SCHEMA), block_words=50)
+    of = {}
+    for r in pieces.collect():
+        of.setdefault((r["source"], r["bucket"], r["seq"]), []).append((r["pass"], r["slot"]))
+    got = mixing.taken_words(placed, pieces).collect()
+    assert len({r["bucket"] for r in got if r["doc_id"] is None}) > 10
+    for r in got:
+        slots = [s for _, s in of.get((r["source"], r["bucket"], r["seq"]), [])]
+        assert (r["first_slot"], r["last_slot"]) == ((min(slots), max(slots)) if slots else (None, None))
+    copies = mixing.scheduled_copies(placed, pieces).collect()
+    assert len(copies) == sum(r["copies"] for r in got)
+    for r in copies:
+        assert r["slot"] == min(s for p, s in of[r["source"], r["bucket"], r["seq"]] if p == r["pass"])
+
+
 def test_mix_of_nothing(spark):
     placed, pieces = mixing.mix(cases.documents(spark, empty=True))
     assert mixing.taken_words(placed, pieces).count() == 0
