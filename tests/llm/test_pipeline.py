@@ -1,9 +1,10 @@
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from holdfast.llm import decontaminate, language
+from holdfast.llm import decontaminate, language, mixing
 from tests.llm import cases
 
 SF = "/root/testdata/sf0.001"
@@ -45,6 +46,27 @@ def test_stages_bear_edge_cases(spark):
     assert len(ids) == len(set(ids))
 
 
+def test_mixed_rows_stand_in_schedule_order(spark):
+    """Also with a column of maps and with repeated rows and ids."""
+    rows = [(i % 300, f"{'word ' * (30 + i % 7)}{i % 290}", "en", "abc"[i % 3], i) for i in range(320)]
+    docs = spark.createDataFrame(rows + rows[:5], cases.SCHEMA).withColumn("facts", F.expr("map('n', n_chars)"))
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    out = mixed.collect()
+    assert mixed.columns == docs.columns and max(Counter((r["doc_id"], r["n_chars"]) for r in out).values()) <= 4
+    placed, pieces = mixing.mix(docs.select("doc_id", "source", "text", corpus_pipeline._row_hash(docs).alias("row")))
+    assert len(out) == mixing.scheduled_copies(placed, pieces).count()
+    slots = {}
+    for r in mixing.scheduled_copies(placed, pieces).collect():
+        slots.setdefault((r["doc_id"], r["source"], r["size"]), set()).add(r["slot"])
+    last = 0
+    for r in mixed.collect():
+        later = [s for s in slots[r["doc_id"], r["source"], len(r["text"].split())] if s >= last]
+        assert later, "a copy stands before its slot's turn"
+        last = min(later)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert kept.columns == docs.columns and kept.count() > 0
+
+
 def test_near_copies_go_by_text(spark):
     one, two, three = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     near = one.replace("a39", "end")
