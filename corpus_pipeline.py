@@ -6,7 +6,7 @@ which keeps only texts in a language.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import decontaminate, jaccard, language, mixing, tokens
@@ -32,7 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
     if not docs.filter("doc_id IS NULL").head(1) and not repeated.head(1):
         return docs.join(_near_copies(docs.select("doc_id", "text")), "doc_id", "left_anti").select(*docs.columns)
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.xxhash64(*docs.columns)]
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), _row_hash(docs)]
     dealt = docs.repartitionByRange(*order).sortWithinPartitions(*order)
     numbered = settle(dealt.withColumn("__row", F.monotonically_increasing_id()), "near-copies-rows")
     named = numbered.filter("doc_id IS NOT NULL")
@@ -42,6 +42,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return single.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """A hash of the whole row; maps, which Spark does not hash, go by their JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes])
+
+
 def _near_copies(docs: DataFrame) -> DataFrame:
     """doc_id of each document that has a near copy, or a chain of them, with a smaller doc_id."""
     classes = jaccard.jaccard_classes(docs, width=5, percent=80)
@@ -54,24 +59,32 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes any of its words: not at all, once or twice."""
-    keys = [F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.xxhash64(*docs.columns).alias("__row")]
-    named = docs.select(F.col("doc_id"), F.col("source"), F.col("text"), F.xxhash64(*docs.columns).alias("__row"))
+    """Each document as often as the mix takes any of its words, written in the order of the schedule.
+
+    That is not at all, once or twice; each copy stands at the slot of its first block.
+    """
+    row = _row_hash(docs).alias("__row")
+    keys = [F.col("doc_id").alias("__id"), F.col("source").alias("__source"), row]
+    named = docs.select("doc_id", "source", "text", row)
     taken = settle(
-        mixing.taken_words(*mixing.mix(named))
-        .groupBy(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("__row").alias("t_row"))
-        .agg(F.sum("copies").alias("__copies"), F.count("*").alias("__n"))
-        .filter("__copies > 0"),
+        mixing.scheduled_copies(*mixing.mix(named)).select(
+            F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("__row").alias("t_row"),
+            F.col("pass").alias("__pass"), F.col("slot").alias("__slot"), F.col("bucket").alias("__bucket"),
+            F.col("seq").alias("__seq"),
+        ),
         "mix-copies",
-    )
-    rows = docs.dropDuplicates() if taken.filter("__n > 1").head(1) else docs
+    )
+    named_once = taken.groupBy("t_id", "t_source", "t_row", "__pass").count().filter("count = 1")
+    repeated = taken.count() > named_once.count()
+    rows = docs.select(*docs.columns, *keys)
+    rows = rows.dropDuplicates(["__id", "__source", "__row"]) if repeated else rows
     same = (
         F.col("__id").eqNullSafe(F.col("t_id"))
         & F.col("__source").eqNullSafe(F.col("t_source"))
         & (F.col("__row") == F.col("t_row"))
     )
-    copies = rows.select(*docs.columns, *keys).join(taken, same)
-    return copies.select(*docs.columns, F.explode(F.expr("sequence(1L, __copies)"))).select(*docs.columns)
+    order = ["__slot", "__bucket", "__seq", "__pass"]
+    return rows.join(taken, same).repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
