@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions.scoring import COMPOSITE_WEIGHTS
@@ -237,48 +237,63 @@ def perturbed_sets(deltas: Sequence[float] = (-0.10, -0.05, 0.05, 0.10)) -> dict
     return sets
 
 
-def recomposed(analyses: DataFrame, sets: dict[str, tuple]) -> DataFrame:
-    """Every position under every weight set (a fixed handful of rows per position)."""
-    table = ", ".join(
-        f"struct('{name}' AS label, {float(m)!r}D AS m, {float(c)!r}D AS c, {float(v)!r}D AS v)" for name, (m, c, v) in sets.items()
-    )
-    rows = analyses.select("portfolio_id", "ticker", "moat_points", "compounding_points", "valuation_points")
-    return rows.withColumn("w", F.expr(f"explode(array({table}))")).selectExpr(
-        "portfolio_id", "ticker", "w.label AS label",
-        "w.m * moat_points + w.c * compounding_points + w.v * valuation_points AS score",
+def places_under_weights(holdings: DataFrame, sets: dict[str, tuple]) -> DataFrame:
+    """One row per holding with its place under each weight set, as an array in the order of ``sets``.
+
+    A portfolio's holdings are shuffled once, narrow, and sorted once for each set where they are.
+    """
+    points = ("moat_points", "compounding_points", "valuation_points")
+    # Dealt before the scores are made: a window's order columns would travel with the rows.
+    rows = holdings.select("portfolio_id", "ticker", *points).repartition("portfolio_id")
+    places = []
+    for i, weights in enumerate(sets.values()):
+        score = F.expr(" + ".join(f"{float(w)!r}D * {p}" for w, p in zip(weights, points)))
+        window = Window.partitionBy("portfolio_id").orderBy(score.desc(), F.col("ticker"))
+        places.append(F.row_number().over(window).alias(f"_p{i}"))
+    names = [f"_p{i}" for i in range(len(places))]
+    return rows.select("portfolio_id", "ticker", *places).select("portfolio_id", "ticker", F.array(*names).alias("places"))
+
+
+def _by_label(sets: dict[str, tuple], **columns: str) -> str:
+    """A row for each weight set, with its element of the named array columns."""
+    rows = (
+        f"struct('{label}' AS label, " + ", ".join(f"{array}[{i}] AS {name}" for name, array in columns.items()) + ")"
+        for i, label in enumerate(sets)
     )
+    return f"inline(array({', '.join(rows)}))"
 
 
-def rank_under_weights(analyses: DataFrame, sets: dict[str, tuple] | None = None) -> DataFrame:
-    scored = recomposed(analyses, sets or WEIGHT_SETS)
-    return ranked_per_group(scored, ["portfolio_id", "label"], [F.col("score").desc(), F.col("ticker")], "place")
+def rank_under_weights(holdings: DataFrame, sets: dict[str, tuple] | None = None) -> DataFrame:
+    """Every holding's place under every weight set, a row for each."""
+    sets = sets or WEIGHT_SETS
+    placed = places_under_weights(holdings, sets)
+    return placed.selectExpr("portfolio_id", "ticker", _by_label(sets, place="places"))
 
 
-def weight_ablation(ranks: DataFrame, baseline: str = "baseline_40_35_25", top_k: int = 2) -> DataFrame:
+def weight_ablation(
+    holdings: DataFrame, sets: dict[str, tuple] | None = None, baseline: str = "baseline_40_35_25", top_k: int = 2
+) -> DataFrame:
     """Rank correlation with the baseline and how many of its top picks are lost."""
-    base = ranks.filter(F.col("label") == baseline).select(
-        "portfolio_id", "ticker", F.col("place").alias("base_place")
-    )
-    joined = ranks.join(base, ["portfolio_id", "ticker"])
-    return joined.groupBy("portfolio_id", "label").agg(
-        F.expr(
-            "if(count(*) < 2, 1D, 1 - 6 * sum(pow(place - base_place, 2)) "
-            "/ nullif(double(count(*)) * (double(count(*)) * count(*) - 1), 0D)) AS spearman"
-        ),
-        F.expr(f"count_if(base_place <= {top_k} AND place > {top_k}) AS churn"),
+    sets = sets or WEIGHT_SETS
+    base = f"places[{list(sets).index(baseline)}]"
+    sums = [f"sum(pow(places[{i}] - {base}, 2))" for i in range(len(sets))]
+    lost = [f"count_if({base} <= {top_k} AND places[{i}] > {top_k})" for i in range(len(sets))]
+    totals = places_under_weights(holdings, sets).groupBy("portfolio_id").agg(
+        F.expr("count(*) AS n"), F.expr(f"array({', '.join(sums)}) AS apart"), F.expr(f"array({', '.join(lost)}) AS lost")
     )
+    rows = totals.selectExpr("portfolio_id", "n", _by_label(sets, apart="apart", churn="lost"))
+    rho = "if(n < 2, 1D, 1 - 6 * apart / nullif(double(n) * (double(n) * n - 1), 0D)) AS spearman"
+    return rows.selectExpr("portfolio_id", "label", rho, "churn")
 
 
-def weight_sensitivity(analyses: DataFrame, top_k: int = 2) -> DataFrame:
+def weight_sensitivity(holdings: DataFrame, top_k: int = 2) -> DataFrame:
     """Whether the ordered top picks change when one factor's weight moves."""
     sets = {"base": tuple(COMPOSITE_WEIGHTS.values()), **perturbed_sets()}
-    tops = top_per_group(
-        recomposed(analyses, sets), ["portfolio_id", "label"], [F.col("score").desc(), F.col("ticker")], top_k
-    )
-    ordered = tops.groupBy("portfolio_id", "label").agg(
-        F.expr("sort_array(collect_list(struct(rank, ticker))).ticker AS top")
-    )
-    base = ordered.filter("label = 'base'").selectExpr("portfolio_id", "top AS base_top")
-    return ordered.filter("label <> 'base'").join(base, "portfolio_id").selectExpr(
+    placed = places_under_weights(holdings, sets).filter(f"exists(places, p -> p <= {top_k})")
+    pick = "max(if(places[{i}] = {k}, ticker, NULL))"
+    tops = [f"array_compact(array({', '.join(pick.format(i=i, k=k + 1) for k in range(top_k))}))" for i in range(len(sets))]
+    ordered = placed.groupBy("portfolio_id").agg(F.expr(f"array({', '.join(tops)}) AS tops"))
+    rows = ordered.selectExpr("portfolio_id", "tops[0] AS base_top", _by_label(sets, top="tops"))
+    return rows.filter("label <> 'base'").selectExpr(
         "portfolio_id", "label", "array_join(top, '|') AS top", "top <> base_top AS changed"
     )
