@@ -66,16 +66,18 @@ def read_run_records(spark: SparkSession, root: str, lines: bool = False) -> Dat
     Where ``scenario__runN.json`` is a folder of parts, as Spark writes it, ``lines`` reads a record per line. Folders may
     be named in partition style (provider=x).
     """
-    pattern = r"(?:provider=)?([^/]+)/(?:model=)?([^/]+)/(?:arm=)?([^/]+)/(?:file=)?([^/]+)__run(\\d+)\\.json(?:/[^/]+)?$"
+    pattern = r"^(?:provider=)?([^/]+)/(?:model=)?([^/]+)/(?:arm=)?([^/]+)/(?:file=)?([^/]+)__run(\\d+)\\.json$"
     rows = spark.read.schema(RECORD).option("multiLine", not lines).option(
         "recursiveFileLookup", True
     ).option("pathGlobFilter", "*" if lines else "*__run*.json").json(root)
     path = "_metadata.file_path"
+    # The four folders and names that count are cut out first: a search through a whole path would try every start.
+    end = f"if(substring_index({path}, '/', -2) RLIKE '__run[0-9]+[.]json/[^/]+$', substring_index(substring_index({path}, '/', -5), '/', 4), substring_index({path}, '/', -4))"
     part = [
-        f"regexp_extract({path}, '{pattern}', {i}) AS {name}"
+        f"regexp_extract(_end, '{pattern}', {i}) AS {name}"
         for i, name in enumerate(("path_provider", "path_model", "path_arm", "path_scenario"), 1)
     ]
-    return rows.selectExpr("*", *part, f"int(regexp_extract({path}, '{pattern}', 5)) AS path_run")
+    return rows.selectExpr("*", f"{end} AS _end").selectExpr("*", *part, f"int(regexp_extract(_end, '{pattern}', 5)) AS path_run").drop("_end")
 
 
 def company_facts(documents: DataFrame, column: str = "payload", taxonomy: str | None = None) -> DataFrame:
