@@ -45,7 +45,8 @@ def ranked_candidates(candidates: DataFrame) -> DataFrame:
 def screen(held: DataFrame, candidates: DataFrame, limit: int = 10) -> DataFrame:
     """Each portfolio's best ``limit`` candidates that it does not own yet, as an array in order of place.
 
-    ``theme_weights`` holds what the portfolio has in the themes of those candidates.
+    ``theme_weights`` holds what the portfolio has in the themes of those candidates; it is made only of holdings that
+    bring their ``weight_pct``. The list itself needs no more of a holding than its portfolio and ticker.
     """
     listing = ranked_candidates(candidates)
     named = held.select("portfolio_id", F.upper("ticker").alias("ticker"))
@@ -56,20 +57,22 @@ def screen(held: DataFrame, candidates: DataFrame, limit: int = 10) -> DataFrame
     ).selectExpr("portfolio_id", f"explode(sequence(1L, {limit} + coalesce(m, 0L))) AS place")
     free = ranges.join(listing, "place").join(owned, ["portfolio_id", "ticker"], "left_anti")
     first = top_per_group(free, ["portfolio_id"], [F.col("place")], limit)
-    in_theme = (
-        held.join(first.select("portfolio_id", "theme").distinct(), ["portfolio_id", "theme"], "left_semi")
-        .groupBy("portfolio_id", "theme")
-        .agg(F.sum("weight_pct").alias("w"))
-    )
-    lists = first.join(in_theme, ["portfolio_id", "theme"], "left").groupBy("portfolio_id").agg(
-        F.expr(
-            "sort_array(collect_list(struct(place, ticker, name, theme, composite_score, valuation_points))) AS found"
-        ),
-        F.expr("map_from_entries(array_distinct(collect_list(if(w IS NULL, NULL, struct(theme, w))))) AS theme_weights"),
+    weights = {}
+    if "weight_pct" in held.columns:
+        in_theme = (
+            held.join(first.select("portfolio_id", "theme").distinct(), ["portfolio_id", "theme"], "left_semi")
+            .groupBy("portfolio_id", "theme")
+            .agg(F.sum("weight_pct").alias("w"))
+        )
+        first = first.join(in_theme, ["portfolio_id", "theme"], "left")
+        weights["theme_weights"] = "map_from_entries(array_distinct(collect_list(if(w IS NULL, NULL, struct(theme, w)))))"
+    found = "sort_array(collect_list(struct(place, ticker, name, theme, composite_score, valuation_points)))"
+    lists = first.groupBy("portfolio_id").agg(
+        F.expr(f"{found} AS found"), *[F.expr(sql).alias(name) for name, sql in weights.items()]
     )
     item = "struct(x.ticker, x.name, x.theme, x.composite_score, x.valuation_points)"
     return counts.join(lists, "portfolio_id", "left").selectExpr(
-        "portfolio_id", "positions", "coalesce(theme_weights, map()) AS theme_weights",
+        "portfolio_id", "positions", *[f"coalesce({name}, map()) AS {name}" for name in weights],
         f"coalesce(transform(found, x -> {item}), array()) AS screened",
     )
 
