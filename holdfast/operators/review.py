@@ -205,13 +205,17 @@ def replacements(held: DataFrame, screened: DataFrame) -> DataFrame:
     )
 
 
-def trims(held: DataFrame) -> DataFrame:
-    """Positions above 1.3x equal weight whose score is below the trim limit, heaviest first."""
-    rows = held.filter(
+def to_trim(held: DataFrame) -> DataFrame:
+    """Positions above 1.3x equal weight whose score is below the trim limit."""
+    return held.filter(
         (F.col("weight_pct") > F.lit(100.0) / F.col("position_count") * 1.3)
         & (F.col("composite_score") < TRIM_SCORE)
     ).select("portfolio_id", "ticker", "weight_pct", "composite_score")
-    return ranked_per_group(rows, ["portfolio_id"], [F.col("weight_pct").desc(), F.col("ticker")], "place")
+
+
+def trims(held: DataFrame) -> DataFrame:
+    """Positions to trim, heaviest first."""
+    return ranked_per_group(to_trim(held), ["portfolio_id"], [F.col("weight_pct").desc(), F.col("ticker")], "place")
 
 
 # Single-factor and equal-weight ablations of the composite.
